@@ -7,7 +7,7 @@ None of them throws under ANSI mode: text that does not parse becomes null.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,10 @@ SPACE = (
     r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DOMESTIC_RACE = "^[0-9]{12}$"
 
@@ -98,7 +102,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Text without white space at either end."""
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(_col(c), F.lit(SPACES))
 
 
 def squash(c: Column | str) -> Column:
@@ -171,20 +175,19 @@ def race_class(c: Column | str, mode: str = "contains") -> Column:
     """Class code 0-9 of a race name.
 
     ``contains`` tests plain substrings, so an ASCII ``GII`` scores as ``GI``;
-    ``corrected`` tests whole words.
+    ``corrected`` tests whole words. Case does not matter in either. One pattern per
+    class keeps the name from being upper-cased once per word.
     """
-    name = F.upper(strip(c))
+    name = strip(c)
     if mode == "contains":
-        tests = [
-            (code, reduce(Column.__or__, [name.contains(word) for word in words]))
-            for code, words in RACE_CLASS_WORDS
-        ]
+        patterns = [(code, "|".join(map(re.escape, words))) for code, words in RACE_CLASS_WORDS]
     elif mode == "corrected":
-        tests = [(code, name.rlike(pattern)) for code, pattern in RACE_CLASS_PATTERNS]
+        patterns = RACE_CLASS_PATTERNS
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    # A null name matches no test and ends at 0.
-    return F.coalesce(*[F.when(test, F.lit(code)) for code, test in tests], F.lit(0.0))
+    # A null name matches no pattern and ends at 0.
+    found = [F.when(name.rlike(f"(?iu){pattern}"), F.lit(code)) for code, pattern in patterns]
+    return F.coalesce(*found, F.lit(0.0))
 
 
 def _has_digit(c: Column) -> Column:
@@ -215,12 +218,12 @@ def clean_id(c: Column | str, width: int | None = None) -> Column:
 
     With ``width``, zeros that were lost by reading ids as numbers are put back.
     """
-    text = _some(strip(F.split_part(_col(c), F.lit("."), F.lit(1))))
-    text = F.when(text != "nan", text)
+    first = strip(F.split_part(_col(c), F.lit("."), F.lit(1)))
+    known = ~first.isin("", "nan")
     if width is None:
-        return text
-    short = text.rlike("^[0-9]+$") & (F.length(text) < width)
-    return F.when(short, F.lpad(text, width, "0")).otherwise(text)
+        return F.when(known, first)
+    short = first.rlike(f"^[0-9]{{1,{width - 1}}}$")
+    return F.when(short, F.lpad(first, width, "0")).when(known, first)
 
 
 def horse_id_of(c: Column | str) -> Column:
@@ -269,6 +272,12 @@ def resolve_header(headers: Column | str, aliases: list[str]) -> Column:
     return (F.coalesce(*found) - 1).cast("int")
 
 
+def exact_header(headers: Column | str, name: str) -> Column:
+    """Zero-based position of the header that is exactly ``name``, else null."""
+    at = F.array_position(_col(headers), F.lit(name))
+    return (F.nullif(at, F.lit(0).cast("long")) - 1).cast("int")
+
+
 def feature_label(c: Column | str) -> Column:
     """Display label of a feature, or its own name."""
     pairs = [F.lit(text) for item in FEATURE_LABELS.items() for text in item]

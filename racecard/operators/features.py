@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from racecard.functions import clean
-from racecard.operators.frames import align, drop_if_present, drop_leaks, finalize
+from racecard.operators.frames import align, drop_leaks, finalize
 from racecard.schema import FEATURES
+from racecard.session import cut_lineage
 
 # How each feature's gaps are filled, and with what if all are empty.
 IMPUTATION = [
@@ -100,21 +101,28 @@ def one_hot_sex(df: DataFrame, vocab: list[str] | None = SEXES) -> DataFrame:
     return df.withColumns(is_sex).drop("sex")
 
 
-def preprocess(
-    df: DataFrame, stats: DataFrame | None = None, by: str | None = None
-) -> DataFrame:
-    """Raw and enriched columns to ``race_id``, ``is_win`` and numeric features, as one plan.
+def encode(df: DataFrame, stats: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """Parsed, filled and one-hot encoded.
 
-    ``stats`` are the training table's fill values; without them the table's own are
-    used, per race with ``by='race_id'``.
+    ``stats`` are the training table's fill values, and the result is one lazy plan.
+    Without them the table's own are used, per race with ``by='race_id'``; the parsed
+    table is then needed twice and is written once, so that what it was joined from
+    is not computed again.
     """
     parsed = parse_features(df)
-    stats = impute_stats(parsed, by) if stats is None else stats
-    encoded = impute(parsed, stats, by)
-    if "sex" in encoded.columns:
-        encoded = one_hot_sex(encoded)
-    odds = encoded.drop("race_date", "race_name", "extract_status")
-    return finalize(drop_leaks(odds))
+    if stats is None:
+        parsed = cut_lineage(parsed)
+        stats = impute_stats(parsed, by)
+    filled = impute(parsed, stats, by)
+    return one_hot_sex(filled) if "sex" in filled.columns else filled
+
+
+def preprocess(
+    df: DataFrame, stats: DataFrame | None = None, by: str | None = None
+) -> DataFrame:
+    """Raw and enriched columns to ``race_id``, ``is_win`` and numeric features."""
+    encoded = encode(df, stats, by).drop("race_date", "race_name", "extract_status")
+    return finalize(drop_leaks(encoded))
 
 
 def feature_table(
@@ -125,12 +133,8 @@ def feature_table(
     exclude: tuple[str, ...] = (),
 ) -> DataFrame:
     """Keys, label if known, and the model's features in its order."""
-    parsed = parse_features(df)
-    stats = impute_stats(parsed, by) if stats is None else stats
-    encoded = impute(parsed, stats, by)
-    if "sex" in encoded.columns:
-        encoded = one_hot_sex(encoded)
-    return align(encoded, [f for f in FEATURES if f not in exclude], keep=(*keys, "is_win"))
+    wanted = [f for f in FEATURES if f not in exclude]
+    return align(encode(df, stats, by), wanted, keep=(*keys, "is_win"))
 
 
 def assemble(features: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -139,9 +143,3 @@ def assemble(features: DataFrame, names: list[str] | None = None) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="vector", handleInvalid="error").transform(
         features
     )
-
-
-__all__ = [
-    "FEATURES", "IMPUTATION", "SEXES", "align", "assemble", "drop_if_present", "feature_table",
-    "impute", "impute_stats", "one_hot_sex", "parse_features", "preprocess",
-]

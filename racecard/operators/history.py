@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from racecard.functions import clean
-from racecard.operators.skew import hot_keys
+from racecard.operators.skew import hot_values
 
 OUTPUTS = ["prev_rank", "avg_up_3f_3runs", "win_rate", "prev_class"]
 _ADDED = ["_c_n", "_c_won", "_c_last", "_c_up"]
-_SCAN = ["_n", "_won", "_last", "_up1", "_up2", "_up3"]
+_TIMES = ["_up1", "_up2", "_up3"]
+_SCAN = ["_n", "_won", "_last", *_TIMES]
 
 
 def past_only(race_id: Column | str, current: Column | str) -> Column:
@@ -118,12 +119,14 @@ def past_features(
     history: DataFrame | None = None,
     order: str = "time",
     class_mode: str = "contains",
+    hot: list | None = None,
 ) -> DataFrame:
     """``targets`` with the four features of each runner as of its race.
 
     ``history`` is the table of past runs; without it the targets are their own
     history. A run never counts towards its own race, nor a race towards itself.
-    Runners without a horse id share no history with one another.
+    Runners without a horse id share no history with one another. ``hot`` names the
+    horses too large for one task; without it one pass over the id column finds them.
     """
     if order not in ("time", "race_id"):
         raise ValueError(f"unknown order {order!r}")
@@ -138,7 +141,8 @@ def past_features(
             past.withColumn("_target", F.lit(False)), allowMissingColumns=True
         )
 
-    hot = hot_keys(targets if history is None else history, "horse_id").withColumn("_hot", F.lit(True))
+    if hot is None:
+        hot = hot_values(targets if history is None else history, "horse_id")
     if order == "time":
         piece = F.col("race_date").cast("string")
         steps = [F.col("race_date"), F.col("race_id")]
@@ -146,29 +150,33 @@ def past_features(
         # The first ten digits name a day of a meeting; text order keeps its prefix order.
         piece = F.substring("race_id", 1, 10)
         steps = [F.col("race_id")]
-    rows = rows.join(F.broadcast(hot), "horse_id", "left").withColumn(
+    # Runners without an id are scattered, each a group of its own.
+    own_hash = F.xxhash64(*[c for c in ("race_id", "horse_no") if c in kept]).cast("string")
+    is_hot = F.coalesce(F.col("horse_id").isin(hot), F.lit(False))
+    rows = rows.withColumn(
         "_piece",
-        F.when(F.col("horse_id").isNull(), F.xxhash64(*kept).cast("string"))
-        .when(F.col("_hot"), F.coalesce(piece, F.lit("")))
+        F.when(F.col("horse_id").isNull(), own_hash)
+        .when(is_hot, F.coalesce(piece, F.lit("")))
         .otherwise(F.lit("")),
     )
-    carried = _carried(rows.where("_hot"))
 
     # Targets come before past runs of the same race, so a race never sees itself.
     steps = steps + ([F.col("_target").desc()] if history is not None else [])
     scanned = _scan(rows, ["horse_id", "_piece"], steps).where("_target")
-    joined = scanned.join(carried, ["horse_id", "_piece"], "left")
 
+    runs, wins, last = F.col("_n"), F.col("_won"), F.col("_last")
+    mean = _mean_of([F.col(c) for c in _TIMES])
+    if hot:
+        scanned = scanned.join(_carried(rows.where(is_hot)), ["horse_id", "_piece"], "left")
+        runs = runs + F.coalesce("_before_n", F.lit(0))
+        wins = wins + F.coalesce("_before_won", F.lit(0))
+        last = F.greatest(last, F.col("_before_last"))
+        times = F.array(*_TIMES, *["_before" + c for c in _TIMES])
+        newest = F.sort_array(F.array_compact(times), asc=False)
+        merged = _mean_of([F.get(newest, F.lit(i)) for i in range(3)])
+        mean = F.when(F.col("_before_up1").isNull(), mean).otherwise(merged)
     known_horse = F.col("horse_id").isNotNull()
-    runs = F.col("_n") + F.coalesce(F.col("_before_n"), F.lit(0))
-    wins = F.col("_won") + F.coalesce(F.col("_before_won"), F.lit(0))
-    last = F.greatest(F.col("_last"), F.col("_before_last"))
-    own = [F.col(c) for c in ("_up1", "_up2", "_up3")]
-    all_times = own + [F.col("_before" + c) for c in ("_up1", "_up2", "_up3")]
-    newest = F.sort_array(F.array_compact(F.array(*all_times)), asc=False)
-    merged = [F.get(newest, F.lit(i)) for i in range(3)]
-    mean = F.when(F.col("_before_up1").isNull(), _mean_of(own)).otherwise(_mean_of(merged))
-    return joined.select(
+    return scanned.select(
         *kept,
         F.when(known_horse, last["finish"]).alias("prev_rank"),
         F.when(known_horse, mean).alias("avg_up_3f_3runs"),

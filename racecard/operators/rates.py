@@ -17,38 +17,49 @@ def _outcomes() -> list:
     ]
 
 
-def rates_asof(runs: DataFrame, entity: str, targets: DataFrame | None = None) -> DataFrame:
-    """Runners with the entity's rates over all earlier days, 0 before its first result.
+def rate_totals(runs: DataFrame, entity: str, days: DataFrame | None = None) -> DataFrame:
+    """Per entity and day, its rates over all earlier days; 0 before its first result.
 
     Runs are first counted per entity and day, map-side; only those counts are
-    scanned in order, at most one row per calendar day for any entity. Runners
-    without an id get null.
+    scanned in order, at most one row per calendar day for any entity. ``days`` are
+    further (entity, day) pairs to answer for, without a run of their own.
     """
     key = f"{entity}_id"
-    targets = runs if targets is None else targets
-    out = [f"{entity}_win_rate", f"{entity}_place_rate"]
     daily = runs.where(F.col(key).isNotNull()).groupBy(key, "race_date").agg(*_outcomes())
-    if targets is not runs:
-        # Days that only have targets still need a row to read the totals from.
-        days = targets.where(F.col(key).isNotNull()).select(key, "race_date").distinct()
-        daily = daily.unionByName(days, allowMissingColumns=True)
+    if days is not None:
+        asked = days.where(F.col(key).isNotNull()).select(key, "race_date").distinct()
+        daily = daily.unionByName(asked, allowMissingColumns=True)
         daily = daily.groupBy(key, "race_date").agg(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "wins", "places")]
         )
     earlier = (
         Window.partitionBy(key).orderBy("race_date").rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = daily.select(
+    n = F.sum("n").over(earlier)
+    return daily.select(
         key,
         "race_date",
         *[
-            F.coalesce(F.try_divide(F.sum(c).over(earlier), F.sum("n").over(earlier)), F.lit(0.0))
-            .alias(name)
-            for c, name in zip(("wins", "places"), out)
+            F.coalesce(F.try_divide(F.sum(c).over(earlier), n), F.lit(0.0)).alias(f"{entity}_{name}")
+            for c, name in (("wins", "win_rate"), ("places", "place_rate"))
         ],
     )
-    return targets.drop(*out).join(totals, [key, "race_date"], "left").select(
-        *[c for c in targets.columns if c not in out], *out
+
+
+def rates_asof(runs: DataFrame, entity: str, targets: DataFrame | None = None) -> DataFrame:
+    """Runners with the entity's rates as of their race day; null without an id.
+
+    ``targets`` are other runners than the ones counted, such as entries.
+    """
+    totals = rate_totals(runs, entity, targets)
+    return with_totals(runs if targets is None else targets, totals, entity)
+
+
+def with_totals(df: DataFrame, totals: DataFrame, entity: str) -> DataFrame:
+    """Runners joined with ``rate_totals`` by entity and day."""
+    out = [f"{entity}_win_rate", f"{entity}_place_rate"]
+    return df.drop(*out).join(totals, [f"{entity}_id", "race_date"], "left").select(
+        *[c for c in df.columns if c not in out], *out
     )
 
 

@@ -16,7 +16,7 @@ from racecard.operators import card, evaluate
 from racecard.operators.features import feature_table, impute_stats, parse_features
 from racecard.operators.frames import drop_if_present, with_defaults
 from racecard.operators.history import past_features
-from racecard.operators.rates import rates_asof, with_rates
+from racecard.operators.rates import rate_totals, with_rates, with_totals
 from racecard.operators.split import stratified_split
 from racecard.schema import FEATURES
 from racecard.session import cut_lineage
@@ -47,20 +47,22 @@ def enrich(
     history: DataFrame | None = None,
     rates: DataFrame | None = None,
     order: str = "time",
+    hot: list | None = None,
 ) -> DataFrame:
     """Runners with past features and jockey and trainer rates.
 
     Rates are as of each race, counted from the runs; with ``rates`` they are looked up
-    in that table instead.
+    in that table instead. ``hot`` names horses too large for one task, if known.
     """
-    out = past_features(drop_if_present(runs), history, order)
+    out = past_features(drop_if_present(runs), history, order, hot=hot)
     for entity in ("jockey", "trainer"):
         if rates is not None:
             out = with_rates(out, rates, entity)
         elif history is None:
-            out = rates_asof(out, entity)
+            # Counted on the runs themselves, so that the counts need none of the windows above.
+            out = with_totals(out, rate_totals(runs, entity), entity)
         else:
-            out = rates_asof(history, entity, targets=out)
+            out = with_totals(out, rate_totals(history, entity, days=runs), entity)
     return out
 
 
@@ -124,6 +126,7 @@ def train(
     rates: DataFrame | None = None,
     unit: str = "row",
     exclude: tuple[str, ...] = (),
+    hot_horses: list | None = None,
 ) -> Training:
     """Enrich, split, fill, fit, evaluate and store.
 
@@ -132,7 +135,7 @@ def train(
     Fill values come from the training part alone and are stored with the model.
     """
     spark = runs.sparkSession
-    parsed = parse_features(enrich(runs, history, rates))
+    parsed = parse_features(enrich(runs, history, rates, hot=hot_horses))
     keep = ["race_id", "horse_no", "is_win", "sex"]
     numeric = [c for c in FEATURES if c in parsed.columns]
     table = cut_lineage(stratified_split(parsed.select(*keep, *numeric), unit=unit))
@@ -160,6 +163,7 @@ def predict(
     rates: DataFrame | None = None,
     odds: DataFrame | None = None,
     hot: list | None = None,
+    hot_horses: list | None = None,
 ) -> DataFrame:
     """Every entry with ``score``, ``probability`` and ``rank_in_race``.
 
@@ -173,7 +177,7 @@ def predict(
     hot = card.hot_values(entries, "race_id") if hot is None else hot
     shown = runners.columns
     kept = runners.withColumn("_shown", F.struct(*shown))
-    enriched = enrich(kept, history, rates)
+    enriched = enrich(kept, history, rates, hot=hot_horses)
     features = feature_table(enriched, model.stats, keys=("_shown",))
     scored = score(features, model.pipeline).select("_shown.*", "score")
     return card.normalize(scored, "score", hot)

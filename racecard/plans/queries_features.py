@@ -13,7 +13,7 @@ from racecard.operators.rates import rates_asof, with_rates
 from racecard.operators.split import stratified_split
 from racecard.plans.model import enrich
 from racecard.plans.registry import query, r6, rounded
-from racecard.plans.runs import runs
+from racecard.plans.runs import hot_horses, runs
 from racecard.plans.runs_sql import (
     CLASS, DOMESTIC, ENRICHED, FILLED, FINISH, PARSED, PAST, RUNS, fills, num,
 )
@@ -39,7 +39,7 @@ CAREER = RUNS.rstrip() + "".join(
 
 @query(PAST + f"SELECT race_id, horse_no, horse_id, {r6(*PAST_COLUMNS)} FROM with_past")
 def past_features_time(spark, sf):
-    out = past_features(runs(spark, sf))
+    out = past_features(runs(spark, sf), hot=hot_horses(spark, sf))
     return rounded(out.select(*KEY, "horse_id", *PAST_COLUMNS))
 
 
@@ -60,7 +60,7 @@ def past_features_time(spark, sf):
     FROM pairs GROUP BY ALL"""
 )
 def past_features_race_id(spark, sf):
-    out = past_features(runs(spark, sf), order="race_id")
+    out = past_features(runs(spark, sf), order="race_id", hot=hot_horses(spark, sf))
     return rounded(out.select(*KEY, "horse_id", *PAST_COLUMNS))
 
 
@@ -71,7 +71,7 @@ def past_features_joined(spark, sf):
     """Features computed against a separate history table, kept, then joined back by (race, horse)."""
     all_runs = runs(spark, sf)
     entries = all_runs.drop("finish", "time", "up_3f", "race_name")
-    kept = past_features(entries, history=all_runs)
+    kept = past_features(entries, history=all_runs, hot=hot_horses(spark, sf))
     return rounded(with_past(entries, kept).select(*KEY, "horse_id", *PAST_COLUMNS))
 
 
@@ -122,7 +122,7 @@ def missing_ids(spark, sf):
     "jockey_place_rate", "trainer_win_rate", "trainer_place_rate")} FROM enriched"""
 )
 def enriched(spark, sf):
-    out = enrich(runs(spark, sf))
+    out = enrich(runs(spark, sf), hot=hot_horses(spark, sf))
     return rounded(
         out.select(
             *KEY, *PAST_COLUMNS,
@@ -133,7 +133,7 @@ def enriched(spark, sf):
 
 @query(PARSED + f"SELECT {r6(*IMPUTED)} FROM (SELECT {fills()} FROM parsed)")
 def impute_stats(spark, sf):
-    return rounded(fe.impute_stats(fe.parse_features(enrich(runs(spark, sf)))))
+    return rounded(fe.impute_stats(fe.parse_features(enrich(runs(spark, sf), hot=hot_horses(spark, sf)))))
 
 
 @query(
@@ -143,7 +143,7 @@ def impute_stats(spark, sf):
     FROM parsed JOIN fill USING (race_id)"""
 )
 def impute_by_race(spark, sf):
-    parsed = fe.parse_features(enrich(runs(spark, sf)))
+    parsed = fe.parse_features(enrich(runs(spark, sf), hot=hot_horses(spark, sf)))
     filled = fe.impute(parsed, fe.impute_stats(parsed, "race_id"), "race_id")
     return rounded(filled.select(*KEY, *IMPUTED))
 
@@ -168,14 +168,14 @@ def one_hot_observed(spark, sf):
 
 @query(FILLED + f"SELECT race_id, horse_no, is_win, {r6(*ALL_FEATURES)} FROM feature_rows")
 def feature_matrix(spark, sf):
-    return rounded(fe.feature_table(enrich(runs(spark, sf))))
+    return rounded(fe.feature_table(enrich(runs(spark, sf), hot=hot_horses(spark, sf))))
 
 
 @query(
     FILLED + f"SELECT race_id, is_win, {r6(*ALL_FEATURES)} FROM feature_rows"
 )
 def preprocessed(spark, sf):
-    return rounded(fe.preprocess(enrich(runs(spark, sf))))
+    return rounded(fe.preprocess(enrich(runs(spark, sf), hot=hot_horses(spark, sf))))
 
 
 @query(
@@ -219,7 +219,7 @@ def finalized(spark, sf):
     "popularity, body_weight FROM runs"
 )
 def without_leaks(spark, sf):
-    stale = past_features(runs(spark, sf))
+    stale = past_features(runs(spark, sf), hot=hot_horses(spark, sf))
     return rounded(frames.drop_leaks(frames.drop_if_present(stale)))
 
 
@@ -233,7 +233,7 @@ _LABEL_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in clean.FEATURE_LABEL
 )
 def feature_labels(spark, sf):
     """Fill value of every feature of the whole table, with its display label."""
-    stats = fe.impute_stats(fe.parse_features(enrich(runs(spark, sf))))
+    stats = fe.impute_stats(fe.parse_features(enrich(runs(spark, sf), hot=hot_horses(spark, sf))))
     long = stats.unpivot([], IMPUTED, "feature", "value")
     return rounded(long.select("feature", clean.feature_label("feature").alias("label"), "value"))
 

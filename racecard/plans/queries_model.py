@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from racecard.operators import card
 from racecard.plans.model import enrich, load_model, predict, train
 from racecard.plans.registry import query, rounded, work_path
-from racecard.plans.runs import hot_races, runs
+from racecard.plans.runs import hot_horses, hot_races, runs
 from racecard.operators.features import assemble, feature_table
 
 ROUNDS = 5  # The library's own default is a hundred.
@@ -15,7 +15,7 @@ ROUNDS = 5  # The library's own default is a hundred.
 
 def _trained(spark, sf):
     path = work_path(spark, "model")
-    return train(runs(spark, sf), path, rounds=ROUNDS), path
+    return train(runs(spark, sf), path, rounds=ROUNDS, hot_horses=hot_horses(spark, sf)), path
 
 
 @query()
@@ -43,7 +43,7 @@ def scored(spark, sf):
     all_runs = runs(spark, sf)
     out = predict(
         all_runs.drop("finish", "time", "up_3f", "race_name"), all_runs,
-        load_model(spark, path), hot=hot_races(spark, sf),
+        load_model(spark, path), hot=hot_races(spark, sf), hot_horses=hot_horses(spark, sf),
     )
     return rounded(card.race_card(out, not_yet_run=True))
 
@@ -51,7 +51,7 @@ def scored(spark, sf):
 @query()
 def feature_vectors(spark, sf):
     """The assembled feature vector of every run."""
-    return assemble(feature_table(enrich(runs(spark, sf)))).select(
+    return assemble(feature_table(enrich(runs(spark, sf), hot=hot_horses(spark, sf)))).select(
         "race_id", "horse_no", "is_win", F.col("vector").cast("string").alias("vector")
     )
 

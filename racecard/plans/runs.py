@@ -33,6 +33,12 @@ def hot_races(spark: SparkSession, sf_dir: str) -> list:
     return hot_values(runs(spark, sf_dir), "race_id")
 
 
+def hot_horses(spark: SparkSession, sf_dir: str) -> list:
+    """Horse ids too large for one task, counted on the line table before anything is built."""
+    parts = hot_values(table(spark, sf_dir, "lineitem"), "l_partkey")
+    return [str(part).zfill(10) for part in parts]
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per runner and race, all fields as the raw text a result page has."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")

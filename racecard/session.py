@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder, so that lost executors never recompute it differently."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back.
+
+    Lost executors then never recompute it, let alone differently, and whoever reads
+    it reads only the columns it needs. Tables lie in a folder per application.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/racecard/{spark.sparkContext.applicationId}"
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
