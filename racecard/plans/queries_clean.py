@@ -217,7 +217,7 @@ def preview_columns(spark, sf):
 
 @query(
     RUNS + """SELECT race_id, horse_no, 'finish' AS wanted, 0 AS at_finish, 2 AS at_up,
-    CAST(NULL AS INT) AS at_margin FROM runs"""
+    -1 AS at_margin FROM runs"""
 )
 def header_positions(spark, sf):
     # The same header row on every runner, spaced as pages space it.
@@ -229,5 +229,5 @@ def header_positions(spark, sf):
         F.lit("finish").alias("wanted"),
         clean.resolve_header("headers", ["着順"]).alias("at_finish"),
         clean.resolve_header("headers", ["上り", "上がり"]).alias("at_up"),
-        clean.resolve_header("headers", ["着差"]).alias("at_margin"),
+        F.coalesce(clean.resolve_header("headers", ["着差"]), F.lit(-1)).alias("at_margin"),
     )
