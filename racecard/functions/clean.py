@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as white space in page text (Unicode, full-width space included).
 SPACE = (
@@ -130,6 +131,14 @@ def to_num(c: Column | str) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def as_num(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` as a number: parsed if it is text, as it is (NaN as null) if not."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value), value)
+    return to_num(name)
+
+
 def finish_num(c: Column | str) -> Column:
     """Finish position from the digits of the text: ``2(降)`` is 2, ``中`` is null."""
     return _some(F.regexp_replace(ascii_digits(c), "[^0-9]", "")).try_cast("double")

@@ -52,7 +52,7 @@ def parse_features(df: DataFrame) -> DataFrame:
         if raw in df.columns:
             made.update({name: parse(raw) for name, parse in outputs.items()})
     numeric = [name for name, _, _ in IMPUTATION if name in df.columns and name not in made]
-    made.update({name: clean.to_num(name) for name in numeric})
+    made.update({name: clean.as_num(df, name) for name in numeric})
     return df.withColumns(made).drop("sex_age", "body_weight")
 
 
@@ -101,15 +101,16 @@ def one_hot_sex(df: DataFrame, vocab: list[str] | None = SEXES) -> DataFrame:
     return df.withColumns(is_sex).drop("sex")
 
 
-def encode(df: DataFrame, stats: DataFrame | None = None, by: str | None = None) -> DataFrame:
-    """Parsed, filled and one-hot encoded.
+def encode(
+    parsed: DataFrame, stats: DataFrame | None = None, by: str | None = None
+) -> DataFrame:
+    """Parsed columns filled and one-hot encoded.
 
     ``stats`` are the training table's fill values, and the result is one lazy plan.
     Without them the table's own are used, per race with ``by='race_id'``; the parsed
     table is then needed twice and is written once, so that what it was joined from
     is not computed again.
     """
-    parsed = parse_features(df)
     if stats is None:
         parsed = cut_lineage(parsed)
         stats = impute_stats(parsed, by)
@@ -121,8 +122,8 @@ def preprocess(
     df: DataFrame, stats: DataFrame | None = None, by: str | None = None
 ) -> DataFrame:
     """Raw and enriched columns to ``race_id``, ``is_win`` and numeric features."""
-    encoded = encode(df, stats, by).drop("race_date", "race_name", "extract_status")
-    return finalize(drop_leaks(encoded))
+    parsed = drop_leaks(parse_features(df)).drop("race_date", "race_name", "extract_status")
+    return finalize(encode(parsed, stats, by))
 
 
 def feature_table(
@@ -133,8 +134,11 @@ def feature_table(
     exclude: tuple[str, ...] = (),
 ) -> DataFrame:
     """Keys, label if known, and the model's features in its order."""
+    parsed = parse_features(df)
     wanted = [f for f in FEATURES if f not in exclude]
-    return align(encode(df, stats, by), wanted, keep=(*keys, "is_win"))
+    needed = [*keys, "is_win", "sex", *([by] if by else []), *wanted]
+    parsed = parsed.select(*[c for c in dict.fromkeys(needed) if c in parsed.columns])
+    return align(encode(parsed, stats, by), wanted, keep=(*keys, "is_win"))
 
 
 def assemble(features: DataFrame, names: list[str] | None = None) -> DataFrame:

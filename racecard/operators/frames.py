@@ -55,7 +55,7 @@ def finalize(df: DataFrame, keep: tuple[str, ...] = ("race_id", "is_win")) -> Da
     """Every other column as a double, null as 0."""
     return df.select(
         *[
-            F.col(c) if c in keep else F.coalesce(clean.to_num(c), F.lit(0.0)).alias(c)
+            F.col(c) if c in keep else F.coalesce(clean.as_num(df, c), F.lit(0.0)).alias(c)
             for c in df.columns
         ]
     )
@@ -67,7 +67,7 @@ def align(df: DataFrame, features: list[str], keep: tuple[str, ...] = ()) -> Dat
     return df.select(
         *[c for c in keep if c in present],
         *[
-            F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+            F.coalesce(clean.as_num(df, c), F.lit(0.0)).alias(c)
             if c in present
             else F.lit(0.0).alias(c)
             for c in features

@@ -12,6 +12,7 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from racecard.functions import clean
 from racecard.operators import card, evaluate
 from racecard.operators.features import feature_table, impute_stats, parse_features
 from racecard.operators.frames import drop_if_present, with_defaults
@@ -19,7 +20,7 @@ from racecard.operators.history import past_features
 from racecard.operators.rates import rate_totals, with_rates, with_totals
 from racecard.operators.split import stratified_split
 from racecard.schema import FEATURES
-from racecard.session import cut_lineage
+from racecard.session import cut_lineage, use_checkpoints
 from racecard.sources.odds import overlay_odds
 
 # How the trees are grown.
@@ -79,6 +80,7 @@ def fit(features: DataFrame, names: list[str] | None = None, rounds: int = ROUND
         seed=SEED,
         checkpointInterval=10,
     )
+    use_checkpoints(features.sparkSession)
     assembler = VectorAssembler(inputCols=names, outputCol="vector", handleInvalid="error")
     return Pipeline(stages=[assembler, trees]).fit(features)
 
@@ -130,15 +132,16 @@ def train(
 ) -> Training:
     """Enrich, split, fill, fit, evaluate and store.
 
-    The parsed and split table is written once to the shared folder: everything after
+    The split is counted on the runs themselves. The parsed and split table is written once to the shared folder: everything after
     reads it, and the many passes of the fit never recompute the joins and windows.
     Fill values come from the training part alone and are stored with the model.
     """
     spark = runs.sparkSession
+    labels = runs.select("race_id", "horse_no", clean.is_win("finish").alias("is_win"))
     parsed = parse_features(enrich(runs, history, rates, hot=hot_horses))
-    keep = ["race_id", "horse_no", "is_win", "sex"]
-    numeric = [c for c in FEATURES if c in parsed.columns]
-    table = cut_lineage(stratified_split(parsed.select(*keep, *numeric), unit=unit))
+    keep = ["race_id", "horse_no", "is_win", "sex", *FEATURES]
+    parsed = parsed.select(*[c for c in keep if c in parsed.columns])
+    table = cut_lineage(stratified_split(parsed, unit=unit, counted_on=labels))
     in_train = F.col("part") == "train"
     stats = cut_lineage(impute_stats(table.where(in_train)))
     features = feature_table(table, stats, keys=("race_id", "horse_no", "part"), exclude=exclude)

@@ -8,7 +8,7 @@ from racecard.functions import clean
 from racecard.operators import card, evaluate
 from racecard.plans.model import predict
 from racecard.plans.registry import query, rounded, work_path
-from racecard.plans.runs import hot_races, runs, table
+from racecard.plans.runs import hot_races, large_orders, runs, table
 from racecard.plans.runs_sql import FEED, RUNS, WEIGHTED
 from racecard.sources import odds as feed
 from racecard.streaming import streams
@@ -17,8 +17,16 @@ KEY = ["race_id", "horse_no"]
 CARD = "round(probability, 6) AS probability"
 
 
+def runs_and_hot(spark, sf):
+    """The runs, and those races too large for one task."""
+    large = large_orders(spark, sf)
+    all_runs = runs(spark, sf, large)
+    return all_runs, hot_races(all_runs, large)
+
+
 def ranked(spark, sf):
-    return card.odds_probability(runs(spark, sf), hot_races(spark, sf))
+    all_runs, hot = runs_and_hot(spark, sf)
+    return card.odds_probability(all_runs, hot)
 
 
 def odds_feed(spark, sf):
@@ -69,8 +77,9 @@ def odds_probability(spark, sf):
 )
 def share_of_race(spark, sf):
     """Share of a 0/1 weight: races whose weights are all 0 are shared equally."""
-    weighted = runs(spark, sf).withColumn("score", clean.is_win("finish").cast("double"))
-    out = card.normalize(weighted, "score", hot_races(spark, sf))
+    all_runs, hot = runs_and_hot(spark, sf)
+    weighted = all_runs.withColumn("score", clean.is_win("finish").cast("double"))
+    out = card.normalize(weighted, "score", hot)
     return rounded(out.select(*KEY, "probability", "rank_in_race"))
 
 
@@ -82,8 +91,8 @@ def race_card(spark, sf):
 @query(WEIGHTED + f"SELECT * REPLACE ({CARD}, '-' AS finish_shown) FROM card")
 def race_card_upcoming(spark, sf):
     """The card of races not yet run: finishes stay hidden."""
-    entries = runs(spark, sf).drop("finish", "time", "up_3f")
-    out = predict(entries, entries, hot=hot_races(spark, sf))
+    all_runs, hot = runs_and_hot(spark, sf)
+    out = predict(all_runs.drop("finish", "time", "up_3f"), all_runs, hot=hot)
     return rounded(card.race_card(out, not_yet_run=True))
 
 

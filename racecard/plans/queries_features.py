@@ -8,12 +8,13 @@ from racecard.functions import clean
 from racecard.operators import features as fe
 from racecard.operators import frames
 from racecard.operators.history import past_features, with_past
+from racecard.operators.history import past_only as before
 from racecard.operators.rates import career_rates, missing_ids as ids_without_rates
 from racecard.operators.rates import rates_asof, with_rates
 from racecard.operators.split import stratified_split
 from racecard.plans.model import enrich
 from racecard.plans.registry import query, r6, rounded
-from racecard.plans.runs import hot_horses, runs
+from racecard.plans.runs import hot_horses, runs, stored_runs
 from racecard.plans.runs_sql import (
     CLASS, DOMESTIC, ENRICHED, FILLED, FINISH, PARSED, PAST, RUNS, fills, num,
 )
@@ -69,17 +70,33 @@ def past_features_race_id(spark, sf):
 )
 def past_features_joined(spark, sf):
     """Features computed against a separate history table, kept, then joined back by (race, horse)."""
-    all_runs = runs(spark, sf)
+    all_runs = stored_runs(spark, sf)
     entries = all_runs.drop("finish", "time", "up_3f", "race_name")
     kept = past_features(entries, history=all_runs, hot=hot_horses(spark, sf))
     return rounded(with_past(entries, kept).select(*KEY, "horse_id", *PAST_COLUMNS))
 
 
+@query(
+    RUNS + f"""SELECT race_id, horse_no, trainer_id FROM runs JOIN (
+      SELECT trainer_id, max(race_id) AS current FROM runs WHERE {DOMESTIC} GROUP BY trainer_id
+    ) USING (trainer_id) WHERE {DOMESTIC} AND race_id < current"""
+)
+def past_only(spark, sf):
+    """Runs of each trainer before its last race id."""
+    all_runs = runs(spark, sf).select(*KEY, "trainer_id")
+    last = all_runs.where(clean.is_domestic("race_id")).groupBy("trainer_id").agg(
+        F.max("race_id").alias("current")
+    )
+    return all_runs.join(last, "trainer_id").where(before("race_id", "current")).select(
+        *KEY, "trainer_id"
+    )
+
+
 def _asof(entity: str):
     names = [f"{entity}_win_rate", f"{entity}_place_rate"]
 
     def run(spark, sf):
-        out = rates_asof(runs(spark, sf), entity)
+        out = rates_asof(stored_runs(spark, sf), entity)
         return rounded(out.select(*KEY, f"{entity}_id", *names))
 
     run.__name__ = f"{entity}_rates_asof"
@@ -91,7 +108,7 @@ def _career(entity: str):
     names = [f"{entity}_win_rate", f"{entity}_place_rate"]
 
     def run(spark, sf):
-        all_runs = runs(spark, sf)
+        all_runs = stored_runs(spark, sf)
         out = with_rates(all_runs, career_rates(all_runs, entity), entity)
         return rounded(out.select(*KEY, f"{entity}_id", *names))
 
@@ -122,7 +139,7 @@ def missing_ids(spark, sf):
     "jockey_place_rate", "trainer_win_rate", "trainer_place_rate")} FROM enriched"""
 )
 def enriched(spark, sf):
-    out = enrich(runs(spark, sf), hot=hot_horses(spark, sf))
+    out = enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))
     return rounded(
         out.select(
             *KEY, *PAST_COLUMNS,
@@ -133,7 +150,7 @@ def enriched(spark, sf):
 
 @query(PARSED + f"SELECT {r6(*IMPUTED)} FROM (SELECT {fills()} FROM parsed)")
 def impute_stats(spark, sf):
-    return rounded(fe.impute_stats(fe.parse_features(enrich(runs(spark, sf), hot=hot_horses(spark, sf)))))
+    return rounded(fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf)))))
 
 
 @query(
@@ -143,7 +160,7 @@ def impute_stats(spark, sf):
     FROM parsed JOIN fill USING (race_id)"""
 )
 def impute_by_race(spark, sf):
-    parsed = fe.parse_features(enrich(runs(spark, sf), hot=hot_horses(spark, sf)))
+    parsed = fe.parse_features(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf)))
     filled = fe.impute(parsed, fe.impute_stats(parsed, "race_id"), "race_id")
     return rounded(filled.select(*KEY, *IMPUTED))
 
@@ -168,14 +185,14 @@ def one_hot_observed(spark, sf):
 
 @query(FILLED + f"SELECT race_id, horse_no, is_win, {r6(*ALL_FEATURES)} FROM feature_rows")
 def feature_matrix(spark, sf):
-    return rounded(fe.feature_table(enrich(runs(spark, sf), hot=hot_horses(spark, sf))))
+    return rounded(fe.feature_table(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))))
 
 
 @query(
     FILLED + f"SELECT race_id, is_win, {r6(*ALL_FEATURES)} FROM feature_rows"
 )
 def preprocessed(spark, sf):
-    return rounded(fe.preprocess(enrich(runs(spark, sf), hot=hot_horses(spark, sf))))
+    return rounded(fe.preprocess(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))))
 
 
 @query(
@@ -233,7 +250,7 @@ _LABEL_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in clean.FEATURE_LABEL
 )
 def feature_labels(spark, sf):
     """Fill value of every feature of the whole table, with its display label."""
-    stats = fe.impute_stats(fe.parse_features(enrich(runs(spark, sf), hot=hot_horses(spark, sf))))
+    stats = fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))))
     long = stats.unpivot([], IMPUTED, "feature", "value")
     return rounded(long.select("feature", clean.feature_label("feature").alias("label"), "value"))
 
@@ -249,7 +266,7 @@ _CUT = """SELECT *, row_number() OVER (PARTITION BY is_win ORDER BY md5(concat_w
     FROM ({_CUT.format(key="race_id, horse_no", source="labelled")})"""
 )
 def split(spark, sf):
-    labelled = runs(spark, sf).select(*KEY, clean.is_win("finish").alias("is_win"))
+    labelled = stored_runs(spark, sf).select(*KEY, clean.is_win("finish").alias("is_win"))
     return stratified_split(labelled)
 
 
@@ -262,5 +279,5 @@ def split(spark, sf):
     FROM labelled JOIN ({_CUT.format(key="race_id", source="races")}) c USING (race_id)"""
 )
 def split_by_race(spark, sf):
-    labelled = runs(spark, sf).select(*KEY, clean.is_win("finish").alias("is_win"))
+    labelled = stored_runs(spark, sf).select(*KEY, clean.is_win("finish").alias("is_win"))
     return stratified_split(labelled, unit="race")

@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from racecard.operators import card
 from racecard.plans.model import enrich, load_model, predict, train
 from racecard.plans.registry import query, rounded, work_path
-from racecard.plans.runs import hot_horses, hot_races, runs
+from racecard.plans.runs import hot_horses, stored_runs
 from racecard.operators.features import assemble, feature_table
 
 ROUNDS = 5  # The library's own default is a hundred.
 
 
 def _trained(spark, sf):
+    """A model trained on all runs, and what the queries need besides."""
+    stored, horses = stored_runs(spark, sf), hot_horses(spark, sf)
     path = work_path(spark, "model")
-    return train(runs(spark, sf), path, rounds=ROUNDS, hot_horses=hot_horses(spark, sf)), path
+    return train(stored, path, rounds=ROUNDS, hot_horses=horses), path, stored, horses
 
 
 @query()
 def train_metrics(spark, sf):
     """Train on all runs; accuracy and AUC on the held-out part."""
-    done, _ = _trained(spark, sf)
+    done, *_ = _trained(spark, sf)
     return done.test.agg(
         F.count("*").alias("test_rows"),
         F.lit(done.accuracy).alias("accuracy"),
@@ -32,26 +34,23 @@ def train_metrics(spark, sf):
 
 @query()
 def importance(spark, sf):
-    done, _ = _trained(spark, sf)
+    done, *_ = _trained(spark, sf)
     return done.importance
 
 
 @query()
 def scored(spark, sf):
     """Every runner's card from a model that was stored and loaded again."""
-    _, path = _trained(spark, sf)
-    all_runs = runs(spark, sf)
-    out = predict(
-        all_runs.drop("finish", "time", "up_3f", "race_name"), all_runs,
-        load_model(spark, path), hot=hot_races(spark, sf), hot_horses=hot_horses(spark, sf),
-    )
+    _, path, stored, horses = _trained(spark, sf)
+    entries = stored.drop("finish", "time", "up_3f", "race_name")
+    out = predict(entries, stored, load_model(spark, path), hot_horses=horses)
     return rounded(card.race_card(out, not_yet_run=True))
 
 
 @query()
 def feature_vectors(spark, sf):
     """The assembled feature vector of every run."""
-    return assemble(feature_table(enrich(runs(spark, sf), hot=hot_horses(spark, sf)))).select(
+    return assemble(feature_table(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf)))).select(
         "race_id", "horse_no", "is_win", F.col("vector").cast("string").alias("vector")
     )
 

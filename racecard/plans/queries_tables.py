@@ -10,7 +10,7 @@ from racecard.operators.rates import career_rates, with_rates
 from racecard.plans import derived_pages as pages_of
 from racecard.plans.queries_features import CAREER
 from racecard.plans.registry import query, rounded, work_path
-from racecard.plans.runs import runs
+from racecard.plans.runs import hot_horses, runs
 from racecard.plans.runs_sql import FINISH, RUNS
 from racecard.schema import RESULTS
 from racecard.sources import pages, tables
@@ -158,11 +158,12 @@ def extract_entries(spark, sf):
 @query(
     RUNS + """SELECT horse_id, CASE WHEN race_id[1] <> 'X' THEN race_id END AS race_id, race_name, finish,
     coalesce(up_3f, '') AS up_3f, CAST(race_date AS VARCHAR) AS race_date,
-    row_number() OVER (PARTITION BY horse_id, date_trunc('month', race_date) ORDER BY race_date, race_id) - 1
-      AS hist_pos FROM runs"""
+    (row_number() OVER (PARTITION BY horse_id ORDER BY race_date, race_id) - 1) % 32 AS hist_pos
+    FROM runs"""
 )
 def extract_history(spark, sf):
-    found = pages.extract_history(pages_of.history_pages(runs(spark, sf)))
+    stored = pages_of.history_pages(runs(spark, sf), hot_horses(spark, sf))
+    found = pages.extract_history(stored)
     return rounded(found.where(F.col("race_date").isNotNull()))
 
 

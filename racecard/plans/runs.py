@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from racecard.operators.skew import hot_values, number_rows
+from racecard.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,25 +26,32 @@ def _text(c: Column) -> Column:
     return c.cast("bigint").cast("string")
 
 
-def hot_races(spark: SparkSession, sf_dir: str) -> list:
-    """Race ids too large for one task; usually none, found by one pass over one column."""
-    lines = table(spark, sf_dir, "lineitem")
-    if not hot_values(lines, "l_orderkey"):
-        return []
-    return hot_values(runs(spark, sf_dir), "race_id")
-
-
 def hot_horses(spark: SparkSession, sf_dir: str) -> list:
     """Horse ids too large for one task, counted on the line table before anything is built."""
     parts = hot_values(table(spark, sf_dir, "lineitem"), "l_partkey")
     return [str(part).zfill(10) for part in parts]
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def large_orders(spark: SparkSession, sf_dir: str) -> list:
+    """Orders too large for one task, counted on one column of the line table."""
+    return hot_values(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+def hot_races(all_runs: DataFrame, large: list) -> list:
+    """Race ids too large for one task: none, without a pass, if no order is that large."""
+    return hot_values(all_runs, "race_id") if large else []
+
+
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs as a stored table, for queries that read them more than once."""
+    return cut_lineage(runs(spark, sf_dir))
+
+
+def runs(spark: SparkSession, sf_dir: str, large: list | None = None) -> DataFrame:
     """One row per runner and race, all fields as the raw text a result page has."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     lines = table(spark, sf_dir, "lineitem")
-    hot = hot_values(lines, "l_orderkey")
+    hot = large_orders(spark, sf_dir) if large is None else large
 
     # A horse runs once per race; copies collapse map-side before any shuffle by race.
     best = F.struct(

@@ -13,6 +13,8 @@ from racecard.operators.frames import canonical, new_races
 from racecard.operators.rates import latest_rates, missing_ids
 from racecard.schema import ENTITY_RATES, RESULTS
 
+MOST_SEASONS = 1000
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns in its order; absent ones are null, blank ids are null."""
@@ -77,28 +79,41 @@ def stored_results(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, schema)
 
 
+def stored_like(batch: DataFrame, path: str) -> DataFrame:
+    """The stored runners of the batch's own seasons, so that no other season is read.
+
+    Seasons are four characters; should a batch name very many, all of the table is used.
+    """
+    stored = stored_results(batch.sparkSession, path)
+    named = _with_season(batch).select("season").dropna().distinct().limit(MOST_SEASONS + 1)
+    seasons = [row[0] for row in named.collect()]
+    return stored.where(F.col("season").isin(seasons)) if len(seasons) <= MOST_SEASONS else stored
+
+
 def append_results(batch: DataFrame, path: str) -> None:
     """Append the races of a batch that are not stored yet; create the table if absent."""
-    stored = stored_results(batch.sparkSession, path)
-    write_results(new_races(conform(batch, RESULTS), stored), path)
+    batch = conform(batch, RESULTS)
+    write_results(new_races(batch, stored_like(batch, path)), path)
 
 
 def save_enriched(df: DataFrame, base: str) -> str:
     """Write a joined feature table as a new version and return its path.
 
-    A version is never overwritten, so a plan that still reads an older one is safe.
+    A version is never overwritten, so a plan that still reads an older one is safe. It
+    is listed once it is complete, so a failed write is never loaded.
     """
-    path = f"{base}/version={time.time_ns()}"
+    version = time.time_ns()
+    path = f"{base}/data/version={version}"
     df.write.mode("errorifexists").parquet(path)
+    listed = df.sparkSession.createDataFrame([(version, path)], "version long, path string")
+    listed.write.mode("append").parquet(f"{base}/versions")
     return path
 
 
 def load_enriched(spark: SparkSession, base: str) -> DataFrame:
-    """The newest version of an enriched table."""
-    versions = spark.read.parquet(base)
-    # Only the version folders' names decide which one is read.
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{base}/version={newest}")
+    """The newest complete version of an enriched table."""
+    listed = spark.read.parquet(f"{base}/versions")
+    return spark.read.parquet(listed.agg(F.max_by("path", "version")).first()[0])
 
 
 def load_rate_map(spark: SparkSession, path: str, entity: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from racecard.operators.frames import new_runners
 from racecard.schema import RESULTS
 from racecard.sources.odds import latest_odds
-from racecard.sources.tables import conform, stored_results, write_results
+from racecard.sources.tables import conform, stored_like, write_results
 
 
 def latest_odds_stream(
@@ -33,8 +34,6 @@ def latest_odds_stream(
 
 def read_latest_odds(spark: SparkSession, path: str) -> DataFrame:
     """What the stream has found so far: the newest of all its batches."""
-    from pyspark.sql import functions as F
-
     changes = spark.read.parquet(path).withColumn("pos", F.lit(0))
     return latest_odds(changes)
 
@@ -49,8 +48,8 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = stored_results(batch.sparkSession, path)
-        write_results(new_runners(conform(batch, RESULTS), stored), path)
+        batch = conform(batch, RESULTS)
+        write_results(new_runners(batch, stored_like(batch, path)), path)
 
     writer = (
         results.writeStream.outputMode("append")
