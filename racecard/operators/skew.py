@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from racecard.session import cut_lineage
 
 MAX_HOT_KEYS = 1000
-MIN_ROWS_SETTING = "racecard.hot.minRows"
+MIN_ROWS_SETTING = "spark.racecard.hot.minRows"
 MIN_ROWS = 1_000_000
 
 

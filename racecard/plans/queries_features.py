@@ -22,6 +22,11 @@ from racecard.plans.runs_sql import rates_asof as rates_asof_sql
 from racecard.schema import FEATURES
 
 KEY = ["race_id", "horse_no"]
+# What enriching and parsing read of a run.
+ENRICHED_FROM = [
+    *KEY, "race_date", "race_name", "finish", "horse_id", "jockey_id", "trainer_id", "up_3f",
+    "sex_age", "body_weight", "carried", "odds", "popularity",
+]
 PAST_COLUMNS = ["prev_rank", "avg_up_3f_3runs", "win_rate", "prev_class"]
 IMPUTED = [name for name, _, _ in fe.IMPUTATION]
 ALL_FEATURES = [f'"{f}"' if not f.isascii() else f for f in FEATURES]
@@ -92,11 +97,15 @@ def past_only(spark, sf):
     )
 
 
+def _rated(entity: str) -> list[str]:
+    return [f"{entity}_id", "race_date", "finish"]
+
+
 def _asof(entity: str):
     names = [f"{entity}_win_rate", f"{entity}_place_rate"]
 
     def run(spark, sf):
-        out = rates_asof(stored_runs(spark, sf), entity)
+        out = rates_asof(stored_runs(spark, sf, *KEY, *_rated(entity)), entity)
         return rounded(out.select(*KEY, f"{entity}_id", *names))
 
     run.__name__ = f"{entity}_rates_asof"
@@ -108,7 +117,7 @@ def _career(entity: str):
     names = [f"{entity}_win_rate", f"{entity}_place_rate"]
 
     def run(spark, sf):
-        all_runs = stored_runs(spark, sf)
+        all_runs = stored_runs(spark, sf, *KEY, *_rated(entity))
         out = with_rates(all_runs, career_rates(all_runs, entity), entity)
         return rounded(out.select(*KEY, f"{entity}_id", *names))
 
@@ -139,7 +148,7 @@ def missing_ids(spark, sf):
     "jockey_place_rate", "trainer_win_rate", "trainer_place_rate")} FROM enriched"""
 )
 def enriched(spark, sf):
-    out = enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))
+    out = enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf))
     return rounded(
         out.select(
             *KEY, *PAST_COLUMNS,
@@ -150,7 +159,7 @@ def enriched(spark, sf):
 
 @query(PARSED + f"SELECT {r6(*IMPUTED)} FROM (SELECT {fills()} FROM parsed)")
 def impute_stats(spark, sf):
-    return rounded(fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf)))))
+    return rounded(fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf)))))
 
 
 @query(
@@ -160,7 +169,7 @@ def impute_stats(spark, sf):
     FROM parsed JOIN fill USING (race_id)"""
 )
 def impute_by_race(spark, sf):
-    parsed = fe.parse_features(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf)))
+    parsed = fe.parse_features(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf)))
     filled = fe.impute(parsed, fe.impute_stats(parsed, "race_id"), "race_id")
     return rounded(filled.select(*KEY, *IMPUTED))
 
@@ -185,14 +194,14 @@ def one_hot_observed(spark, sf):
 
 @query(FILLED + f"SELECT race_id, horse_no, is_win, {r6(*ALL_FEATURES)} FROM feature_rows")
 def feature_matrix(spark, sf):
-    return rounded(fe.feature_table(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))))
+    return rounded(fe.feature_table(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf))))
 
 
 @query(
     FILLED + f"SELECT race_id, is_win, {r6(*ALL_FEATURES)} FROM feature_rows"
 )
 def preprocessed(spark, sf):
-    return rounded(fe.preprocess(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))))
+    return rounded(fe.preprocess(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf))))
 
 
 @query(
@@ -250,7 +259,7 @@ _LABEL_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in clean.FEATURE_LABEL
 )
 def feature_labels(spark, sf):
     """Fill value of every feature of the whole table, with its display label."""
-    stats = fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf), hot=hot_horses(spark, sf))))
+    stats = fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf))))
     long = stats.unpivot([], IMPUTED, "feature", "value")
     return rounded(long.select("feature", clean.feature_label("feature").alias("label"), "value"))
 
@@ -266,7 +275,7 @@ _CUT = """SELECT *, row_number() OVER (PARTITION BY is_win ORDER BY md5(concat_w
     FROM ({_CUT.format(key="race_id, horse_no", source="labelled")})"""
 )
 def split(spark, sf):
-    labelled = stored_runs(spark, sf).select(*KEY, clean.is_win("finish").alias("is_win"))
+    labelled = stored_runs(spark, sf, *KEY, "finish").select(*KEY, clean.is_win("finish").alias("is_win"))
     return stratified_split(labelled)
 
 
@@ -279,5 +288,5 @@ def split(spark, sf):
     FROM labelled JOIN ({_CUT.format(key="race_id", source="races")}) c USING (race_id)"""
 )
 def split_by_race(spark, sf):
-    labelled = stored_runs(spark, sf).select(*KEY, clean.is_win("finish").alias("is_win"))
+    labelled = stored_runs(spark, sf, *KEY, "finish").select(*KEY, clean.is_win("finish").alias("is_win"))
     return stratified_split(labelled, unit="race")

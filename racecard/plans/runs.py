@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from racecard.operators.skew import hot_values, number_rows
+from racecard.operators.skew import hot_values, number_rows, split_hot
 from racecard.session import cut_lineage
 
 
@@ -42,18 +42,14 @@ def hot_races(all_runs: DataFrame, large: list) -> list:
     return hot_values(all_runs, "race_id") if large else []
 
 
-def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The runs as a stored table, for queries that read them more than once."""
-    return cut_lineage(runs(spark, sf_dir))
+    all_runs = runs(spark, sf_dir)
+    return cut_lineage(all_runs.select(*columns) if columns else all_runs)
 
 
-def runs(spark: SparkSession, sf_dir: str, large: list | None = None) -> DataFrame:
-    """One row per runner and race, all fields as the raw text a result page has."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem")
-    hot = large_orders(spark, sf_dir) if large is None else large
-
-    # A horse runs once per race; copies collapse map-side before any shuffle by race.
+def _once_per_race(lines: DataFrame) -> DataFrame:
+    """The dearest line of each horse in each race: a horse runs once per race."""
     best = F.struct(
         F.col("l_extendedprice").alias("price"),
         (-F.col("l_suppkey")).alias("supp"),
@@ -61,8 +57,7 @@ def runs(spark: SparkSession, sf_dir: str, large: list | None = None) -> DataFra
         F.col("l_returnflag").alias("flag"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
     )
-    once = lines.groupBy("l_orderkey", "l_partkey").agg(F.max(best).alias("b"))
-    once = once.select(
+    return lines.groupBy("l_orderkey", "l_partkey").agg(F.max(best).alias("b")).select(
         "l_orderkey",
         "l_partkey",
         F.col("b.price").alias("price"),
@@ -74,6 +69,20 @@ def runs(spark: SparkSession, sf_dir: str, large: list | None = None) -> DataFra
         _padded(-F.col("b.supp"), 5).alias("jockey_id"),
     )
 
+
+def runs(spark: SparkSession, sf_dir: str, large: list | None = None) -> DataFrame:
+    """One row per runner and race, all fields as the raw text a result page has."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem")
+    hot = large_orders(spark, sf_dir) if large is None else large
+
+    # One shuffle by race serves everything below; races too large for that collapse their
+    # copies map-side instead.
+    cold, big = split_hot(lines, "l_orderkey", hot)
+    once = _once_per_race(cold.repartition("l_orderkey"))
+    if big is not None:
+        once = once.unionByName(_once_per_race(big))
+
     once = number_rows(
         once, "l_orderkey",
         [F.col("l_linenumber"), F.col("horse_id"), F.col("jockey_id")], "gate", hot,
