@@ -10,7 +10,7 @@ from racecard.operators.rates import career_rates, with_rates
 from racecard.plans import derived_pages as pages_of
 from racecard.plans.queries_features import CAREER
 from racecard.plans.registry import query, rounded, work_path
-from racecard.plans.runs import hot_horses, runs
+from racecard.plans.runs import hot_horses, runs, stored_runs
 from racecard.plans.runs_sql import FINISH, RUNS
 from racecard.schema import RESULTS
 from racecard.sources import pages, tables
@@ -77,7 +77,7 @@ def race_id_grid(spark, sf):
 def append_results(spark, sf):
     """Stored races first, then everything offered again: each runner is held once."""
     path = work_path(spark, "results")
-    all_runs = runs(spark, sf)
+    all_runs = stored_runs(spark, sf)
     tables.append_results(stored_part(all_runs), path)
     tables.append_results(all_runs, path)
     return rounded(tables.stored_results(spark, path).select(*RAW, "race_date"))
@@ -116,7 +116,7 @@ def enriched_versions(spark, sf):
 def rate_store(spark, sf):
     """Rates known up to a date are stored, the rest added, then all refreshed; newest read back."""
     path = work_path(spark, "rates")
-    all_runs = runs(spark, sf)
+    all_runs = stored_runs(spark, sf, "jockey_id", "trainer_id", "finish", "race_date")
     for source, refresh in ((stored_part(all_runs), False), (all_runs, False), (all_runs, True)):
         for entity in ("jockey", "trainer"):
             tables.upsert_entity_rates(career_rates(source, entity), path, refresh)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from racecard.operators.frames import canonical, new_races
 from racecard.operators.rates import latest_rates, missing_ids
 from racecard.schema import ENTITY_RATES, RESULTS
+from racecard.session import cut_lineage
 
 MOST_SEASONS = 1000
 
@@ -91,8 +92,11 @@ def stored_like(batch: DataFrame, path: str) -> DataFrame:
 
 
 def append_results(batch: DataFrame, path: str) -> None:
-    """Append the races of a batch that are not stored yet; create the table if absent."""
-    batch = conform(batch, RESULTS)
+    """Append the races of a batch that are not stored yet; create the table if absent.
+
+    The batch is staged first, as it is read twice and may come straight from pages.
+    """
+    batch = cut_lineage(conform(batch, RESULTS))
     write_results(new_races(batch, stored_like(batch, path)), path)
 
 

@@ -48,8 +48,11 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = conform(batch, RESULTS)
-        write_results(new_runners(batch, stored_like(batch, path)), path)
+        batch = conform(batch, RESULTS).persist()
+        try:
+            write_results(new_runners(batch, stored_like(batch, path)), path)
+        finally:
+            batch.unpersist()
 
     writer = (
         results.writeStream.outputMode("append")
