@@ -68,12 +68,11 @@ def odds_probability(spark, sf):
 @query(
     RUNS.rstrip() + """, labelled AS (
       SELECT race_id, horse_no, CASE WHEN finish = '1' THEN 1.0 ELSE 0.0 END AS score FROM runs
-    ) SELECT race_id, horse_no, CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w * 100
-        ELSE 100.0 / count(*) OVER w END AS probability,
-      row_number() OVER (PARTITION BY race_id ORDER BY score DESC, CAST(horse_no AS INT)) AS rank_in_race
+    ) SELECT race_id, horse_no, round(CASE WHEN sum(score) OVER w > 0
+        THEN score / sum(score) OVER w * 100 ELSE 100.0 / count(*) OVER w END, 6) AS probability,
+      CAST(row_number() OVER (PARTITION BY race_id ORDER BY score DESC, CAST(horse_no AS INT)) AS INT)
+        AS rank_in_race
     FROM labelled WINDOW w AS (PARTITION BY race_id)"""
-    .replace("CASE WHEN sum(score) OVER w > 0", "round(CASE WHEN sum(score) OVER w > 0")
-    .replace("count(*) OVER w END AS probability", "count(*) OVER w END, 6) AS probability")
 )
 def share_of_race(spark, sf):
     """Share of a 0/1 weight: races whose weights are all 0 are shared equally."""

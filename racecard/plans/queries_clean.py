@@ -168,7 +168,7 @@ def clean_id(spark, sf):
     """WITH hrefs AS (
       SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS found FROM pages
     ), links AS (
-      SELECT page_id, unnest(found) AS href, unnest(range(len(found))) AS link_no FROM hrefs
+      SELECT page_id, unnest(found) AS href, CAST(unnest(range(len(found))) AS INT) AS link_no FROM hrefs
     )
     SELECT page_id, link_no, href, regexp_extract(href, '/horse/([0-9]{10})', 1) AS horse_id,
       regexp_extract(href, '(?:id=|/jockey/|/jockey/result/recent/)([0-9]{5})', 1) AS jockey_id,

@@ -210,7 +210,7 @@ def preprocessed(spark, sf):
         {num("odds")} AS odds, {num("popularity")} AS popularity FROM runs
     )
     SELECT race_id, horse_no, is_win, {", ".join(
-        f"0.0 AS {f}" for f in ALL_FEATURES if f not in ("odds", "popularity"))},
+        f"CAST(0 AS DOUBLE) AS {f}" for f in ALL_FEATURES if f not in ("odds", "popularity"))},
       round(coalesce(odds, (SELECT avg(odds) FROM typed)), 6) AS odds, popularity FROM typed"""
 )
 def aligned(spark, sf):

@@ -158,7 +158,7 @@ def extract_entries(spark, sf):
 @query(
     RUNS + """SELECT horse_id, CASE WHEN race_id[1] <> 'X' THEN race_id END AS race_id, race_name, finish,
     coalesce(up_3f, '') AS up_3f, CAST(race_date AS VARCHAR) AS race_date,
-    (row_number() OVER (PARTITION BY horse_id ORDER BY race_date, race_id) - 1) % 32 AS hist_pos
+    CAST((row_number() OVER (PARTITION BY horse_id ORDER BY race_date, race_id) - 1) % 32 AS INT) AS hist_pos
     FROM runs"""
 )
 def extract_history(spark, sf):

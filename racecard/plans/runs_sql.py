@@ -72,13 +72,13 @@ def num(column: str) -> str:
 FINISH = "TRY_CAST(nullif(regexp_replace(finish, '[^0-9]', '', 'g'), '') AS DOUBLE)"
 DOMESTIC = "regexp_matches(race_id, '^[0-9]{12}$')"
 # The races of the fixture have five names; their class as plain substrings, and as whole words.
-CLASS = """CASE WHEN contains(race_name, 'G1') OR contains(race_name, 'GI') THEN 9.0
+CLASS = """CAST(CASE WHEN contains(race_name, 'G1') OR contains(race_name, 'GI') THEN 9.0
  WHEN contains(race_name, 'G2') THEN 8.0 WHEN contains(race_name, '3勝クラス') THEN 5.0
- WHEN contains(race_name, '未勝利') THEN 2.0 WHEN contains(race_name, '新馬') THEN 1.0 ELSE 0.0 END"""
-CLASS_CORRECTED = """CASE WHEN regexp_matches(race_name, '(^|[^A-Z]|J)(G1|GI)([^0-9IV]|$)') THEN 9.0
+ WHEN contains(race_name, '未勝利') THEN 2.0 WHEN contains(race_name, '新馬') THEN 1.0 ELSE 0.0 END AS DOUBLE)"""
+CLASS_CORRECTED = """CAST(CASE WHEN regexp_matches(race_name, '(^|[^A-Z]|J)(G1|GI)([^0-9IV]|$)') THEN 9.0
  WHEN regexp_matches(race_name, '(^|[^A-Z]|J)(G2|GII)([^0-9IV]|$)') THEN 8.0
  WHEN contains(race_name, '3勝クラス') THEN 5.0 WHEN contains(race_name, '未勝利') THEN 2.0
- WHEN contains(race_name, '新馬') THEN 1.0 ELSE 0.0 END"""
+ WHEN contains(race_name, '新馬') THEN 1.0 ELSE 0.0 END AS DOUBLE)"""
 
 # Features of every run as of its race, by date.
 PAST = RUNS.rstrip() + f""", typed AS (
@@ -145,7 +145,7 @@ def fills(group: str = "") -> str:
     items = []
     for name, kind, constant in IMPUTATION:
         value = {"mean": f"avg({name})", "median": f"median({name})"}.get(kind, "NULL")
-        items.append(f"coalesce({value}, {constant}) AS {name}")
+        items.append(f"CAST(coalesce({value}, {constant}) AS DOUBLE) AS {name}")
     return ", ".join(([group] if group else []) + items)
 
 
@@ -166,7 +166,8 @@ WEIGHTED = RUNS.rstrip() + f""", weighted AS (
   SELECT *, 1.0 / coalesce(nullif({num("odds")}, 0), 999.0) AS score FROM runs
 ), ranked AS (
   SELECT *, score / sum(score) OVER (PARTITION BY race_id) * 100 AS probability,
-    row_number() OVER (PARTITION BY race_id ORDER BY score DESC, CAST(horse_no AS INT)) AS rank_in_race
+    CAST(row_number() OVER (PARTITION BY race_id ORDER BY score DESC, CAST(horse_no AS INT)) AS INT)
+      AS rank_in_race
   FROM weighted
 ), card AS (
   SELECT race_id, rank_in_race,
