@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from racecard.llm import bpe, packing
+from racecard.llm import bpe, packing, quality_gam, quality_rules, toxicity
 from racecard.llm.registry import query, table
 
 
@@ -19,3 +19,20 @@ def op1_best_fit_packing(spark, sf_dir):
 def op4_byte_bpe(spark, sf_dir):
     return bpe.byte_pair_digest(table(spark, sf_dir, "documents"),
                                 public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark, sf_dir):
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "score")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
