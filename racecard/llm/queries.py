@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from racecard.llm import bpe, packing, quality_gam, quality_rules, toxicity
+from racecard.llm import bpe, neardup, packing, quality_gam, quality_rules, toxicity
 from racecard.llm.registry import query, table
 
 
@@ -33,6 +33,11 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark, sf_dir):
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
