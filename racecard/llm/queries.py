@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from racecard.llm import bpe, neardup, packing, quality_gam, quality_rules, toxicity
+from racecard.llm import bpe, neardup, packing, quality_gam, quality_rules, secrets, toxicity
 from racecard.llm.registry import query, table
 
 
@@ -15,6 +15,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(pieces)
 
 
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark, sf_dir):
     return bpe.byte_pair_digest(table(spark, sf_dir, "documents"),
