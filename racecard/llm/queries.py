@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from racecard.llm import bpe, neardup, packing, quality_gam, quality_rules, secrets, toxicity
+from racecard.llm import bpe, neardup, packing, quality_gam, quality_rules, secrets, simhash, toxicity
 from racecard.llm.registry import query, table
 
 
@@ -46,3 +46,8 @@ def op7_minhash_near_dedup(spark, sf_dir):
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark, sf_dir):
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_simhash_fingerprints")
+def op10_simhash_fingerprints(spark, sf_dir):
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
