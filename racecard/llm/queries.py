@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from racecard.llm import bpe, neardup, packing, quality_gam, quality_rules, secrets, simhash, toxicity
+from racecard.llm import bpe, langid, neardup, packing, pii, quality_gam, quality_rules, secrets, simhash, toxicity
 from racecard.llm.registry import query, table
 
 
@@ -15,6 +15,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(pieces)
 
 
+@query("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query("op3_secret_scan")
 def op3_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -43,6 +48,11 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query("op8_personal_data")
+def op8_personal_data(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark, sf_dir):
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
