@@ -98,7 +98,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def signatures(docs: DataFrame, text: str, key: str, words: int, bands: int) -> DataFrame:
-    """``key, n_shingles, node, signature, bands``; the last three are null without shingles."""
+    """``key, row, n_shingles, node, signature, bands``; the last three are null without shingles.
+
+    ``row`` is a hash of the text, which tells rows of one id apart.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,15 +133,17 @@ def signatures(docs: DataFrame, text: str, key: str, words: int, bands: int) ->
 
                 sets = [total[i].tobytes() + other[i].tobytes() for i in range(len(held))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(count.astype(np.int64)), spread(sets, pa.binary()),
+                    [part.column("key"), part.column("row"), pa.array(count.astype(np.int64)), spread(sets, pa.binary()),
                      spread([row.tobytes() for row in small], pa.binary()),
                      spread(list(buckets.astype(np.int64)), pa.list_(pa.int64()))],
-                    names=["key", "n_shingles", "set_hash", "signature", "bands"])
+                    names=["key", "row", "n_shingles", "set_hash", "signature", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(sign, f"key {kind}, n_shingles bigint, set_hash binary, signature binary, bands array<bigint>")
-            .select("key", "n_shingles", "signature", "bands",
+            .select("key", "text", F.xxhash64("text").alias("row"))
+            .mapInArrow(sign, f"key {kind}, row bigint, n_shingles bigint, set_hash binary, "
+                              "signature binary, bands array<bigint>")
+            .select("key", "row", "n_shingles", "signature", "bands",
                     F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "set_hash")).alias("node")))
 
 
@@ -254,6 +259,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS,
                     percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row of ``docs``."""
+    found = grouped(docs, text, key, words, percent)
+    own = F.coalesce("component_id", "key")
+    return found.select(F.col("key").alias(key), "n_shingles", own.alias("component_id"),
+                        F.col("key").eqNullSafe(own).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS,
+                            percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, and of its rows the least hash.
+
+    Rows without shingles stay, once per id and text.
+    """
+    found = cut_lineage(grouped(docs, text, key, words, percent).select("key", "row", "component_id", "n_shingles"))
+    linked = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("key", "row")).alias("least"))
+    kept = (linked.select("least.key", "least.row")
+            .unionByName(found.where("n_shingles = 0").select("key", "row")).distinct()
+            .select(F.col("key").alias("_kept_key"), F.col("row").alias("_kept_row")))
+    rows = docs.withColumn("_row", F.xxhash64(F.col(text).cast("string")))
+    return (rows.join(kept, rows[key].eqNullSafe(F.col("_kept_key")) & (rows["_row"] == F.col("_kept_row")), "left_semi")
+            .dropDuplicates([key, "_row"]).drop("_row"))
+
+
+def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
+    """``key, row, n_shingles, component_id`` for every row; the last is null without shingles."""
     threshold = percent / 100
     signed = cut_lineage(signatures(docs, text, key, words, bands_for(threshold)))
     classes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
@@ -287,7 +316,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     least = (final.join(classes, "node").groupBy("root").agg(F.min("key").alias("component_id")))
     of_node = classes.join(final.join(least, "root").select("node", "component_id"), "node", "left")
     by_node = of_node.select("node", F.coalesce("component_id", "key").alias("component_id"))
-    found = signed.select("key", "n_shingles", "node").join(by_node, "node", "left")
-    return found.select(
-        F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"),
-        F.col("key").eqNullSafe(F.coalesce("component_id", "key")).alias("kept"))
+    return (signed.select("key", "row", "n_shingles", "node").join(by_node, "node", "left")
+            .select("key", "row", "n_shingles", "component_id"))

@@ -6,9 +6,8 @@ tree on the gradient of the log loss, which is added to its table. Pairs of feat
 that explain most of what remains get tables over pairs of bins the same way. A score is
 the sigmoid of a sum of table entries, so scoring is one addition per feature and pair.
 
-Features are computed once and written; the fit reads at most ``SAMPLE`` labelled rows
-of them, and every row is scored from them. Labels, language, source and id are no
-features. Null and empty texts have all features 0 and are scored like any other text.
+The fit reads the texts of at most ``SAMPLE`` labelled ids outside the held-out part; every
+whole text is scored in one pass. Labels, language, source and id are no features. Null and empty texts have all features 0 and are scored like any other text.
 Without labels of both kinds, every score is the share of label 1 (one half if none).
 Repeated rows get equal scores; other columns are neither read nor returned.
 """
@@ -28,7 +27,6 @@ from racecard.llm.textscan import (
     IS_DIGIT, IS_SPACE, IS_UPPER, IS_WORDLIKE, Words, any_of, buffer_of, chunks, counts_of, lines,
     repeated, runs, span_hashes, windows, within_text,
 )
-from racecard.session import cut_lineage
 
 SAMPLE = 20_000
 BINS = 32
@@ -244,35 +242,50 @@ def feature_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             .mapInArrow(measure, f"key {kind}, features array<float>").withColumnRenamed("key", key))
 
 
-def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = SAMPLE) -> AdditiveModel:
-    """The model learnt from at most ``most`` labelled ids among ``rows``."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+        most: int = SAMPLE) -> AdditiveModel:
+    """The model learnt from the texts of at most ``most`` labelled ids."""
     sample = labelled_sample(labels, "quality", most, FOLDS, FOLD)
-    found = (rows.join(F.broadcast(sample), F.col(key) == F.col("sample_id"))  # ``most`` ids
-             .select("features", "label").limit(2 * most).collect())
+    chosen = docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("body")).join(
+        F.broadcast(sample), "sample_id")  # ``most`` ids
+    found = (feature_rows(chosen.select(F.struct("sample_id", "label").alias("row"), "body"), "body", "row")
+             .limit(2 * most).collect())
     x = np.array([r["features"] for r in found], np.float32).reshape(-1, len(FEATURES))
-    y = np.array([r["label"] for r in found], float)
+    y = np.array([r["row"]["label"] for r in found], float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows came in
     return AdditiveModel().fit(x[order], y[order])
 
 
-def scored(rows: DataFrame, model: AdditiveModel, key: str = "doc_id") -> DataFrame:
-    """``key, score`` of every feature row."""
+def scores(texts: pa.Array, model: AdditiveModel) -> np.ndarray:
+    return model.score(features(*buffer_of(texts)))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+                   threshold: float = 0.5, most: int = SAMPLE) -> DataFrame:
+    """``key, held_out, score, predicted`` of every row."""
+    model = fit(docs, labels, text, key, most)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.score(x))],
-                                             names=["key", "score"])
+            for part in chunks(batch, "text"):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array(scores(part.column("text"), model))], names=["key", "score"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return (rows.withColumnRenamed(key, "key").mapInArrow(score, f"key {kind}, score double")
-            .withColumnRenamed("key", key))
+    kind = docs.schema[key].dataType.simpleString()
+    return (docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+            .mapInArrow(score, f"key {kind}, score double")
+            .select(F.col("key").alias(key), held_out("key", FOLDS, FOLD).alias("held_out"), "score",
+                    (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-                   threshold: float = 0.5, most: int = SAMPLE) -> DataFrame:
-    """``key, held_out, score, predicted`` of every row."""
-    rows = cut_lineage(feature_rows(docs, text, key))
-    return scored(rows, fit(rows, labels, key, most), key).select(
-        key, held_out(key, FOLDS, FOLD).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+              threshold: float = 0.5, most: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with its columns."""
+    model = fit(docs, labels, text, key, most)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                yield part.filter(pa.array(scores(part.column(text), model) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

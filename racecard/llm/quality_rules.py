@@ -127,18 +127,24 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return verdicts(docs.select(key, text), labels, text, key, buckets, threshold, most_trusted).drop(text)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    return verdicts(docs, labels, text, key, prefix="_rules_").where("_rules_kept").select(*docs.columns)
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-             buckets: int = BUCKETS, threshold: float = THRESHOLD, most_trusted: int = TRUSTED) -> DataFrame:
-    """``docs`` with its own columns first, then the verdict's.
+             buckets: int = BUCKETS, threshold: float = THRESHOLD, most_trusted: int = TRUSTED,
+             prefix: str = "") -> DataFrame:
+    """``docs`` with its own columns first, then the verdict's, their names after ``prefix``.
 
     A column of ``docs`` that has the name of one of the verdict's is left out.
     """
     ratio = log_ratio(gram_counts(docs, trusted(labels, most_trusted), text, key, buckets), buckets)
-    found = [c.split()[0] for c in COLUMNS.split(", ")] + ["base_failed", "score", "kept"]
+    kinds = f"{COLUMNS}, base_failed boolean, score double, kept boolean".split(", ")
+    found = [prefix + c.split()[0] for c in kinds]
     own = [c for c in docs.columns if c not in found]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in own]
-                       + [COLUMNS, "base_failed boolean, score double, kept boolean"])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in own] + [prefix + c for c in kinds])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,6 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Words (runs of letters and digits, A-Z lower-cased) are known by a 64-bit hash. A word of
+Words (runs of letters and digits, A-Z lower-cased) are known by a 32-bit hash. A word of
 enough training texts has an embedding; a rarer one takes that of its longest beginning
 (``BEGINNINGS`` bytes) that enough training texts have, which covers inflected forms; all
 others share the zero vector. Filters of
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from racecard.llm.samples import held_out, labelled_sample
 from racecard.llm.textscan import FOLDED_VALUES, IS_WORDLIKE, buffer_of, chunks, mix, runs, span_hashes
 
-SAMPLE = 6_000
-FIT_WORDS = 20_000
+SAMPLE = 5_000
+FIT_WORDS = 10_000
 FEWEST_TEXTS = 8
 BEGINNINGS = (7, 6, 5, 4)
 DIMENSIONS = 8
@@ -53,11 +53,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     word is no longer than that.
     """
     start, end = runs(IS_WORDLIKE[data], offsets)
-    out = np.zeros((len(start), 1 + len(BEGINNINGS)), np.uint64)
-    out[:, 0] = span_hashes(data, start, end, FOLDED_VALUES)
+    out = np.zeros((len(start), 1 + len(BEGINNINGS)), np.uint32)
+    out[:, 0] = span_hashes(data, start, end, FOLDED_VALUES) >> np.uint64(32)
     for i, size in enumerate(BEGINNINGS, 1):
         longer = end - start > size
-        out[longer, i] = mix(span_hashes(data, start[longer], start[longer] + size, FOLDED_VALUES))
+        out[longer, i] = mix(span_hashes(data, start[longer], start[longer] + size, FOLDED_VALUES)) >> np.uint64(32)
     return out, np.searchsorted(start, offsets)
 
 
@@ -83,7 +83,7 @@ class ConvolutionModel:
 
     @staticmethod
     def _slot(keys: np.ndarray, shift: int) -> np.ndarray:
-        return (keys >> np.uint64(shift * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)
+        return (keys >> np.uint32(shift * (32 - SLOT_BITS))) & np.uint32((1 << SLOT_BITS) - 1)
 
     def _slots(self) -> list[np.ndarray]:
         """Two tables of row numbers by different bits of the hash; of keys in one slot, one stays.
@@ -246,13 +246,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
              .mapInArrow(hashed, f"sample_id {kind}, lang string, label int, words binary")
              .limit(2 * most).collect())
     found.sort(key=lambda r: (str(r["sample_id"]), bytes(r["words"])))
-    texts = [np.frombuffer(r["words"], np.uint64).reshape(-1, 1 + len(BEGINNINGS)) for r in found]
+    texts = [np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(BEGINNINGS)) for r in found]
     y = np.array([r["label"] for r in found], np.float32)
+    known = [r["lang"] for r in found]
+    del found
     model = ConvolutionModel().fit(texts, y)
     if not texts:
         return model, {}
     scores = np.concatenate([model.score(t, np.array([0, len(t)])) for t in texts])
-    return model, language_thresholds(scores, y, [r["lang"] for r in found])
+    return model, language_thresholds(scores, y, known)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
