@@ -81,7 +81,7 @@ def text_posteriors(parts: DataFrame, rates: np.ndarray) -> DataFrame:
             for part in chunks(batch, "text"):
                 doc, bucket = gram_buckets(*buffer_of(part.column("text")), BUCKETS)
                 many = np.bincount(doc, minlength=part.num_rows)
-                score = np.stack([np.bincount(doc, rate[bucket], part.num_rows) for rate in rates], axis=1)
+                score = np.stack([np.bincount(doc, rate[bucket], part.num_rows) for rate in rates], axis=1).astype(float)
                 score *= (np.minimum(many, TEXT_TOKENS) / np.maximum(many, 1))[:, None]
                 score = np.exp(score - score.max(axis=1, keepdims=True))
                 score /= score.sum(axis=1, keepdims=True)

@@ -10,8 +10,8 @@
    class and bucket however large the bucket. The links found join most members of a
    bucket into one component. Then, in buckets that still hold several components, the
    classes of different components are compared; large buckets in blocks of bounded size,
-   where only survivors leave the block. No pair of one component is compared again, and
-   no bucket is cut.
+   where a pair is also checked in full and only links leave the block. No pair of one
+   component is compared again, and no bucket is cut.
 4. A comparison reads the signatures in batches and stops as soon as the posterior chance
    that the similarity reaches the threshold (uniform prior, binomial matches) falls under
    ``PRUNE``. Survivors are checked on the full shingle sets.
@@ -46,7 +46,8 @@ ROWS_PER_BAND = 6
 MISS = 1e-5
 PRUNE = 1e-3
 STEP = 32
-BLOCK = 512
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 19
 SMALL_BUCKET = 24
 BITMAP_BITS = 1 << 23
 FACTORS = (_splitmix(HASHES, 41) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -115,7 +116,7 @@ def signatures(docs: DataFrame, text: str, key: str, words: int, bands: int) ->
                 if len(held):
                     for i, factor in enumerate(FACTORS):
                         least[:, i] = np.minimum.reduceat(folded * factor, first)
-                rows = least[:, : bands * ROWS_PER_BAND].astype(np.uint64).reshape(len(held), bands, -1)
+                rows = least[:, : bands * ROWS_PER_BAND].astype(np.uint64).reshape(len(held), bands, ROWS_PER_BAND)
                 buckets = np.zeros(rows.shape[:2], np.uint64)
                 for i in range(ROWS_PER_BAND):
                     buckets = buckets * BASE + rows[:, :, i]
@@ -167,27 +168,31 @@ def surviving(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFram
             .select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint"))
 
 
-def in_blocks(members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components in large buckets.
+def in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in large buckets.
 
-    ``members`` has ``bucket, node, root, n``. A bucket is dealt into n / ``BLOCK`` blocks
-    by hash; every two blocks meet in one group, so a group is bounded whatever the bucket,
-    and a group returns survivors only.
+    ``members`` has ``bucket, node, root, n, size``: how many classes and shingles the
+    bucket holds. A bucket is dealt by hash into blocks of about ``BLOCK`` classes and
+    ``BLOCK_SHINGLES`` shingles; every two blocks meet in one group, so a group is bounded
+    whatever the bucket. A pair that shares several buckets is compared in its first one.
     """
-    needed = least_matches(threshold)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    needed = least_matches(percent / 100)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
     dealt = (members.withColumn("blocks", blocks)
              .withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                      "own", "node", "root")
-             .join(signed.select("node", "signature"), "node"))
+             .join(nodes.select("node", "signature", "bands"), "node").join(sets, "node"))
 
     def meet(group: pa.Table) -> pa.Table:
         node, root, own = (group.column(c).to_numpy() for c in ("node", "root", "own"))
         signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, HASHES)
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        found_a, found_b = [], []
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        shingles = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        bucket, x, y = (group.column(c)[0].as_py() for c in ("bucket", "x", "y"))
+        band = (bands[0] == bucket).argmax()
+        found = []
         for i in np.flatnonzero(own == x):
             live = np.flatnonzero((own == y) & (root != root[i]) & ((x != y) | (node > node[i])))
             matches = np.zeros(len(node), np.int64)
@@ -196,14 +201,21 @@ def in_blocks(members: DataFrame, signed: DataFrame, threshold: float) -> DataFr
                     break
                 matches[live] += (signature[live, n - STEP: n] == signature[i, n - STEP: n]).sum(axis=1)
                 live = live[matches[live] >= needed[n]]
-            found_a.append(np.full(len(live), node[i]))
-            found_b.append(node[live])
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(found_a or none).astype(np.int64),
-                         "b": np.concatenate(found_b or none).astype(np.int64)})
+            live = live[(bands[live] == bands[i]).argmax(axis=1) == band]
+            found += [(node[i], node[j]) for j in live if similar(shingles[i], shingles[j], percent)]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(meet, "a bigint, b bigint")
+
 
-    met = dealt.groupBy("bucket", "x", "y").applyInArrow(meet, "a bigint, b bigint")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= ``percent`` * union, for arrays of distinct shingles."""
+    if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
+        return False
+    both = np.sort(np.concatenate([left, right]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int) -> DataFrame:
@@ -244,10 +256,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = []
             for i, (a, b) in enumerate(zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())):
-                left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.sort(np.concatenate([left, right]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
+                if similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent):
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
@@ -288,30 +297,37 @@ def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
     classes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
     # One signed row per node: of the rows with the class's least id, any (their sets are equal).
     nodes = cut_lineage(signed.join(classes, ["node", "key"]).dropDuplicates(["node"])
-                        .select("node", "key", "signature", "bands"))
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+                        .select("node", "key", "n_shingles", "signature", "bands"))
+    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = (banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
     members = cut_lineage(banded.join(shared, "bucket"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        alive = cut_lineage(surviving(pairs, nodes, threshold).distinct())
-        involved = alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct()
-        sets = cut_lineage(shingle_sets(docs, nodes.select("node", "key").join(involved, "node"), text, key, words))
-        return cut_lineage(confirmed(alive, sets, percent))
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def sets_of(involved: DataFrame) -> DataFrame:
+        return cut_lineage(shingle_sets(docs, nodes.select("node", "key").join(involved, "node"), text, key, words))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(surviving(pairs, nodes, threshold).distinct())
 
-    first = links(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    alive = possible(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    first = cut_lineage(confirmed(alive, sets_of(ends(alive)), percent))
     roots = components(first)
     # A bucket of two is done; so is one whose members are all in one component.
     rooted = (members.where("n > 2").join(roots, "node", "left")
-              .select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
-    several = (rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-               .where("lo <> hi").select("bucket"))
+              .select("bucket", "node", "n_shingles", "n", F.coalesce("root", "node").alias("root")))
+    several = (rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                            F.sum("n_shingles").alias("size"))
+               .where("lo <> hi").select("bucket", "size"))
     open_members = cut_lineage(rooted.join(several, "bucket"))
     small = open_members.where(F.col("n") <= SMALL_BUCKET)
-    pairs = (small.alias("l").join(small.alias("r"), "bucket").where("l.node < r.node and l.root <> r.root")
-             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-    large = in_blocks(open_members.where(F.col("n") > SMALL_BUCKET), nodes, threshold)
-    second = links(pairs.union(large).distinct())
+    alive = possible(
+        small.alias("l").join(small.alias("r"), "bucket").where("l.node < r.node and l.root <> r.root")
+        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
+    large = open_members.where(F.col("n") > SMALL_BUCKET)
+    sets = sets_of(ends(alive).union(large.select("node")).distinct())
+    second = cut_lineage(confirmed(alive, sets, percent).union(in_blocks(large, nodes, sets, percent)))
     final = components(first.union(second))
     least = (final.join(classes, "node").groupBy("root").agg(F.min("key").alias("component_id")))
     of_node = classes.join(final.join(least, "root").select("node", "component_id"), "node", "left")

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
 from llm.conftest import documents
@@ -23,14 +23,14 @@ PARTS = st.sampled_from(["token", "Secret=", "api_key: '", "PASSWORD", "passwd=\
                          "0123456789ab", "deadbeefdead", " ", "\n", "é\U0001f642", "\"", "==", "token=token:", "-"])
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(PARTS, max_size=14).map("".join), min_size=40, max_size=40))
 def test_base_spans(spark, texts):
     docs = documents(spark, list(enumerate(texts)))
     for r in secrets.find_secrets(docs).collect():
         want = brute(texts[r["doc_id"]])
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == want[:4]
-        assert set(want[4].split(",")) <= set(r["spans"].split(","))
+        assert set(filter(None, want[4].split(","))) <= set(r["spans"].split(","))
 
 
 def test_ownership_separates_copies_from_credentials(spark):

@@ -38,7 +38,7 @@ def test_equal_texts_and_small_edits(spark):
     rows = {r["doc_id"]: r for r in simhash.fingerprint_report(docs).collect()}
     assert rows[100]["fingerprint"] == rows[200]["fingerprint"]
     assert rows[100]["n_near"] == 2 and rows[4]["n_near"] is None
-    assert likeness(rows[100]["fingerprint"], rows[4]["fingerprint"]) < 0.8
+    assert likeness(rows[100]["fingerprint"], rows[4]["fingerprint"]) < 0.9
 
 
 def test_awkward_rows(awkward, awkward_rows, nothing, spark):
