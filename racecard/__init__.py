@@ -2,7 +2,7 @@
 
 from racecard.operators.card import headline, normalize, odds_probability, race_card, recommendations
 from racecard.operators.features import feature_table, preprocess
-from racecard.operators.history import past_features
+from racecard.operators.history import past_features, with_race_facts
 from racecard.operators.rates import rates_asof, with_rates
 from racecard.plans.model import enrich, load_model, predict, save_model, train
 from racecard.session import build_session
@@ -19,5 +19,5 @@ __all__ = [
     "latest_odds", "latest_odds_stream", "load_model", "load_pages", "load_results", "normalize",
     "odds_probability", "overlay_odds", "parse_live_odds", "past_features", "predict",
     "preprocess", "race_card", "race_id_grid", "rates_asof", "recommendations", "save_model",
-    "train", "with_rates",
+    "train", "with_race_facts", "with_rates",
 ]

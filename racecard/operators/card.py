@@ -99,6 +99,6 @@ def order_for_display(card: DataFrame) -> DataFrame:
     return card.orderBy("race_id", F.col("rank_in_race").desc())
 
 
-def head(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first rows, as a report shows them."""
-    return df.limit(n)
+def head(df: DataFrame, order: list[Column | str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an order, as a report shows them."""
+    return df.orderBy(*order).limit(n)

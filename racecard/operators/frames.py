@@ -102,24 +102,28 @@ def batch_summary(df: DataFrame) -> DataFrame:
 
 
 def new_races(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Runners of races that are not stored yet, each runner once.
+    """Runners of races that are not stored yet; rows equal in every column count once.
 
-    A race the batch holds twice is taken once: of equal (race, horse number) rows
-    the first in column order stays, so that reruns keep the same one.
+    A null race id is a race like any other: once stored, it is not new again.
     """
-    fresh = batch.join(stored.select("race_id").distinct(), "race_id", "left_anti")
-    return _each_once(fresh, ["race_id", "horse_no"])
+    known = stored.select(F.col("race_id").alias("_known")).distinct()
+    fresh = batch.join(known, batch["race_id"].eqNullSafe(known["_known"]), "left_anti")
+    return fresh.distinct()
 
 
-def new_runners(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Like ``new_races`` by (race, horse number): for streams that split a race over batches."""
-    keys = ["race_id", "horse_no"]
-    return _each_once(batch.join(stored.select(*keys), keys, "left_anti"), keys)
+RUNNER = ["race_id", "horse_no", "horse_id", "horse_name"]
+
 
+def new_runners(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Like ``new_races`` by runner: for streams that split a race over batches.
 
-def _each_once(df: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
+    A runner is known by race, number, horse and name, any of which may be null. Of
+    several rows of one runner the first in column order stays, so reruns keep the same.
+    """
+    held = stored.select(*[F.col(c).alias(f"_{c}") for c in RUNNER])
+    same = reduce(lambda a, b: a & b, [batch[c].eqNullSafe(held[f"_{c}"]) for c in RUNNER])
+    rest = [c for c in batch.columns if c not in RUNNER]
     first = F.min(F.struct(*rest)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(
-        *[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns]
+    return batch.join(held, same, "left_anti").groupBy(*RUNNER).agg(first).select(
+        *[F.col(c) if c in RUNNER else F.col("_first")[c].alias(c) for c in batch.columns]
     )

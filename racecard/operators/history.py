@@ -8,8 +8,11 @@ both.
 
 One scan over each horse's races in order carries everything, so there is no
 self-join and no pair of races is ever formed. Horses too large for one task are
-cut into days (or race-id prefixes); each piece is scanned alone and then given
-what the earlier pieces add up to.
+cut into ranges of that order; each piece is scanned alone and then given what the
+earlier pieces add up to.
+
+A run without a date takes that of its race in the history. A race that no history
+knows is one still to be run: it comes after every dated run, in the order of ids.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from racecard.functions import clean
 from racecard.operators.skew import hot_values
+from racecard.session import cut_lineage
 
 OUTPUTS = ["prev_rank", "avg_up_3f_3runs", "win_rate", "prev_class"]
 _ADDED = ["_c_n", "_c_won", "_c_last", "_c_up"]
@@ -90,7 +94,7 @@ def _carried(rows: DataFrame) -> DataFrame:
 
     Sums and the latest race are aggregated map-side, and the three latest times of
     a piece are found with a group limit that also works before the shuffle. A hot
-    horse has at most one piece per calendar day, so the scan over pieces is small.
+    horse has at most one piece per shuffle partition, so the scan over pieces is small.
     """
     keys = ["horse_id", "_piece"]
     totals = rows.groupBy(*keys).agg(
@@ -114,6 +118,21 @@ def _mean_of(times: list[Column]) -> Column:
     return F.try_divide(total, known)
 
 
+def with_race_facts(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """``rows`` with date and name of each race where they lack them, from any horse's history.
+
+    Horses' career pages name the date of every domestic race they ran, by its id.
+    """
+    named = [c for c in ("race_date", "race_name") if c in history.columns]
+    facts = (
+        history.where(clean.is_domestic("race_id"))
+        .groupBy("race_id")
+        .agg(*[F.max(c).alias(f"_{c}") for c in named])
+    )
+    known = {c: F.coalesce(F.col(c), F.col(f"_{c}")) if c in rows.columns else F.col(f"_{c}") for c in named}
+    return rows.join(facts, "race_id", "left").withColumns(known).drop(*[f"_{c}" for c in named])
+
+
 def past_features(
     targets: DataFrame,
     history: DataFrame | None = None,
@@ -143,25 +162,20 @@ def past_features(
 
     if hot is None:
         hot = hot_values(targets if history is None else history, "horse_id")
-    if order == "time":
-        piece = F.col("race_date").cast("string")
-        steps = [F.col("race_date"), F.col("race_id")]
-    else:
-        # The first ten digits name a day of a meeting; text order keeps its prefix order.
-        piece = F.substring("race_id", 1, 10)
-        steps = [F.col("race_id")]
-    # Runners without an id are scattered, each a group of its own.
-    own_hash = F.xxhash64(*[c for c in ("race_id", "horse_no") if c in kept]).cast("string")
-    is_hot = F.coalesce(F.col("horse_id").isin(hot), F.lit(False))
-    rows = rows.withColumn(
-        "_piece",
-        F.when(F.col("horse_id").isNull(), own_hash)
-        .when(is_hot, F.coalesce(piece, F.lit("")))
-        .otherwise(F.lit("")),
-    )
-
+    steps = [F.asc_nulls_last("race_date"), F.col("race_id")] if order == "time" else [F.col("race_id")]
     # Targets come before past runs of the same race, so a race never sees itself.
     steps = steps + ([F.col("_target").desc()] if history is not None else [])
+    # Runners without an id are scattered, each a group of its own.
+    own_hash = F.xxhash64(*[c for c in ("race_id", "horse_no") if c in kept])
+    is_hot = F.coalesce(F.col("horse_id").isin(hot), F.lit(False))
+    whole = F.when(F.col("horse_id").isNull(), own_hash).otherwise(F.lit(0).cast("bigint"))
+    if hot:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = rows.where(is_hot).repartitionByRange(parts, F.col("horse_id"), *steps)
+        big = cut_lineage(ranged.withColumn("_piece", F.spark_partition_id().cast("bigint")))
+        rows = rows.where(~is_hot).withColumn("_piece", whole).unionByName(big)
+    else:
+        rows = rows.withColumn("_piece", whole)
     scanned = _scan(rows, ["horse_id", "_piece"], steps).where("_target")
 
     runs, wins, last = F.col("_n"), F.col("_won"), F.col("_last")

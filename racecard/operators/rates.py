@@ -21,8 +21,8 @@ def rate_totals(runs: DataFrame, entity: str, days: DataFrame | None = None) ->
     """Per entity and day, its rates over all earlier days; 0 before its first result.
 
     Runs are first counted per entity and day, map-side; only those counts are
-    scanned in order, at most one row per calendar day for any entity. ``days`` are
-    further (entity, day) pairs to answer for, without a run of their own.
+    scanned in order, at most one row per calendar day for any entity. A race without a
+    date is one still to be run and comes after all others. ``days`` are further (entity, day) pairs to answer for, without a run of their own.
     """
     key = f"{entity}_id"
     daily = runs.where(F.col(key).isNotNull()).groupBy(key, "race_date").agg(*_outcomes())
@@ -33,7 +33,7 @@ def rate_totals(runs: DataFrame, entity: str, days: DataFrame | None = None) ->
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "wins", "places")]
         )
     earlier = (
-        Window.partitionBy(key).orderBy("race_date").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(F.asc_nulls_last("race_date")).rowsBetween(Window.unboundedPreceding, -1)
     )
     n = F.sum("n").over(earlier)
     return daily.select(
@@ -58,9 +58,10 @@ def rates_asof(runs: DataFrame, entity: str, targets: DataFrame | None = None) -
 def with_totals(df: DataFrame, totals: DataFrame, entity: str) -> DataFrame:
     """Runners joined with ``rate_totals`` by entity and day."""
     out = [f"{entity}_win_rate", f"{entity}_place_rate"]
-    return df.drop(*out).join(totals, [f"{entity}_id", "race_date"], "left").select(
-        *[c for c in df.columns if c not in out], *out
-    )
+    rates = totals.select(F.col(f"{entity}_id").alias("_id"), F.col("race_date").alias("_day"), *out)
+    kept = df.drop(*out)
+    same = (kept[f"{entity}_id"] == F.col("_id")) & kept["race_date"].eqNullSafe(F.col("_day"))
+    return kept.join(rates, same, "left").select(*[c for c in df.columns if c not in out], *out)
 
 
 def career_rates(runs: DataFrame, entity: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Hot keys: find them, and number their rows without one task holding a whole group.
 
-The hot keys of a table are its thousand largest, as far as they exceed a minimum
-size. Whatever the data, the list is that short, which is what lets it be collected
-or broadcast, and any key outside it holds at most a thousandth of the rows. Which
-keys are on it never changes a result, only how it is computed.
+A key is hot if it alone holds more rows than a task should: more than one part of the
+table in ``parts``, four per shuffle partition by default. So there are at most ``parts``
+hot keys whatever the data, all of them are found, and no other key is larger than a
+task's share. Which keys are hot never changes a result, only how it is computed.
 """
 
 from __future__ import annotations
@@ -13,22 +13,30 @@ from pyspark.sql import functions as F
 
 from racecard.session import cut_lineage
 
-MAX_HOT_KEYS = 1000
-MIN_ROWS_SETTING = "spark.racecard.hot.minRows"
-MIN_ROWS = 1_000_000
-
-
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """One row per hot value of ``key``, from one pass over that column with partial counts."""
-    least = int(df.sparkSession.conf.get(MIN_ROWS_SETTING, str(MIN_ROWS)))
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    largest = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), key)
-    return largest.limit(MAX_HOT_KEYS).select(key)
+PARTS_SETTING = "spark.racecard.hot.parts"
+MOST_PARTS = 100_000
+TRACKED_PER_PART = 8
 
 
 def hot_values(df: DataFrame, key: str) -> list:
-    """The hot values themselves, for a plan that differs when there are any."""
-    return [row[0] for row in hot_keys(df, key).collect()]
+    """Every hot value of ``key``, from one pass over that column.
+
+    Each task keeps a sketch of its frequent values, and only the sketches are merged. A
+    sketch that tracks t values misplaces a count by less than rows / t at most, so the
+    candidates are taken from half the share on, and counted exactly.
+    """
+    conf = df.sparkSession.conf
+    parts = int(conf.get(PARTS_SETTING, str(4 * int(conf.get("spark.sql.shuffle.partitions")))))
+    parts = min(parts, MOST_PARTS)
+    tracked = min(1_000_000, max(1000, TRACKED_PER_PART * parts))
+    # Frequent values by hash: the sketch then holds numbers, whatever the key's type.
+    hashed = df.where(F.col(key).isNotNull()).select(key, F.xxhash64(key).alias("_hash"))
+    found = hashed.agg(F.expr(f"approx_top_k(_hash, {2 * parts}, {tracked})").alias("top"), F.count("*").alias("n")).first()
+    likely = [x["item"] for x in found["top"] or [] if x["count"] * parts * 2 > found["n"]]
+    if not likely:
+        return []
+    counts = hashed.where(F.col("_hash").isin(likely)).groupBy(key).agg(F.count("*").alias("n"))
+    return sorted(row[0] for row in counts.where(F.col("n") * parts > found["n"]).select(key).collect())
 
 
 def split_hot(df: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame | None]:

@@ -16,7 +16,7 @@ from racecard.functions import clean
 from racecard.operators import card, evaluate
 from racecard.operators.features import feature_table, impute_stats, parse_features
 from racecard.operators.frames import drop_if_present, with_defaults
-from racecard.operators.history import past_features
+from racecard.operators.history import past_features, with_race_facts
 from racecard.operators.rates import rate_totals, with_rates, with_totals
 from racecard.operators.split import stratified_split
 from racecard.schema import FEATURES
@@ -49,21 +49,29 @@ def enrich(
     rates: DataFrame | None = None,
     order: str = "time",
     hot: list | None = None,
+    results: DataFrame | None = None,
 ) -> DataFrame:
     """Runners with past features and jockey and trainer rates.
 
-    Rates are as of each race, counted from the runs; with ``rates`` they are looked up
-    in that table instead. ``hot`` names horses too large for one task, if known.
+    ``history`` holds the horses' careers, without it the runs are their own; dates and
+    names of races that the runs lack come from it. Rates are as of each race, counted from
+    ``results`` (by default the history if it names jockeys, else the runs); with ``rates``
+    they are looked up in that table instead. ``hot`` names horses too large for one task.
     """
-    out = past_features(drop_if_present(runs), history, order, hot=hot)
+    runs = drop_if_present(runs)
+    if history is not None:
+        runs = with_race_facts(runs, history)
+    if results is None:
+        results = history if history is not None and "jockey_id" in history.columns else runs
+    out = past_features(runs, history, order, hot=hot)
     for entity in ("jockey", "trainer"):
         if rates is not None:
             out = with_rates(out, rates, entity)
-        elif history is None:
+        elif results is runs:
             # Counted on the runs themselves, so that the counts need none of the windows above.
             out = with_totals(out, rate_totals(runs, entity), entity)
         else:
-            out = with_totals(out, rate_totals(history, entity, days=runs), entity)
+            out = with_totals(out, rate_totals(results, entity, days=runs), entity)
     return out
 
 
@@ -129,6 +137,7 @@ def train(
     unit: str = "row",
     exclude: tuple[str, ...] = (),
     hot_horses: list | None = None,
+    results: DataFrame | None = None,
 ) -> Training:
     """Enrich, split, fill, fit, evaluate and store.
 
@@ -138,7 +147,7 @@ def train(
     """
     spark = runs.sparkSession
     labels = runs.select("race_id", "horse_no", clean.is_win("finish").alias("is_win"))
-    parsed = parse_features(enrich(runs, history, rates, hot=hot_horses))
+    parsed = parse_features(enrich(runs, history, rates, hot=hot_horses, results=results))
     keep = ["race_id", "horse_no", "is_win", "sex", *FEATURES]
     parsed = parsed.select(*[c for c in keep if c in parsed.columns])
     table = cut_lineage(stratified_split(parsed, unit=unit, counted_on=labels))
@@ -167,11 +176,13 @@ def predict(
     odds: DataFrame | None = None,
     hot: list | None = None,
     hot_horses: list | None = None,
+    results: DataFrame | None = None,
 ) -> DataFrame:
     """Every entry with ``score``, ``probability`` and ``rank_in_race``.
 
     With a model the score is its probability, on features filled as in training;
-    without one it is the inverse of the odds.
+    without one it is the inverse of the odds. ``history`` holds the horses' careers and
+    ``results`` past runs with their jockeys and trainers, as in ``enrich``.
     """
     runners = with_defaults(entries if odds is None else overlay_odds(entries, odds))
     if model is None:
@@ -180,7 +191,7 @@ def predict(
     hot = card.hot_values(entries, "race_id") if hot is None else hot
     shown = runners.columns
     kept = runners.withColumn("_shown", F.struct(*shown))
-    enriched = enrich(kept, history, rates, hot=hot_horses)
+    enriched = enrich(kept, history, rates, hot=hot_horses, results=results)
     features = feature_table(enriched, model.stats, keys=("_shown",))
     scored = score(features, model.pipeline).select("_shown.*", "score")
     return card.normalize(scored, "score", hot)

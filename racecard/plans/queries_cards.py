@@ -119,6 +119,13 @@ def display_order(spark, sf):
     return rounded(card.order_for_display(card.race_card(ranked(spark, sf))))
 
 
+@query(WEIGHTED + f"SELECT * REPLACE ({CARD}) FROM card ORDER BY probability DESC, race_id, rank_in_race LIMIT 20")
+def head(spark, sf):
+    """The twenty surest runners of all races."""
+    order = [F.col("probability").desc(), F.col("race_id"), F.col("rank_in_race")]
+    return rounded(card.head(card.race_card(ranked(spark, sf)), order, 20))
+
+
 _LABELLED = WEIGHTED.rstrip() + """, labelled AS (
   SELECT CASE WHEN finish = '1' THEN 1 ELSE 0 END AS is_win, score FROM weighted
 )

@@ -83,6 +83,32 @@ def append_results(spark, sf):
     return rounded(tables.stored_results(spark, path).select(*RAW, "race_date"))
 
 
+_BLANKED = f"""CASE WHEN horse_no IN ('2', '3') THEN '' WHEN horse_no = '4' THEN NULL ELSE horse_no END"""
+
+
+@query(RUNS + f"SELECT {', '.join(c for c in RAW if c != 'horse_no')}, {_BLANKED} AS horse_no FROM runs")
+def append_blank_numbers(spark, sf):
+    """Runners whose numbers are partly blank or missing, offered twice: each is stored once."""
+    path = work_path(spark, "blanks")
+    blanked = stored_runs(spark, sf).withColumn("horse_no", F.expr(_BLANKED))
+    tables.append_results(stored_part(blanked), path)
+    tables.append_results(frames.union_batches([blanked, blanked]), path)
+    return tables.stored_results(spark, path).select(*RAW)
+
+
+@query(RUNS + f"SELECT {', '.join(c for c in RAW if c != 'horse_no')}, {_BLANKED} AS horse_no FROM runs")
+def ingest_blank_numbers(spark, sf):
+    """The same through the ingest stream, from two replays."""
+    base = work_path(spark, "blanks")
+    runs(spark, sf).withColumn("horse_no", F.expr(_BLANKED)).select(*RESULTS.names).write.parquet(f"{base}/landing")
+    for replay in ("a", "b"):
+        landing = spark.readStream.schema(RESULTS).parquet(f"{base}/landing")
+        streams.ingest_stream(
+            landing, f"{base}/table", f"{base}/checkpoint-{replay}", once=True
+        ).awaitTermination()
+    return tables.stored_results(spark, f"{base}/table").select(*RAW)
+
+
 @query(RUNS + f"SELECT {', '.join(RAW)}, CAST(race_date AS VARCHAR) AS race_date FROM runs")
 def results_csv(spark, sf):
     """Runs written as CSV under their source names and loaded back as text."""
@@ -163,8 +189,9 @@ def extract_entries(spark, sf):
 )
 def extract_history(spark, sf):
     stored = pages_of.history_pages(runs(spark, sf), hot_horses(spark, sf))
+    # Rows without the cells of a run (here the short row each page ends with) have none of these.
     found = pages.extract_history(stored)
-    return rounded(found.where(F.col("race_date").isNotNull()))
+    return rounded(found.where("race_name is not null or finish is not null or race_date is not null"))
 
 
 def _printed(test: str) -> str:

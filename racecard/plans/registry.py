@@ -46,5 +46,5 @@ def r6(*names: str) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a query that has to write, below the folder the cluster shares."""
-    return f"{shared_folder(spark)}/racecard/{name}-{uuid.uuid4().hex}"
+    """A new folder for a query that has to write, below the application's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

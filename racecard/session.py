@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,40 +29,42 @@ def build_session(app: str = "racecard", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-_own_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """This application's folder for intermediate tables, where every executor can reach it.
 
-    Only a ``local`` master, where all executors share one disk, may fall back to
-    a temporary folder of its own, one per application.
+    It lies below ``spark.checkpoint.dir``; without that setting, below the warehouse,
+    which executors share as well. It is deleted when the application ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="racecard-")
-    return _own_folders[context.applicationId]
+    folder = f"{base}/racecard/{context.applicationId}"
+    if folder not in _prepared:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _prepared.add(folder)
+    return folder
+
+
+_prepared: set[str] = set()
 
 
 def use_checkpoints(spark: SparkSession) -> None:
     """Let iterative fits checkpoint to the shared folder, unless the session does already."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Lost executors then never recompute it, let alone differently, and whoever reads
-    it reads only the columns it needs. Tables lie in a folder per application.
+    it reads only the columns it needs.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/racecard/{spark.sparkContext.applicationId}"
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

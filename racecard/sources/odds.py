@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from racecard.functions import clean
-from racecard.schema import ODDS_BODY
 
 # States of a usable feed, the win market, and positions within an entry.
 USABLE_STATUS = ["middle", "result", "yoso"]
@@ -19,13 +18,15 @@ def parse_live_odds(feed: DataFrame) -> DataFrame:
 
     Works on a stream as on a table. ``pos`` is the entry's place in the feed.
     """
-    body = feed.select("race_id", "as_of", F.from_json("body", ODDS_BODY).alias("b"))
-    market = F.map_entries(F.col("b.data.odds")[WIN_MARKET])
+    # Only the win market is read, and each entry on its own: another market, or an entry
+    # of another shape, takes no other runner away.
+    text = F.get_json_object("body", f"$.data.odds.{WIN_MARKET}")
+    market = F.map_entries(F.from_json(text, "map<string,string>"))
     entries = (
-        body.where(F.col("b.status").isin(USABLE_STATUS))
-        .select("race_id", "as_of", F.col("b.status").alias("status"),
-                F.posexplode(market).alias("pos", "entry"))
-        .withColumn("v", F.col("entry.value"))
+        feed.select("race_id", "as_of", F.get_json_object("body", "$.status").alias("status"), market.alias("m"))
+        .where(F.col("status").isin(USABLE_STATUS))
+        .select("race_id", "as_of", "status", F.posexplode("m").alias("pos", "entry"))
+        .withColumn("v", F.from_json("entry.value", "array<string>"))
     )
     return (
         entries.where(F.size("v") >= LEAST)
@@ -42,15 +43,17 @@ def parse_live_odds(feed: DataFrame) -> DataFrame:
     )
 
 
-def latest_odds(snapshots: DataFrame) -> DataFrame:
+def latest_odds(snapshots: DataFrame, with_pos: bool = False) -> DataFrame:
     """The newest odds of each (race, horse number), on a table or on a stream.
 
+    Of equal times the later place in the feed counts; ``with_pos`` keeps that place.
+
     A maximum keeps one row per runner while aggregating, so order of arrival does
     not matter and a runner with very many snapshots is reduced map-side.
     """
     newest = F.max(F.struct("as_of", "pos", "odds", "popularity")).alias("v")
     return snapshots.groupBy("race_id", "horse_no").agg(newest).select(
-        "race_id", "horse_no", "v.odds", "v.popularity", "v.as_of"
+        "race_id", "horse_no", "v.odds", "v.popularity", "v.as_of", *(["v.pos"] if with_pos else [])
     )
 
 

@@ -14,8 +14,6 @@ from racecard.operators.rates import latest_rates, missing_ids
 from racecard.schema import ENTITY_RATES, RESULTS
 from racecard.session import cut_lineage
 
-MOST_SEASONS = 1000
-
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns in its order; absent ones are null, blank ids are null."""
@@ -81,14 +79,15 @@ def stored_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_like(batch: DataFrame, path: str) -> DataFrame:
-    """The stored runners of the batch's own seasons, so that no other season is read.
+    """The stored runners of the batch's own seasons, the season of a null id included.
 
-    Seasons are four characters; should a batch name very many, all of the table is used.
+    Spark prunes the other seasons' folders by the batch's list while the join runs.
     """
     stored = stored_results(batch.sparkSession, path)
-    named = _with_season(batch).select("season").dropna().distinct().limit(MOST_SEASONS + 1)
-    seasons = [row[0] for row in named.collect()]
-    return stored.where(F.col("season").isin(seasons)) if len(seasons) <= MOST_SEASONS else stored
+    named = _with_season(batch).select("season").distinct()
+    dated = stored.join(named.dropna(), "season", "left_semi")
+    undated = stored.where("season is null").select(*dated.columns)
+    return dated.unionByName(undated)
 
 
 def append_results(batch: DataFrame, path: str) -> None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from racecard.operators.frames import new_runners
@@ -18,14 +19,16 @@ def latest_odds_stream(
     """Keep the newest odds per runner from a stream of parsed snapshots.
 
     State is one row per runner. Each micro-batch writes the runners it changed into a
-    folder named after it, so a replayed batch replaces its own output.
+    folder named after the run and the batch, so a replayed batch replaces its own output
+    and a new checkpoint never that of another run.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changed.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     writer = (
-        latest_odds(snapshots).writeStream.outputMode("update")
+        latest_odds(snapshots, with_pos=True).writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
     )
@@ -34,8 +37,7 @@ def latest_odds_stream(
 
 def read_latest_odds(spark: SparkSession, path: str) -> DataFrame:
     """What the stream has found so far: the newest of all its batches."""
-    changes = spark.read.parquet(path).withColumn("pos", F.lit(0))
-    return latest_odds(changes)
+    return latest_odds(spark.read.parquet(path))
 
 
 def ingest_stream(
@@ -43,7 +45,7 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Append each runner of a stream of results exactly once.
 
-    Each micro-batch is anti-joined with what is stored, by (race, horse number), so
+    Each micro-batch is anti-joined with what is stored, by runner, so
     replays and repeats add nothing, however late they come.
     """
 

@@ -13,13 +13,14 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[4]",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="4g",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
@@ -29,9 +30,9 @@ def spark():
 @pytest.fixture
 def small_groups_are_hot(spark):
     """Every key above a thousandth of the rows is treated as too large for one task."""
-    spark.conf.set(skew.MIN_ROWS_SETTING, "2")
+    spark.conf.set(skew.PARTS_SETTING, "1000")
     yield
-    spark.conf.unset(skew.MIN_ROWS_SETTING)
+    spark.conf.unset(skew.PARTS_SETTING)
 
 
 @pytest.fixture

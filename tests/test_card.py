@@ -50,8 +50,18 @@ def test_hot_keys_are_those_above_their_share(spark, small_groups_are_hot):
     assert skew.hot_values(df, "k") == [-1]
 
 
-def test_small_tables_have_no_hot_keys(spark):
-    assert skew.hot_values(runners(spark), "race_id") == []
+def test_no_key_above_its_share_stays(spark):
+    df = spark.range(6000).select((F.col("id") % 300).alias("k"))
+    assert skew.hot_values(df, "k") == []
+
+
+def test_more_than_a_thousand_hot_keys(spark):
+    spark.conf.set(skew.PARTS_SETTING, "5000")
+    try:
+        df = spark.range(30000).select(F.when(F.col("id") < 24000, F.col("id") % 1200).otherwise(F.col("id")).alias("k"))
+        assert skew.hot_values(df, "k") == list(range(1200))
+    finally:
+        spark.conf.unset(skew.PARTS_SETTING)
 
 
 def test_zero_weights_share_equally(spark):
