@@ -159,7 +159,7 @@ def enriched(spark, sf):
 
 @query(PARSED + f"SELECT {r6(*IMPUTED)} FROM (SELECT {fills()} FROM parsed)")
 def impute_stats(spark, sf):
-    return rounded(fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf)))))
+    return rounded(fe.impute_stats(fe.parse_features(enrich(runs(spark, sf).select(*ENRICHED_FROM), hot=hot_horses(spark, sf)))))
 
 
 @query(
@@ -194,14 +194,14 @@ def one_hot_observed(spark, sf):
 
 @query(FILLED + f"SELECT race_id, horse_no, is_win, {r6(*ALL_FEATURES)} FROM feature_rows")
 def feature_matrix(spark, sf):
-    return rounded(fe.feature_table(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf))))
+    return rounded(fe.feature_table(enrich(runs(spark, sf).select(*ENRICHED_FROM), hot=hot_horses(spark, sf))))
 
 
 @query(
     FILLED + f"SELECT race_id, is_win, {r6(*ALL_FEATURES)} FROM feature_rows"
 )
 def preprocessed(spark, sf):
-    return rounded(fe.preprocess(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf))))
+    return rounded(fe.preprocess(enrich(runs(spark, sf).select(*ENRICHED_FROM), hot=hot_horses(spark, sf))))
 
 
 @query(
