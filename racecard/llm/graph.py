@@ -22,11 +22,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = _state(edges)
     while seen[0]:
         large = cut_lineage(_star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))))
-        edges = cut_lineage(_small(large))
-        now = _state(edges)
-        if now == seen:
+        # Stars whose centre is their least node: nothing moved, and every node has one link down.
+        if _state(large) == seen and large.groupBy("u").count().where("count > 1").isEmpty():
             break
-        seen = now
+        edges = cut_lineage(_small(large))
+        seen = _state(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

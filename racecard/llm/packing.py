@@ -74,8 +74,17 @@ def pattern_with(length: int, taken: np.ndarray, left: np.ndarray, capacity: int
     return pattern
 
 
+#: A pattern: places in the list of lengths, and how many pieces of each. Few lengths share
+#: a sequence, so thousands of patterns take little memory on the driver.
+Pattern = tuple[np.ndarray, np.ndarray]
+
+
+def size_of(pattern: Pattern, lengths: np.ndarray) -> int:
+    return int(lengths[pattern[0]] @ pattern[1])
+
+
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS,
-          step: float = STEP, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
+          step: float = STEP, rate: float = RATE) -> list[tuple[Pattern, float]]:
     """Fractional (pattern, multiplicity) that cover the histogram with few sequences.
 
     Multiplicative weights: the price of a length is its share of the capacity times
@@ -87,7 +96,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     demand = np.zeros(capacity + 1)
     demand[lengths] = counts
     covered = np.zeros(capacity + 1)
-    found: dict[tuple, float] = {}
+    found: dict[bytes, float] = {}
     mass = demand * np.arange(capacity + 1)
     for _ in range(rounds):
         ahead = covered - (covered * mass).sum() / mass.sum()
@@ -106,34 +115,32 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
         scale = step / share.max()
         covered += share * scale
         for pattern, times in patterns:
-            key = tuple(sorted(pattern.items()))
+            key = np.array(sorted(pattern.items()), np.int32).tobytes()
             found[key] = found.get(key, 0.0) + times * scale
-    out = []
     scale = 1 / max((covered * mass).sum() / mass.sum(), 1e-12)
-    place = np.zeros(capacity + 1, np.int64)
+    place = np.zeros(capacity + 1, np.int32)
     place[lengths] = np.arange(len(lengths))
+    out = []
     for key, times in found.items():
-        pattern = np.zeros(len(lengths), np.int64)
-        for size, n in key:
-            pattern[place[size]] = n
-        out.append((pattern, times * scale))
+        sizes, many = np.frombuffer(key, np.int32).reshape(-1, 2).T
+        out.append(((place[sizes], many.astype(np.int64)), times * scale))
     return out
 
 
 def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int,
-            fractional: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int]]:
+            fractional: list[tuple[Pattern, float]]) -> list[tuple[Pattern, int]]:
     """Whole multiplicities that cover every piece exactly once.
 
     Every multiplicity is rounded down first. What that leaves is few pieces of each
     length; it is completed in three ways, of which the one with fewest sequences stays.
     """
     left = counts.copy()
-    plan: list[tuple[np.ndarray, int]] = []
-    full = sorted(fractional, key=lambda x: (-int(x[0] @ lengths), -x[1], x[0].tobytes()))
+    plan: list[tuple[Pattern, int]] = []
+    full = sorted(fractional, key=lambda x: (-size_of(x[0], lengths), -x[1], x[0][0].tobytes(), x[0][1].tobytes()))
     for pattern, times in full:
         _use(plan, left, pattern, int(np.floor(times)))
     completions = []
-    for first in ([p for p, _ in full if p @ lengths == capacity], []):
+    for first in ([p for p, _ in full if size_of(p, lengths) == capacity], []):
         rest, more = left.copy(), []
         for pattern in first:
             _use(more, rest, pattern)
@@ -144,17 +151,22 @@ def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int,
     return plan + min(completions, key=lambda more: sum(times for _, times in more))
 
 
-def _use(plan: list, left: np.ndarray, pattern: np.ndarray, times: int | None = None) -> None:
+def _use(plan: list, left: np.ndarray, pattern: Pattern, times: int | None = None) -> None:
     """Take the pattern as often as ``left`` has its pieces, at most ``times``."""
-    held = pattern > 0
-    most = int((left[held] // pattern[held]).min())
+    at, many = pattern
+    most = int((left[at] // many).min())
     times = most if times is None else min(times, most)
     if times > 0:
-        left -= pattern * times
+        left[at] -= many * times
         plan.append((pattern, times))
 
 
-def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+def _pattern(held: dict[int, int]) -> Pattern:
+    at, many = zip(*sorted(held.items()))
+    return np.array(at, np.int32), np.array(many, np.int64)
+
+
+def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """Longest first, each into the fullest sequence that still has room."""
     by_room: dict[int, list[dict[int, int]]] = {}
     rooms = np.zeros(capacity + 1, np.int64)
@@ -172,29 +184,21 @@ def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tupl
     for held in (held for group in by_room.values() for held in group):
         key = tuple(sorted(held.items()))
         alike[key] = alike.get(key, 0) + 1
-    out = []
-    for key, times in alike.items():
-        pattern = np.zeros(len(lengths), np.int64)
-        for at, n in key:
-            pattern[at] = n
-        out.append((pattern, times))
-    return out
+    return [(_pattern(dict(key)), times) for key, times in alike.items()]
 
 
-def _fullest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+def _fullest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Pattern:
     """The longest piece left, and the pieces that best fill what it leaves free.
 
     Subset sums of the pieces left, longest first; each reachable sum remembers how it
     was reached first, so a length is never used more often than it occurs.
     """
     longest = int(np.flatnonzero(left)[-1])
-    pattern = np.zeros(len(lengths), np.int64)
-    pattern[longest] = 1
+    pattern = {longest: 1}
     room = capacity - int(lengths[longest])
     reached = np.zeros(room + 1, bool)
     reached[0] = True
     by = np.zeros(room + 1, np.int64)
-    many = np.zeros(room + 1, np.int64)
     for at in range(longest, -1, -1):
         size, most = int(lengths[at]), int(left[at]) - (at == longest)
         if size > room or most <= 0 or reached[room]:
@@ -208,23 +212,23 @@ def _fullest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray
             new = (part > 0) & (ahead <= most)
             part[new] = ahead[new]
             by[start:stop][new] = at
-            many[start:stop][new] = 1
         reached |= (used <= most)
     filled = int(np.flatnonzero(reached)[-1])
     while filled > 0:
-        pattern[by[filled]] += 1
-        filled -= int(lengths[by[filled]])
-    return pattern
+        at = int(by[filled])
+        pattern[at] = pattern.get(at, 0) + 1
+        filled -= int(lengths[at])
+    return _pattern(pattern)
 
 
-def slots(lengths: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> list[tuple]:
+def slots(lengths: np.ndarray, plan: list[tuple[Pattern, int]]) -> list[tuple]:
     """One row per (pattern, length): where pieces of which ranks go."""
     rows, first_sequence = [], 0
     taken = np.zeros(len(lengths), np.int64)
     for pattern, times in plan:
         offset = 0
-        for at in np.flatnonzero(pattern)[::-1]:
-            each, size = int(pattern[at]), int(lengths[at])
+        for at, each in zip(pattern[0][::-1].tolist(), pattern[1][::-1].tolist()):
+            size = int(lengths[at])
             rows.append((size, int(taken[at]), int(taken[at]) + each * times, each, offset, first_sequence))
             taken[at] += each * times
             offset += each * size

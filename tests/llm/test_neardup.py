@@ -83,8 +83,8 @@ def test_awkward_rows(awkward, awkward_rows, nothing):
 
 
 def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 200), (303, 301), (303, 302)]
     links = spark.createDataFrame(chain, "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 301: 301, 302: 301, 303: 301}
     assert components(links.limit(0)).count() == 0
