@@ -99,6 +99,23 @@ def race_class(spark, sf):
     return runs(spark, sf).select(*KEY, clean.race_class("race_name").alias("class_code"))
 
 
+# Words of race names, and the class that each stands for.
+CLASS_NAMES = {"G1": 9, "Ｇ２": 8, "J.G3": 7, "オープン": 6, "1600万下": 5, "2勝クラス": 4, "500万": 3, "未勝利": 2,
+               "新馬": 1, "特別": 0, "listed": 6, "ＧⅠ": 9}
+
+
+@query(
+    RUNS + f"""SELECT race_id, horse_no, CAST(list_extract({[float(c) for c in CLASS_NAMES.values()]},
+    CAST(horse_id AS INT) % {len(CLASS_NAMES)} + 1) AS DOUBLE) AS class_code FROM runs"""
+)
+def race_class_words(spark, sf):
+    """Names of several words, with each class among them."""
+    words = F.array(*[F.lit(w) for w in CLASS_NAMES])
+    word = F.element_at(words, F.col("horse_id").cast("int") % len(CLASS_NAMES) + 1)
+    name = F.concat(F.lit("第"), "horse_no", F.lit("回 "), word, F.lit(" 記念"))
+    return runs(spark, sf).select(*KEY, clean.race_class(name).alias("class_code"))
+
+
 @query(RUNS + f"SELECT race_id, horse_no, {CLASS_CORRECTED} AS class_code FROM runs")
 def race_class_corrected(spark, sf):
     code = clean.race_class("race_name", mode="corrected")
@@ -122,13 +139,17 @@ def sentinel_defaults(spark, sf):
 
 @query(
     RUNS + """SELECT race_id, horse_no, horse_no AS from_padded,
-    CASE WHEN finish = '中' OR contains(finish, '(') THEN finish ELSE finish END AS from_text FROM runs"""
+    CASE WHEN CAST(horse_no AS INT) % 3 = 2 THEN 'A0' || horse_no ELSE horse_no END AS from_text FROM runs"""
 )
 def horse_no_key(spark, sf):
+    """Numbers padded, spaced, or behind a letter, which is no number."""
+    third = F.col("horse_no").cast("int") % 3
+    text = F.when(third == 0, F.concat(F.lit("00"), "horse_no")).when(
+        third == 1, F.concat(F.lit("  "), "horse_no", F.lit(" "))).otherwise(F.concat(F.lit("A0"), "horse_no"))
     return runs(spark, sf).select(
         *KEY,
         clean.horse_no_key(F.concat(F.lit(" 0"), "horse_no")).alias("from_padded"),
-        clean.horse_no_key("finish").alias("from_text"),
+        clean.horse_no_key(text).alias("from_text"),
     )
 
 
@@ -216,18 +237,25 @@ def preview_columns(spark, sf):
 
 
 @query(
-    RUNS + """SELECT race_id, horse_no, 'finish' AS wanted, 0 AS at_finish, 2 AS at_up,
-    -1 AS at_margin FROM runs"""
+    RUNS + """SELECT race_id, horse_no, 'finish' AS wanted,
+    CASE CAST(horse_no AS INT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE -1 END AS at_finish,
+    CASE CAST(horse_no AS INT) % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS at_up,
+    CASE CAST(horse_no AS INT) % 3 WHEN 1 THEN 3 ELSE -1 END AS at_margin FROM runs"""
 )
 def header_positions(spark, sf):
-    # The same header row on every runner, spaced as pages space it.
+    """Header rows that differ from runner to runner, spaced as pages space them."""
+    third = F.col("horse_no").cast("int") % 3
+    name = F.col("horse_name")
     headers = F.transform(
-        F.array(F.lit("着 順"), F.col("horse_name"), F.lit(" 上り3F")), clean.norm_header
+        F.when(third == 0, F.array(F.lit("着 順"), name, F.lit(" 上り3F")))
+        .when(third == 1, F.array(name, F.lit("上が り"), F.lit("着順"), F.lit("着差 ")))
+        .otherwise(F.array(F.lit("上り"), name)),
+        clean.norm_header,
     )
     return runs(spark, sf).withColumn("headers", headers).select(
         *KEY,
         F.lit("finish").alias("wanted"),
-        clean.resolve_header("headers", ["着順"]).alias("at_finish"),
+        F.coalesce(clean.resolve_header("headers", ["着順"]), F.lit(-1)).alias("at_finish"),
         clean.resolve_header("headers", ["上り", "上がり"]).alias("at_up"),
         F.coalesce(clean.resolve_header("headers", ["着差"]), F.lit(-1)).alias("at_margin"),
     )

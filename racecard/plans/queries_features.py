@@ -222,12 +222,14 @@ def aligned(spark, sf):
 
 
 @query(
-    RUNS + """SELECT race_id, horse_no, finish, '470(0)' AS body_weight, CAST(race_id AS VARCHAR) AS held
-    FROM (SELECT race_id, horse_no, '0' AS finish FROM runs)"""
+    RUNS + """SELECT race_id, horse_no, '0' AS finish, body_weight, 'entry' AS kind FROM runs
+    UNION ALL SELECT race_id, horse_no, finish, '470(0)', 'result' FROM runs"""
 )
 def entry_defaults(spark, sf):
-    bare = runs(spark, sf).select(*KEY, F.col("race_id").alias("held"))
-    return frames.with_defaults(bare)
+    """A table without finishes and one without weights: what a table has stays."""
+    entries = runs(spark, sf).select(*KEY, "body_weight", F.lit("entry").alias("kind"))
+    results = runs(spark, sf).select(*KEY, "finish", F.lit("result").alias("kind"))
+    return frames.union_batches([frames.with_defaults(entries), frames.with_defaults(results)])
 
 
 @query(
