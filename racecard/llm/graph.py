@@ -31,6 +31,16 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def first_labels(links: DataFrame) -> DataFrame:
+    """``node, root`` after one large and one small star: equal roots are surely connected.
+
+    A few joins instead of a loop, for callers that only want to skip most linked pairs.
+    """
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    large = cut_lineage(_star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))))
+    return cut_lineage(_small(large).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
+
+
 def _star(both: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     linked = both.where("v > u").join(least, "u").where("v <> m")

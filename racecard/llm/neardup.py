@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from racecard.llm.graph import components
+from racecard.llm.graph import components, first_labels
 from racecard.llm.textscan import BASE, Words, _splitmix, buffer_of, chunks, mix, windows
 from racecard.session import cut_lineage
 
@@ -313,8 +313,8 @@ def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
 
     alive = possible(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     first = cut_lineage(confirmed(alive, sets_of(ends(alive)), percent))
-    roots = components(first)
-    # A bucket of two is done; so is one whose members are all in one component.
+    roots = first_labels(first)
+    # A bucket of two is done; so is one whose members are all known to be linked.
     rooted = (members.where("n > 2").join(roots, "node", "left")
               .select("bucket", "node", "n_shingles", "n", F.coalesce("root", "node").alias("root")))
     several = (rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
