@@ -278,10 +278,12 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
                             percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, and of its rows the least hash.
 
-    Rows without shingles stay, once per id and text.
+    A row without an id is taken only where its component has no id at all. Rows without
+    shingles stay, once per id and text.
     """
-    found = cut_lineage(grouped(docs, text, key, words, percent).select("key", "row", "component_id", "n_shingles"))
-    linked = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("key", "row")).alias("least"))
+    found = cut_lineage(grouped(docs, text, key, words, percent).select("key", "row", "root", "n_shingles"))
+    linked = (found.where("n_shingles > 0").groupBy("root")
+              .agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("least")))
     kept = (linked.select("least.key", "least.row")
             .unionByName(found.where("n_shingles = 0").select("key", "row")).distinct()
             .select(F.col("key").alias("_kept_key"), F.col("row").alias("_kept_row")))
@@ -291,7 +293,10 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
 
 
 def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
-    """``key, row, n_shingles, component_id`` for every row; the last is null without shingles."""
+    """``key, row, n_shingles, root, component_id`` for every row; the last two are null without shingles.
+
+    ``root`` tells components apart, also those without an id, whose ``component_id`` is null.
+    """
     threshold = percent / 100
     signed = cut_lineage(signatures(docs, text, key, words, bands_for(threshold)))
     classes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
@@ -330,7 +335,8 @@ def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
     second = cut_lineage(confirmed(alive, sets, percent).union(in_blocks(large, nodes, sets, percent)))
     final = components(first.union(second))
     least = (final.join(classes, "node").groupBy("root").agg(F.min("key").alias("component_id")))
-    of_node = classes.join(final.join(least, "root").select("node", "component_id"), "node", "left")
-    by_node = of_node.select("node", F.coalesce("component_id", "key").alias("component_id"))
+    of_node = classes.join(final.join(least, "root").select("node", "root", "component_id"), "node", "left")
+    by_node = of_node.select("node", F.coalesce("root", "node").alias("root"),
+                             F.coalesce("component_id", "key").alias("component_id"))
     return (signed.select("key", "row", "n_shingles", "node").join(by_node, "node", "left")
-            .select("key", "row", "n_shingles", "component_id"))
+            .select("key", "row", "n_shingles", "root", "component_id"))

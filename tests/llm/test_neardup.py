@@ -70,6 +70,12 @@ def test_pruning_keeps_the_threshold():
     assert needed[256] > 0.7 * 256
 
 
+def test_different_texts_without_id_all_stay(spark):
+    rows = [(None, prose(70, 80)), (None, prose(71, 80)), (None, prose(71, 80)), (1, prose(72, 80)), (None, prose(72, 80))]
+    kept = neardup.without_near_duplicates(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
+
+
 def test_awkward_rows(awkward, awkward_rows, nothing):
     for size, percent in ((3, 85), (5, 80)):
         found = neardup.near_duplicates(awkward, words=size, percent=percent).collect()
