@@ -219,12 +219,13 @@ def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int) -> DataFrame:
-    """``node, shingles`` of the nodes in ``wanted`` (``node, key``), read again from their texts.
+    """``node, shingles`` of the nodes in ``wanted`` (``node, key, row``), read again from their texts.
 
-    Which rows to read is first narrowed by a bitmap of hashed ids of fixed size; its
-    false hits are dropped by the join that follows.
+    A text is found by its id and its own hash, as rows of one id may differ. Which rows to
+    read is first narrowed by a bitmap of hashed pairs of fixed size; its false hits are
+    dropped by the join that follows.
     """
-    bit = F.pmod(F.xxhash64("key"), F.lit(BITMAP_BITS))
+    bit = F.pmod(F.xxhash64("key", "row"), F.lit(BITMAP_BITS))
     words_of_bits = (wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("at"))
                      .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("bits"))
                      .collect())  # at most BITMAP_BITS / 32 rows
@@ -240,13 +241,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words:
                 doc, hashes = shingles(*buffer_of(part.column("text")), words)
                 cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                    names=["key", "shingles"])
+                    [part.column("key"), part.column("row"),
+                     pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                    names=["key", "row", "shingles"])
 
     kind = docs.schema[key].dataType.simpleString()
     sets = (docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-            .select("key", "text", bit.alias("bit")).mapInArrow(read, f"key {kind}, shingles binary"))
-    return wanted.join(sets, "key").groupBy("node").agg(F.max_by("shingles", F.length("shingles")).alias("shingles"))
+            .select("key", "text", F.xxhash64("text").alias("row"))
+            .select("key", "row", "text", bit.alias("bit")).mapInArrow(read, f"key {kind}, row bigint, shingles binary"))
+    return wanted.join(sets, ["key", "row"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,10 +302,12 @@ def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
     """
     threshold = percent / 100
     signed = cut_lineage(signatures(docs, text, key, words, bands_for(threshold)))
-    classes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-    # One signed row per node: of the rows with the class's least id, any (their sets are equal).
-    nodes = cut_lineage(signed.join(classes, ["node", "key"]).dropDuplicates(["node"])
-                        .select("node", "key", "n_shingles", "signature", "bands"))
+    classes = (signed.where("node is not null").groupBy("node")
+               .agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "row"))).alias("least"))
+               .select("node", "least.key", "least.row"))
+    # One signed row per node: of the rows with the class's least id and text, any.
+    nodes = cut_lineage(signed.join(classes, ["node", "key", "row"]).dropDuplicates(["node"])
+                        .select("node", "key", "row", "n_shingles", "signature", "bands"))
     banded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = (banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
     members = cut_lineage(banded.join(shared, "bucket"))
@@ -311,7 +316,7 @@ def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def sets_of(involved: DataFrame) -> DataFrame:
-        return cut_lineage(shingle_sets(docs, nodes.select("node", "key").join(involved, "node"), text, key, words))
+        return cut_lineage(shingle_sets(docs, nodes.select("node", "key", "row").join(involved, "node"), text, key, words))
 
     def possible(pairs: DataFrame) -> DataFrame:
         return cut_lineage(surviving(pairs, nodes, threshold).distinct())

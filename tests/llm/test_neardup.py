@@ -70,6 +70,16 @@ def test_pruning_keeps_the_threshold():
     assert needed[256] > 0.7 * 256
 
 
+def test_different_texts_of_one_id(spark):
+    a, b = prose(80, 100), prose(81, 160)
+    rows = [(1, a), (1, b), (2, edited(a, 1, 1)), (3, edited(b, 2, 1)), (5, prose(82, 90)), (5, prose(83, 50)), (6, prose(83, 50) + " end")]
+    for size, percent in ((3, 85), (5, 80)):
+        found = neardup.near_duplicates(documents(spark, rows), words=size, percent=percent).collect()
+        assert sorted(map(tuple, found), key=repr) == brute(rows, size, percent)
+    kept = neardup.without_near_duplicates(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], rows[4], rows[5]], key=repr)
+
+
 def test_different_texts_without_id_all_stay(spark):
     rows = [(None, prose(70, 80)), (None, prose(71, 80)), (None, prose(71, 80)), (1, prose(72, 80)), (None, prose(72, 80))]
     kept = neardup.without_near_duplicates(documents(spark, rows)).select("doc_id", "text").collect()
