@@ -14,7 +14,8 @@
    component is compared again, and no bucket is cut.
 4. A comparison reads the signatures in batches and stops as soon as the posterior chance
    that the similarity reaches the threshold (uniform prior, binomial matches) falls under
-   ``PRUNE``. Survivors are checked on the full shingle sets.
+   a limit. The limit is set so that a pair at the threshold is stopped at any of the looks
+   with a chance of at most ``MISS`` in all. Survivors are checked on the full shingle sets.
 5. Links become components (``graph.components``), and each document gets the smallest
    id of its component.
 
@@ -28,7 +29,7 @@ Columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,6 @@ THRESHOLD_PERCENT = 80
 HASHES = 256
 ROWS_PER_BAND = 6
 MISS = 1e-5
-PRUNE = 1e-3
 STEP = 32
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 19
@@ -58,9 +58,21 @@ def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -
     return min(HASHES // rows, ceil(log(miss) / log(1 - threshold**rows)))
 
 
-def least_matches(threshold: float, prune: float = PRUNE) -> np.ndarray:
+def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
     """For every number of compared minima, the fewest matches that keep a pair.
 
+    The limit of the posterior is halved until all looks together lose a pair at the
+    threshold with a chance of at most ``miss``.
+    """
+    limit = miss
+    while lost(threshold, needed := _above(threshold, limit)) > miss:
+        limit /= 2
+    return needed
+
+
+def _above(threshold: float, limit: float) -> np.ndarray:
+    """For every number of minima, the fewest matches whose posterior reaches ``limit``.
+
     With m of n matches the posterior of the similarity is Beta(m + 1, n - m + 1). Its mass
     above the threshold is the chance of at most m successes in n + 1 trials.
     """
@@ -69,7 +81,7 @@ def least_matches(threshold: float, prune: float = PRUNE) -> np.ndarray:
         chance, mass, keep = (1 - threshold) ** (n + 1), 0.0, n + 1
         for m in range(n + 1):
             mass += chance
-            if mass >= prune:
+            if mass >= limit:
                 keep = m
                 break
             chance *= (n + 1 - m) / (m + 1) * threshold / (1 - threshold)
@@ -77,6 +89,17 @@ def least_matches(threshold: float, prune: float = PRUNE) -> np.ndarray:
     return out
 
 
+def lost(similarity: float, needed: np.ndarray) -> float:
+    """Chance that a pair is stopped at any look, from look to look by its number of matches."""
+    step = np.array([comb(STEP, m) * similarity**m * (1 - similarity) ** (STEP - m) for m in range(STEP + 1)])
+    alive, stopped = np.ones(1), 0.0
+    for n in range(STEP, HASHES + 1, STEP):
+        alive = np.convolve(alive, step)
+        stopped += alive[: needed[n]].sum()
+        alive[: needed[n]] = 0
+    return float(stopped)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct shingles of every text, by text and hash."""
     words = Words(data, offsets, fold=True)

@@ -70,6 +70,21 @@ def test_pruning_keeps_the_threshold():
     assert needed[256] > 0.7 * 256
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.80])
+def test_pruning_of_all_looks_together(threshold):
+    needed, lost, alive = neardup.least_matches(threshold), 0.0, {0: 1.0}  # chance of each number of matches
+    for n in range(1, neardup.HASHES + 1):
+        following = {}
+        for m, chance in alive.items():
+            following[m] = following.get(m, 0.0) + chance * (1 - threshold)
+            following[m + 1] = following.get(m + 1, 0.0) + chance * threshold
+        alive = following
+        if n % neardup.STEP == 0:
+            lost += sum(chance for m, chance in alive.items() if m < needed[n])
+            alive = {m: chance for m, chance in alive.items() if m >= needed[n]}
+    assert lost <= 1e-5, lost
+
+
 def test_different_texts_of_one_id(spark):
     a, b = prose(80, 100), prose(81, 160)
     rows = [(1, a), (1, b), (2, edited(a, 1, 1)), (3, edited(b, 2, 1)), (5, prose(82, 90)), (5, prose(83, 50)), (6, prose(83, 50) + " end")]
