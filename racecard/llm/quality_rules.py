@@ -1,15 +1,16 @@
-"""Quality rules: base statistics of every text, and a hashed n-gram log-likelihood ratio.
+"""Quality rules: base statistics of every text, and an n-gram log-likelihood ratio.
 
-Two multinomials over hashed n-grams (single tokens and pairs; a token is a run of
-letters and digits or a run of other symbols) are counted over the corpus: one from
-trusted texts, one from all texts. The score of a text is the mean over its n-grams of
-log p(trusted) - log p(all). Texts of at least ``threshold`` pass; there is no sampling,
-so equal texts get equal verdicts.
+Two multinomials over n-grams (single tokens and pairs; a token is a run of letters and
+digits or a run of other symbols) are counted over the corpus: one from trusted texts, one
+from all texts. The score of a text is the mean over its n-grams of log p(trusted) -
+log p(all). Texts of at least ``threshold`` pass; there is no sampling, so equal texts get
+equal verdicts.
 
-Trusted texts are those that the labels call good; of these, at most ``TRUSTED`` ids go
-to the tasks (the smallest by hash of the id, so the choice does not depend on the size
-of a partition). The counts over all texts cover every row. Both are vectors of fixed
-length, so their size does not depend on the corpus.
+Trusted texts are all those that the labels call good. The counts cover every row and every
+n-gram, told apart by 64-bit hashes, in a table that grows with the corpus. The frequent
+n-grams, at most ``FREQUENT`` as each has more than that part of all counts, are sent to the
+tasks; every other one is looked up by a join, where it has few rows. Nothing depends on
+which way an n-gram takes.
 
 Null and empty texts have no words and fail the base rule, as does any text under 50
 words. With no trusted text at all, both multinomials count as equal and only the base
@@ -29,11 +30,12 @@ from racecard.llm.textscan import (
     BASE, IS_SPACE, IS_WORDLIKE, Words, any_of, buffer_of, chunks, counts_of, lines, mix, repeated,
     runs, span_hashes, windows, within_text,
 )
+from racecard.session import cut_lineage
 
-BUCKETS = 1 << 14
-TRUSTED = 20_000
+FREQUENT = 1 << 17
+HELD_GRAMS = 1 << 20
 THRESHOLD = -0.03
-PRIOR = 50  # pseudo-counts per bucket
+PRIOR = 50  # pseudo-counts per n-gram
 FEWEST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 SYMBOLS = any_of("#*$%&|<>")
@@ -63,8 +65,8 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every single token and every pair of neighbours."""
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every single token and every pair of neighbours."""
     letters = IS_WORDLIKE[data]
     start, end = (np.concatenate(x) for x in zip(runs(letters, offsets), runs(~letters & ~IS_SPACE[data], offsets)))
     order = np.argsort(start, kind="stable")
@@ -73,58 +75,80 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[n
     doc = np.searchsorted(offsets, start, side="right") - 1
     pair = doc[1:] == doc[:-1]
     pairs = mix(hashes[:-1][pair] * BASE + hashes[1:][pair])
-    return (np.concatenate([doc, doc[1:][pair]]),
-            (np.concatenate([hashes, pairs]) % np.uint64(buckets)).astype(np.int64))
-
+    return np.concatenate([doc, doc[1:][pair]]), np.concatenate([hashes, pairs])
 
-def gram_counts(docs: DataFrame, trusted_ids: np.ndarray, text: str, key: str, buckets: int) -> DataFrame:
-    """``bucket, trusted, every``: the n-gram counts of the trusted texts and of all texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, buckets), np.int64)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                data, offsets = buffer_of(part.column("text"))
-                doc, bucket = gram_buckets(data, offsets, buckets)
-                sums[1] += np.bincount(bucket, minlength=buckets)
-                trust = np.isin(part.column("key").fill_null(-1).to_numpy(zero_copy_only=False), trusted_ids)
-                sums[0] += np.bincount(bucket[trust[doc]], minlength=buckets)
-        used = np.flatnonzero(sums[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])],
-                                         names=["bucket", "trusted", "every"])
+def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of every single token and every pair of neighbours."""
+    doc, hashes = grams(data, offsets)
+    return doc, (hashes % np.uint64(buckets)).astype(np.int64)
 
-    return (docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(count, "bucket bigint, trusted bigint, every bigint")
-            .groupBy("bucket").agg(F.sum("trusted").alias("trusted"), F.sum("every").alias("every")))
 
+def gram_counts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+                label_key: str = "doc_id") -> DataFrame:
+    """``gram, trusted, every``: the counts of every n-gram in the trusted texts and in all texts."""
 
-def trusted(labels: DataFrame, most: int = TRUSTED, key: str = "doc_id") -> np.ndarray:
-    """Ids of at most ``most`` texts labelled good, smallest hash first."""
-    rows = (labels.where("quality = 1").select(F.col(key).cast("bigint").alias("id")).dropna().distinct()
-            .orderBy(F.xxhash64("id"), "id").limit(most).collect())
-    return np.sort(np.array([r["id"] for r in rows], np.int64))
+    def summed(held: list[np.ndarray]) -> np.ndarray:
+        whole = np.concatenate(held, axis=1)
+        whole = whole[:, np.argsort(whole[0])]
+        first = np.flatnonzero(np.diff(whole[0], prepend=whole[0, :1] - 1))
+        return np.stack([whole[0, first], np.add.reduceat(whole[1], first), np.add.reduceat(whole[2], first)])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def log_ratio(counts: DataFrame, buckets: int) -> np.ndarray:
-    """log p(trusted) - log p(all) of every bucket.
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held)], names=["gram", "trusted", "every"])
 
-    The trusted counts are raised by ``PRIOR`` per bucket, dealt out as all texts have
-    them: what few trusted texts say little about scores near 0, at any corpus size.
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                doc, hashes = grams(*buffer_of(part.column("text")))
+                if not len(doc):
+                    continue
+                trust = part.column("trusted").to_numpy(zero_copy_only=False)[doc]
+                held.append(summed([np.stack([hashes.view(np.int64), trust.astype(np.int64), np.ones(len(doc), np.int64)])]))
+                size += held[-1].shape[1]
+                if size >= HELD_GRAMS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    good = (labels.where("quality = 1").select(F.col(label_key).cast("bigint").alias("key")).dropna().distinct()
+            .withColumn("trusted", F.lit(True)))
+    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    # Rows without an id match no label; they stay out of the join, where they would share a task.
+    marked = (texts.where("key is not null").join(good, "key", "left")
+              .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+              .unionByName(texts.where("key is null").select("text", F.lit(False).alias("trusted"))))
+    return (marked.mapInArrow(count, "gram bigint, trusted bigint, every bigint")
+            .groupBy("gram").agg(F.sum("trusted").alias("trusted"), F.sum("every").alias("every")))
+
+
+def log_ratios(counts: DataFrame) -> tuple[DataFrame, pa.Table] | None:
+    """log p(trusted) - log p(all) as ``gram, value``: of the rare n-grams, and of the frequent ones.
+
+    The share of an n-gram's occurrences that lies in trusted texts is taken as if ``PRIOR``
+    more had the share of all n-grams: what few occurrences say little about scores near 0,
+    at any corpus size. None without trusted texts.
     """
-    sums = np.zeros((2, buckets))
-    for row in counts.collect():  # at most ``buckets`` rows
-        sums[:, row["bucket"]] = row["trusted"], row["every"]
-    if not sums[0].any():
-        return np.zeros(buckets)
-    every = (sums[1] + 0.5) / (sums[1] + 0.5).sum()
-    good = (sums[0] + PRIOR * buckets * every) / (sums[0].sum() + PRIOR * buckets)
-    return np.log(good) - np.log(every)
+    n, k = F.col("every").cast("double"), float(PRIOR)
+    sums = counts.agg(F.sum("trusted").alias("trusted"), F.sum("every").alias("every"),
+                      F.sum(n * F.col("trusted") / (n + k)).alias("own"), F.sum(n / (n + k)).alias("prior")).first()
+    if not sums["trusted"]:
+        return None
+    share = sums["trusted"] / sums["every"]
+    whole = (sums["own"] + k * share * sums["prior"]) / sums["trusted"]  # so that p(trusted) sums to 1
+    value = F.log((F.col("trusted") + k * share) / ((n + k) * share * whole))
+    frequent = F.col("every") * FREQUENT > F.lit(sums["every"])
+    rows = counts.where(frequent).select("gram", value.alias("value")).toArrow()  # fewer than FREQUENT rows
+    return counts.where(~frequent).select("gram", value.alias("value")), rows.sort_by("gram")
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-          buckets: int = BUCKETS, threshold: float = THRESHOLD, most_trusted: int = TRUSTED) -> DataFrame:
+          threshold: float = THRESHOLD) -> DataFrame:
     """``key``, the base counts, ``base_failed``, ``score`` and ``kept`` for every row."""
-    return verdicts(docs.select(key, text), labels, text, key, buckets, threshold, most_trusted).drop(text)
+    return verdicts(docs, labels, text, key, threshold, kept=[key])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -133,32 +157,68 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-             buckets: int = BUCKETS, threshold: float = THRESHOLD, most_trusted: int = TRUSTED,
-             prefix: str = "") -> DataFrame:
-    """``docs`` with its own columns first, then the verdict's, their names after ``prefix``.
+             threshold: float = THRESHOLD, prefix: str = "", kept: list[str] | None = None) -> DataFrame:
+    """The columns ``kept`` of ``docs`` (all by default), then the verdict's, their names after ``prefix``.
 
     A column of ``docs`` that has the name of one of the verdict's is left out.
     """
-    ratio = log_ratio(gram_counts(docs, trusted(labels, most_trusted), text, key, buckets), buckets)
-    kinds = f"{COLUMNS}, base_failed boolean, score double, kept boolean".split(", ")
+    kinds = f"{COLUMNS}, base_failed boolean".split(", ")
     found = [prefix + c.split()[0] for c in kinds]
-    own = [c for c in docs.columns if c not in found]
+    own = [c for c in kept or docs.columns if c not in [*found, f"{prefix}score", f"{prefix}kept"]]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in own] + [prefix + c for c in kinds])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in own] + [prefix + c for c in kinds]
+                       + ["_gram_row bigint, _grams bigint, _rare bigint, _frequent_sum double"])
+    ratios = log_ratios(cut_lineage(gram_counts(docs, labels, text, key)))
+    if ratios:
+        sent = docs.sparkSession.sparkContext.broadcast(
+            tuple(ratios[1].column(c).to_numpy() for c in ("gram", "value")))
+    else:
+        sent = docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0)))
+
+    def split(column: pa.Array) -> tuple[np.ndarray, ...]:
+        """(text number, hash, whether frequent, its value) of every n-gram."""
+        known, values = sent.value
+        doc, hashes = grams(*buffer_of(column))
+        hashes = hashes.view(np.int64)
+        if not len(known):
+            return doc, hashes, np.zeros(len(doc), bool), np.zeros(len(doc))
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        frequent = known[at] == hashes
+        return doc, hashes, frequent, np.where(frequent, values[at], 0.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
-                data, offsets = buffer_of(part.column(text))
-                counts = base_counts(data, offsets)
-                doc, bucket = gram_buckets(data, offsets, buckets)
-                grams = np.bincount(doc, minlength=part.num_rows)
-                value = np.bincount(doc, ratio[bucket], part.num_rows) / np.maximum(grams, 1)
+            for part in chunks(batch, "_gram_text"):
+                counts = base_counts(*buffer_of(part.column("_gram_text")))
+                doc, _, frequent, value = split(part.column("_gram_text"))
                 failed = ((counts["n_words"] < FEWEST_WORDS)
                           | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"]))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in own), *(pa.array(v.astype(np.int64)) for v in counts.values()),
-                     pa.array(failed), pa.array(value), pa.array(~failed & (value >= threshold))],
-                    names=[*own, *found])
+                     pa.array(failed), part.column("_gram_row"), pa.array(np.bincount(doc, minlength=part.num_rows)),
+                     pa.array(np.bincount(doc[~frequent], minlength=part.num_rows)),
+                     pa.array(np.bincount(doc, value, part.num_rows).astype(float))],
+                    names=[*own, *found, "_gram_row", "_grams", "_rare", "_frequent_sum"])
 
-    return docs.select(own).mapInArrow(score, schema)
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "_gram_text"):
+                doc, hashes, frequent, _ = split(part.column("_gram_text"))
+                rows = part.column("_gram_row").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(rows[doc[~frequent]]), pa.array(hashes[~frequent])],
+                                                 names=["_gram_row", "gram"])
+
+    texts = docs.select(*own, F.col(text).cast("string").alias("_gram_text"),
+                        F.xxhash64(F.col(text).cast("string")).alias("_gram_row"))
+    judged = texts.mapInArrow(score, schema)
+    total = F.col("_frequent_sum")
+    if ratios:
+        # Copies of a text share its hash; a mean over all of them is that of each.
+        means = (texts.select("_gram_text", "_gram_row").mapInArrow(rare, "_gram_row bigint, gram bigint")
+                 .join(ratios[0], "gram").groupBy("_gram_row").agg(F.avg("value").alias("_rare_mean")))
+        judged = judged.join(means, "_gram_row", "left")
+        total = total + F.coalesce("_rare_mean", F.lit(0.0)) * F.col("_rare")
+    value = total / F.greatest(F.col("_grams"), F.lit(1))
+    return judged.withColumn(f"{prefix}score", value).select(
+        *[f"`{c}`" for c in own], *found, f"{prefix}score",
+        (~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}score") >= threshold)).alias(f"{prefix}kept"))

@@ -46,6 +46,38 @@ def test_ratio_rejects_what_trusted_texts_lack(spark, labels):
     assert len(rows) == 300
 
 
+def test_every_trusted_text_counts(spark):
+    ids = spark.range(40_000).selectExpr("id AS doc_id", "1 AS quality")
+    last = [r["doc_id"] for r in ids.orderBy("doc_id").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").tail(225)]
+    bad = [(50_000 + i, " ".join(w + "###" for w in prose(i, 150).split())) for i in range(75)]
+    rows = quality_rules.judge(documents(spark, [(i, prose(i, 150)) for i in last] + bad), ids).collect()
+    assert len(rows) == 300 and all(r["kept"] == (r["doc_id"] < 50_000) for r in rows)
+
+
+def test_every_gram_has_its_own_evidence(spark, monkeypatch, labels):
+    texts = [(i, prose(i, 120) + (" shared ending" if i % 4 else "")) for i in range(120)] + [(None, prose(5, 120)), (7, prose(7, 120) + " shared ending")]
+    good, every, own = Counter(), Counter(), []
+    for i, t in texts:
+        tokens = re.findall(r"[a-z]+", t)
+        found = Counter([*tokens, *zip(tokens, tokens[1:])])
+        own.append(found)
+        every.update(found)
+        if i is not None and i % 4 != 3:
+            good.update(found)
+    share = good.total() / every.total()
+    part = {g: n * (good[g] + 50 * share) / (n + 50) for g, n in every.items()}
+    whole = sum(part.values())
+    value = {g: np.log(part[g] / whole * every.total() / n) for g, n in every.items()}
+    want = sorted((str(i), sum(n * value[g] for g, n in f.items()) / f.total()) for (i, _), f in zip(texts, own))
+    assert len(every) > 1 << 14
+    for most in (1, 1 << 10, 1 << 17):  # all n-grams by the join, some of them, none
+        monkeypatch.setattr(quality_rules, "FREQUENT", most)
+        rows = quality_rules.judge(documents(spark, texts), labels).collect()
+        got = sorted((str(r["doc_id"]), r["score"]) for r in rows)
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert np.allclose([v for _, v in got], [v for _, v in want], atol=1e-9)
+
+
 def test_rules_awkward_rows(awkward, awkward_rows, nothing, labels):
     rows = quality_rules.judge(awkward, labels).collect()
     assert len(rows) == len(awkward_rows)
