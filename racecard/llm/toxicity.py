@@ -11,8 +11,10 @@ trained by gradient steps through the positions that won the pooling.
 
 The fit reads at most ``SAMPLE`` labelled rows outside the held-out part, and of those
 only texts of at most ``FIT_WORDS`` words. Scoring reads every whole text. Labels,
-language, source and id are no inputs of a score. A threshold per language is calibrated
-on the sample (``flagged``); ``predicted`` uses one threshold for all.
+language, source and id are no inputs of a score. A threshold per language (``flagged``) is
+calibrated on Spark by the scores of all labelled rows outside the held-out part: on those that
+the fit did not read, if enough of them are toxic, else on all. ``predicted`` uses one
+threshold for all.
 
 Null and empty texts have no words and are scored by the bias terms alone. Without
 labels of both kinds, every score is the share of label 1 (0.5 / 1 if there are none).
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from racecard.llm.samples import held_out, labelled_sample
 from racecard.llm.textscan import FOLDED_VALUES, IS_WORDLIKE, buffer_of, chunks, mix, runs, span_hashes
 
-SAMPLE = 5_000
-FIT_WORDS = 10_000
+SAMPLE = 6_000
+FIT_WORDS = 20_000
 FEWEST_TEXTS = 8
 BEGINNINGS = (7, 6, 5, 4)
 DIMENSIONS = 8
@@ -42,6 +44,8 @@ EPOCHS = 5
 BATCH = 64
 FOLDS, FOLD = 4, 2
 THRESHOLD = 0.3
+FEWEST_TOXIC = 20
+SCORE_BINS = 10_000
 PAD = max(WIDTHS) - 1
 SLOT_BITS = 21
 
@@ -204,30 +208,58 @@ class ConvolutionModel:
         self.embedding[-1] = 0
 
 
-def language_thresholds(score: np.ndarray, y: np.ndarray, lang: list, default: float = THRESHOLD,
-                        fewest: int = 20) -> dict[str, float]:
-    """The threshold of best F1 of each language with enough toxic texts in the sample."""
-    out = {}
-    for name in sorted({x for x in lang if x is not None}):
-        own = np.array([x == name for x in lang])
-        if y[own].sum() < fewest:
-            continue
-        s, t = score[own], y[own]
-        order = np.argsort(-s, kind="stable")
-        hits = np.cumsum(t[order])
-        f1 = 2 * hits / (np.arange(1, len(order) + 1) + t.sum())
-        at = int(f1.argmax())
-        below = s[order[at + 1]] if at + 1 < len(order) else 0.0
-        out[name] = float((s[order[at]] + below) / 2)
-    return out or {"": default}
+def language_thresholds(docs: DataFrame, labels: DataFrame, model: ConvolutionModel, text: str = "text",
+                        key: str = "doc_id", lang: str = "lang", most: int = SAMPLE,
+                        fewest: int = FEWEST_TOXIC) -> dict[str, float]:
+    """The threshold of best F1 of each language with enough toxic texts, over all labelled rows.
+
+    The scores of each language and label are counted by bins of 1 / ``SCORE_BINS``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    every = (labels.select(F.col(key).alias("sample_id"), F.col("toxic").cast("int").alias("label"))
+             .dropna().where(~held_out("sample_id", FOLDS, FOLD))
+             .groupBy("sample_id").agg(F.max("label").alias("label")))
+    read = labelled_sample(labels, "toxic", most, FOLDS, FOLD).select("sample_id", F.lit(True).alias("read"))
+    marked = every.join(F.broadcast(read), "sample_id", "left")  # ``most`` ids
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                value = sent.value.score(*word_hashes(*buffer_of(part.column("text"))))
+                place = np.minimum((value.astype(float) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("lang"), part.column("label"), part.column("read"), pa.array(place)],
+                    names=["lang", "label", "read", "bin"])
+
+    counts = (docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("text"),
+                          F.col(lang).cast("string").alias("lang")).where("lang is not null")
+              .join(marked, "sample_id").select("text", "lang", "label", F.coalesce("read", F.lit(False)).alias("read"))
+              .mapInArrow(binned, "lang string, label int, read boolean, bin bigint")
+              .groupBy("lang", "bin").agg(
+                  *[F.sum(F.when(rows, F.lit(1)).otherwise(F.lit(0))).alias(name) for name, rows in (
+                      ("n", F.lit(True)), ("toxic", F.col("label") == 1), ("n_unread", ~F.col("read")),
+                      ("toxic_unread", ~F.col("read") & (F.col("label") == 1)))]))
+
+    def best(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("bin", "descending")])
+        place, n, toxic, n_unread, toxic_unread = (
+            group.column(c).to_numpy() for c in ("bin", "n", "toxic", "n_unread", "toxic_unread"))
+        if toxic_unread.sum() >= fewest:
+            n, toxic = n_unread, toxic_unread
+        if toxic.sum() < fewest:
+            return pa.table({"lang": pa.array([], pa.string()), "threshold": pa.array([], pa.float64())})
+        f1 = 2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())
+        return pa.table({"lang": group.column("lang")[:1], "threshold": [place[f1.argmax()] / SCORE_BINS]})
+
+    rows = counts.groupBy("lang").applyInArrow(best, "lang string, threshold double").collect()  # a row per language
+    return {r["lang"]: r["threshold"] for r in rows}
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang",
         most: int = SAMPLE, words: int = FIT_WORDS) -> tuple[ConvolutionModel, dict[str, float]]:
-    """The model and a threshold per language, learnt from a bounded sample."""
+    """The model, learnt from a bounded sample, and a threshold per language, from all labelled rows."""
     sample = labelled_sample(labels, "toxic", most, FOLDS, FOLD)
-    chosen = (docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("text"),
-                          F.col(lang).cast("string").alias("lang"))
+    chosen = (docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("text"))
               .join(F.broadcast(sample), "sample_id"))  # ``most`` ids
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,23 +270,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 rows = [hashes[a:b].tobytes() for a, b, k in zip(first[:-1], first[1:], keep) if k]
                 kept = part.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("sample_id"), kept.column("lang"), kept.column("label"), pa.array(rows, pa.binary())],
-                    names=["sample_id", "lang", "label", "words"])
+                    [kept.column("sample_id"), kept.column("label"), pa.array(rows, pa.binary())],
+                    names=["sample_id", "label", "words"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = (chosen.select("sample_id", "text", "lang", "label")
-             .mapInArrow(hashed, f"sample_id {kind}, lang string, label int, words binary")
+    found = (chosen.select("sample_id", "text", "label")
+             .mapInArrow(hashed, f"sample_id {kind}, label int, words binary")
              .limit(2 * most).collect())
     found.sort(key=lambda r: (str(r["sample_id"]), bytes(r["words"])))
     texts = [np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(BEGINNINGS)) for r in found]
     y = np.array([r["label"] for r in found], np.float32)
-    known = [r["lang"] for r in found]
     del found
     model = ConvolutionModel().fit(texts, y)
     if not texts:
         return model, {}
-    scores = np.concatenate([model.score(t, np.array([0, len(t)])) for t in texts])
-    return model, language_thresholds(scores, y, known)
+    del texts
+    return model, language_thresholds(docs, labels, model, text, key, lang, most)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",

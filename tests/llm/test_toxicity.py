@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from llm.conftest import documents, prose
 from racecard.llm import toxicity
@@ -34,6 +35,13 @@ def test_a_word_counts_wherever_it_stands():
     assert high > 0.3 > low
 
 
+def test_thresholds_use_all_labels(spark, labels):
+    docs = corpus(spark).withColumn("lang", F.expr("if(doc_id % 2 = 0, 'en', 'de')"))
+    _, limits = toxicity.fit(docs, labels, most=100)  # about 10 toxic rows a language in the sample
+    assert set(limits) == {"en", "de"}
+    assert all(0 < x < 1 for x in limits.values())
+
+
 def test_awkward_rows(awkward, awkward_rows, nothing, labels):
     rows = toxicity.toxicity_scores(awkward, labels).collect()
     assert len(rows) == len(awkward_rows)
