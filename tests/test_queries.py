@@ -21,7 +21,7 @@ def duck():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return None
         return str(v) if isinstance(v, str) else round(float(v), 6) + 0.0
 
