@@ -1,25 +1,36 @@
 """Quality rules: base statistics of every text, and an n-gram log-likelihood ratio.
 
-Two multinomials over n-grams (single tokens and pairs; a token is a run of letters and
-digits or a run of other symbols) are counted over the corpus: one from trusted texts, one
-from all texts. The score of a text is the mean over its n-grams of log p(trusted) -
-log p(all). Texts of at least ``threshold`` pass; there is no sampling, so equal texts get
-equal verdicts.
-
-Trusted texts are all those that the labels call good. The counts cover every row and every
-n-gram, told apart by 64-bit hashes, in a table that grows with the corpus. The frequent
-n-grams, at most ``FREQUENT`` as each has more than that part of all counts, are sent to the
-tasks; every other one is looked up by a join, where it has few rows. Nothing depends on
-which way an n-gram takes.
+Two multinomials over hashed n-grams (single tokens and pairs; a token is a run of letters
+and digits or a run of other symbols) are counted over the corpus: one from trusted texts,
+one from all texts. The score of a text is the mean over its n-grams of log p(trusted) -
+log p(all), rounded to ``DIGITS`` places. Texts of at least ``threshold`` pass; there is no
+sampling, so equal texts get equal verdicts.
+
+Trusted texts are all those that the labels call good, and every n-gram of every text counts.
+N-grams of one hash bucket share a counter. Their number grows with the corpus: it is the
+power of two next above ``SPREAD`` times the square root of the bytes of text, so a text that
+is four times as much has twice the counters. Two given n-grams share one with a chance of
+one in the number of counters; with d distinct n-grams, a share of 1 - exp(-d / counters) of
+them shares its counter with some other (``shared_counters`` measures it).
+
+Tasks add up their own counts and return them as packed ranges of counters, each range is
+added up as a stream, and the ratios are sent to the tasks, at most ``SENT`` of them at once.
+Beyond that, each part of the counters is one more pass over the texts, whose sums per
+distinct text are added by a join; scores are the same. No text is moved to meet its label as
+long as the trusted ids take at most ``SENT_IDS`` (they are sent instead); beyond that, by
+a join.
 
 Null and empty texts have no words and fail the base rule, as does any text under 50
 words. With no trusted text at all, both multinomials count as equal and only the base
-rules decide. Repeated rows are judged alike, row by row; other columns are kept aside.
+rules decide. Repeated rows are judged alike, row by row; a row without an id matches no label.
+Other columns, whatever their names, are kept by ``keep_good`` and left out by ``judge``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +43,14 @@ from racecard.llm.textscan import (
 )
 from racecard.session import cut_lineage
 
-FREQUENT = 1 << 17
+SPREAD = 64
+SENT = 1 << 24
+SENT_IDS = 1 << 22
+RANGE_BITS = 13
 HELD_GRAMS = 1 << 20
+DIGITS = 9
 THRESHOLD = -0.03
-PRIOR = 50  # pseudo-counts per n-gram
+PRIOR = 50  # pseudo-counts per counter
 FEWEST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 SYMBOLS = any_of("#*$%&|<>")
@@ -84,65 +99,149 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[n
     return doc, (hashes % np.uint64(buckets)).astype(np.int64)
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-                label_key: str = "doc_id") -> DataFrame:
-    """``gram, trusted, every``: the counts of every n-gram in the trusted texts and in all texts."""
+def counters_for(size: int) -> int:
+    """How many counters a corpus of ``size`` bytes of text has."""
+    return max(1 << RANGE_BITS, 1 << math.ceil(math.log2(SPREAD * math.sqrt(max(size, 1)))))
 
-    def summed(held: list[np.ndarray]) -> np.ndarray:
-        whole = np.concatenate(held, axis=1)
-        whole = whole[:, np.argsort(whole[0])]
-        first = np.flatnonzero(np.diff(whole[0], prepend=whole[0, :1] - 1))
-        return np.stack([whole[0, first], np.add.reduceat(whole[1], first), np.add.reduceat(whole[2], first)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def _bucket(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes & np.uint64(counters - 1)).astype(np.int64)
+
+
+def _summed(bucket: np.ndarray, trusted: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same counts with every bucket once, in order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[first], np.add.reduceat(trusted[order], first), np.add.reduceat(every[order], first)
+
+
+def _marked(docs: DataFrame, labels: DataFrame, text: str, key: str, label_key: str):
+    """``key, text, trusted``, and a broadcast of the sorted trusted ids where they are few enough (else None)."""
+    good = (labels.where("quality = 1").select(F.col(label_key).cast("bigint").alias("key")).dropna().distinct())
+    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    ids = good.limit(SENT_IDS + 1).toArrow().column("key").to_numpy()
+    if len(ids) <= SENT_IDS:
+        return texts.withColumn("trusted", F.lit(False)), docs.sparkSession.sparkContext.broadcast(np.sort(ids))
+    # Rows without an id match no label; they stay out of the join, where they would share a task.
+    named = (texts.where("key is not null").join(good.withColumn("trusted", F.lit(True)), "key", "left")
+             .withColumn("trusted", F.coalesce("trusted", F.lit(False))))
+    return named.unionByName(texts.where("key is null").withColumn("trusted", F.lit(False))), None
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held)], names=["gram", "trusted", "every"])
 
+def gram_counts(docs: DataFrame, labels: DataFrame, counters: int, text: str = "text", key: str = "doc_id",
+                label_key: str = "doc_id") -> DataFrame:
+    """``part, trusted, every``: per range of counters, the counts in the trusted texts and in all texts."""
+    texts, sent = _marked(docs, labels, text, key, label_key)
+    width = 1 << RANGE_BITS
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        bucket, trusted, every = _summed(*map(np.concatenate, zip(*held)))
+        part, first = np.unique(bucket >> RANGE_BITS, return_index=True)
+        stops = pa.array(np.append(first, len(bucket)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part), *(pa.ListArray.from_arrays(stops, pa.array(x)) for x in (
+                (bucket & (width - 1)).astype(np.int16), trusted.astype(np.int32), every.astype(np.int32)))],
+            names=["part", "at", "trusted", "every"])
+
+    def trusts(part: pa.RecordBatch) -> np.ndarray:
+        if sent is None:
+            return part.column("trusted").to_numpy(zero_copy_only=False)
+        keys = part.column("key")
+        wanted = keys.fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.searchsorted(sent.value, wanted)
+        known = np.append(sent.value, 0)[place] == wanted
+        return known & (place < len(sent.value)) & keys.is_valid().to_numpy(zero_copy_only=False)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in chunks(batch, "text"):
                 doc, hashes = grams(*buffer_of(part.column("text")))
                 if not len(doc):
                     continue
-                trust = part.column("trusted").to_numpy(zero_copy_only=False)[doc]
-                held.append(summed([np.stack([hashes.view(np.int64), trust.astype(np.int64), np.ones(len(doc), np.int64)])]))
-                size += held[-1].shape[1]
+                held.append(_summed(_bucket(hashes, counters), trusts(part)[doc].astype(np.int64), np.ones(len(doc), np.int64)))
+                size += len(held[-1][0])
                 if size >= HELD_GRAMS:
-                    yield flush()
-                    held, size = [], 0
+                    held = [_summed(*map(np.concatenate, zip(*held)))]
+                    if len(held[0][0]) >= HELD_GRAMS // 2:
+                        yield packed(held)
+                        held = []
+                    size = sum(len(x[0]) for x in held)
         if held:
-            yield flush()
+            yield packed(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            stops = batch.column("at").offsets.to_numpy()
+            at, trusted, every = (batch.column(c).values.to_numpy() for c in ("at", "trusted", "every"))
+            for part, a, b in zip(batch.column("part").to_pylist(), stops[:-1], stops[1:]):
+                held = total.setdefault(part, np.zeros((2, width), np.int64))
+                held[0, at[a:b]] += trusted[a:b]
+                held[1, at[a:b]] += every[a:b]
+        for part, held in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([x]) for x in held)],
+                                             names=["part", "trusted", "every"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (texts.mapInArrow(count, "part bigint, at array<smallint>, trusted array<int>, every array<int>")
+            .repartition(parts, "part")
+            .mapInArrow(add, "part bigint, trusted array<bigint>, every array<bigint>"))
 
-    good = (labels.where("quality = 1").select(F.col(label_key).cast("bigint").alias("key")).dropna().distinct()
-            .withColumn("trusted", F.lit(True)))
-    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    # Rows without an id match no label; they stay out of the join, where they would share a task.
-    marked = (texts.where("key is not null").join(good, "key", "left")
-              .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-              .unionByName(texts.where("key is null").select("text", F.lit(False).alias("trusted"))))
-    return (marked.mapInArrow(count, "gram bigint, trusted bigint, every bigint")
-            .groupBy("gram").agg(F.sum("trusted").alias("trusted"), F.sum("every").alias("every")))
 
+def shared_counters(distinct: int, counters: int) -> float:
+    """The expected share of ``distinct`` n-grams that share their counter with another one."""
+    return 1 - math.exp(-(distinct - 1) / counters) if distinct else 0.0
 
-def log_ratios(counts: DataFrame) -> tuple[DataFrame, pa.Table] | None:
-    """log p(trusted) - log p(all) as ``gram, value``: of the rare n-grams, and of the frequent ones.
 
-    The share of an n-gram's occurrences that lies in trusted texts is taken as if ``PRIOR``
-    more had the share of all n-grams: what few occurrences say little about scores near 0,
-    at any corpus size. None without trusted texts.
+class Ratios:
+    """log p(trusted) - log p(all) of every counter, read from the table of counts in parts.
+
+    The share of a counter's occurrences that lies in trusted texts is taken as if ``PRIOR``
+    more had the share of all: what few occurrences say little about scores near 0, at any
+    corpus size.
     """
-    n, k = F.col("every").cast("double"), float(PRIOR)
-    sums = counts.agg(F.sum("trusted").alias("trusted"), F.sum("every").alias("every"),
-                      F.sum(n * F.col("trusted") / (n + k)).alias("own"), F.sum(n / (n + k)).alias("prior")).first()
-    if not sums["trusted"]:
-        return None
-    share = sums["trusted"] / sums["every"]
-    whole = (sums["own"] + k * share * sums["prior"]) / sums["trusted"]  # so that p(trusted) sums to 1
-    value = F.log((F.col("trusted") + k * share) / ((n + k) * share * whole))
-    frequent = F.col("every") * FREQUENT > F.lit(sums["every"])
-    rows = counts.where(frequent).select("gram", value.alias("value")).toArrow()  # fewer than FREQUENT rows
-    return counts.where(~frequent).select("gram", value.alias("value")), rows.sort_by("gram")
+
+    def __init__(self, counts: DataFrame, counters: int):
+        self.counts, self.counters, k = counts, counters, float(PRIOR)
+
+        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                trusted, every = (batch.column(c).flatten().to_numpy().reshape(-1, 1 << RANGE_BITS) for c in ("trusted", "every"))
+                sums = [trusted.sum(axis=1), every.sum(axis=1), (every * trusted / (every + k)).sum(axis=1),
+                        (every / (every + k)).sum(axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column("part"), *map(pa.array, sums)],
+                                                 names=["part", "trusted", "every", "own", "prior"])
+
+        # One row per range of counters; added up exactly, so their order does not matter.
+        rows = counts.mapInArrow(totals, "part bigint, trusted bigint, every bigint, own double, prior double").collect()
+        self.trusted, self.every = (sum(r[c] for r in rows) for c in ("trusted", "every"))
+        if self.trusted:
+            self.share = self.trusted / self.every
+            self.whole = (math.fsum(r["own"] for r in rows) + k * self.share * math.fsum(r["prior"] for r in rows)) / self.trusted
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first counter, values) of at most ``SENT`` successive counters each; nothing without trusted texts."""
+        width, most = 1 << RANGE_BITS, max(SENT >> RANGE_BITS, 1)
+        for first in range(0, self.counters >> RANGE_BITS if self.trusted else 0, most):
+            last = min(first + most, self.counters >> RANGE_BITS)
+            trusted, every = np.zeros((2, (last - first) * width))
+            rows = self.counts.where(F.col("part").between(first, last - 1)).toArrow()
+            for part, a, b in zip(*(rows.column(c).to_pylist() if c == "part" else rows.column(c)
+                                    for c in ("part", "trusted", "every"))):
+                at = slice((part - first) * width, (part - first + 1) * width)
+                trusted[at], every[at] = a.values.to_numpy(), b.values.to_numpy()
+            value = np.log((trusted + PRIOR * self.share) / ((every + PRIOR) * self.share * self.whole))
+            yield first * width, value.astype(np.float32)
+
+
+def text_sums(column: pa.Array, counters: int, first: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: how many n-grams it has, and the sum of the values of those whose counters are given."""
+    doc, hashes = grams(*buffer_of(column))
+    at = _bucket(hashes, counters) - first
+    here = (at >= 0) & (at < len(values))
+    return np.bincount(doc, minlength=len(column)), np.bincount(doc[here], values[at[here]], len(column)).astype(float)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
@@ -153,7 +252,15 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    return verdicts(docs, labels, text, key, prefix="_rules_").where("_rules_kept").select(*docs.columns)
+    prefix = _unused("_rules_", docs)
+    return verdicts(docs, labels, text, key, prefix=prefix).where(f"`{prefix}kept`").select(*(f"`{c}`" for c in docs.columns))
+
+
+def _unused(prefix: str, docs: DataFrame) -> str:
+    """``prefix`` made longer until no column of ``docs`` begins with it."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
@@ -165,60 +272,59 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     kinds = f"{COLUMNS}, base_failed boolean".split(", ")
     found = [prefix + c.split()[0] for c in kinds]
     own = [c for c in kept or docs.columns if c not in [*found, f"{prefix}score", f"{prefix}kept"]]
+    context = docs.sparkSession.sparkContext
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    counters = counters_for(size)
+    ratios = Ratios(cut_lineage(gram_counts(docs, labels, counters, text, key)), counters)
+    sums = [(first, context.broadcast(values)) for first, values in ratios.slices()]
+    here = _unused("_gram_", docs)
+    told = [f"{here}{c}" for c in ("row", "n", "sum")]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in own] + [prefix + c for c in kinds]
-                       + ["_gram_row bigint, _grams bigint, _rare bigint, _frequent_sum double"])
-    ratios = log_ratios(cut_lineage(gram_counts(docs, labels, text, key)))
-    if ratios:
-        sent = docs.sparkSession.sparkContext.broadcast(
-            tuple(ratios[1].column(c).to_numpy() for c in ("gram", "value")))
-    else:
-        sent = docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0)))
-
-    def split(column: pa.Array) -> tuple[np.ndarray, ...]:
-        """(text number, hash, whether frequent, its value) of every n-gram."""
-        known, values = sent.value
-        doc, hashes = grams(*buffer_of(column))
-        hashes = hashes.view(np.int64)
-        if not len(known):
-            return doc, hashes, np.zeros(len(doc), bool), np.zeros(len(doc))
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        frequent = known[at] == hashes
-        return doc, hashes, frequent, np.where(frequent, values[at], 0.0)
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in own] + [f"`{prefix}{c.split()[0]}` {c.split()[1]}" for c in kinds]
+                       + [f"`{told[0]}` bigint, `{told[1]}` bigint, `{told[2]}` double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_gram_text"):
-                counts = base_counts(*buffer_of(part.column("_gram_text")))
-                doc, _, frequent, value = split(part.column("_gram_text"))
+            for part in chunks(batch, f"{here}text"):
+                body = part.column(f"{here}text")
+                counts = base_counts(*buffer_of(body))
+                n, total = text_sums(body, counters, *((sums[0][0], sums[0][1].value) if sums else (0, np.zeros(0))))
                 failed = ((counts["n_words"] < FEWEST_WORDS)
                           | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"]))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in own), *(pa.array(v.astype(np.int64)) for v in counts.values()),
-                     pa.array(failed), part.column("_gram_row"), pa.array(np.bincount(doc, minlength=part.num_rows)),
-                     pa.array(np.bincount(doc[~frequent], minlength=part.num_rows)),
-                     pa.array(np.bincount(doc, value, part.num_rows).astype(float))],
-                    names=[*own, *found, "_gram_row", "_grams", "_rare", "_frequent_sum"])
+                     pa.array(failed), part.column(f"{here}row"), pa.array(n), pa.array(total)], names=[*own, *found, *told])
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "_gram_text"):
-                doc, hashes, frequent, _ = split(part.column("_gram_text"))
-                rows = part.column("_gram_row").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(rows[doc[~frequent]]), pa.array(hashes[~frequent])],
-                                                 names=["_gram_row", "gram"])
-
-    texts = docs.select(*own, F.col(text).cast("string").alias("_gram_text"),
-                        F.xxhash64(F.col(text).cast("string")).alias("_gram_row"))
+    texts = docs.select(*(f"`{c}`" for c in own), F.col(text).cast("string").alias(f"{here}text"),
+                        F.xxhash64(F.col(text).cast("string")).alias(f"{here}row"))
     judged = texts.mapInArrow(score, schema)
-    total = F.col("_frequent_sum")
-    if ratios:
-        # Copies of a text share its hash; a mean over all of them is that of each.
-        means = (texts.select("_gram_text", "_gram_row").mapInArrow(rare, "_gram_row bigint, gram bigint")
-                 .join(ratios[0], "gram").groupBy("_gram_row").agg(F.avg("value").alias("_rare_mean")))
-        judged = judged.join(means, "_gram_row", "left")
-        total = total + F.coalesce("_rare_mean", F.lit(0.0)) * F.col("_rare")
-    value = total / F.greatest(F.col("_grams"), F.lit(1))
+    total = F.col(f"`{told[2]}`")
+    if len(sums) > 1:
+        judged = judged.join(_further_sums(texts, here, counters, sums[1:]), told[0])
+        total = total + F.col(f"`{here}more`")
+    value = F.round(total / F.greatest(F.col(f"`{told[1]}`"), F.lit(1)), DIGITS)
     return judged.withColumn(f"{prefix}score", value).select(
-        *[f"`{c}`" for c in own], *found, f"{prefix}score",
-        (~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}score") >= threshold)).alias(f"{prefix}kept"))
+        *(f"`{c}`" for c in own), *(f"`{c}`" for c in found), f"`{prefix}score`",
+        (~F.col(f"`{prefix}base_failed`") & (F.col(f"`{prefix}score`") >= threshold)).alias(f"{prefix}kept"))
+
+
+def _further_sums(texts: DataFrame, here: str, counters: int, sums: list) -> DataFrame:
+    """Per hash of a text, the sum of its values in further parts of the counters, one pass over the texts each."""
+
+    def passed(first, sent):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, f"{here}text"):
+                    _, total = text_sums(part.column(f"{here}text"), counters, first, sent.value)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(f"{here}row"), pa.array(np.full(len(total), first)), pa.array(total)],
+                        names=[f"{here}row", "first", "total"])
+
+        return add
+
+    rows = reduce(DataFrame.unionByName, [
+        texts.select(f"{here}text", f"{here}row").mapInArrow(passed(*s), f"`{here}row` bigint, first bigint, total double")
+        for s in sums])
+    # Copies of a text have equal sums; one of them counts.
+    return (rows.groupBy(f"{here}row", "first").agg(F.max("total").alias("total"))
+            .groupBy(f"{here}row").agg(F.sum("total").alias(f"{here}more")))

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from llm.conftest import documents, prose
 from racecard.llm import quality_gam, quality_rules
@@ -54,12 +55,24 @@ def test_every_trusted_text_counts(spark):
     assert len(rows) == 300 and all(r["kept"] == (r["doc_id"] < 50_000) for r in rows)
 
 
-def test_every_gram_has_its_own_evidence(spark, monkeypatch, labels):
+def bucket_of(gram, counters):
+    """The counter of one n-gram, by the hash of a text that holds it alone."""
+    doc, hashes = quality_rules.grams(*buffer_of(pa.array([" ".join(gram)])))
+    return int(hashes[-1]) & (counters - 1)
+
+
+def test_scores_equal_brute_force(spark, monkeypatch, labels):
+    """Every n-gram of every text counts, whichever way its counter and its label take."""
     texts = [(i, prose(i, 120) + (" shared ending" if i % 4 else "")) for i in range(120)] + [(None, prose(5, 120)), (7, prose(7, 120) + " shared ending")]
-    good, every, own = Counter(), Counter(), []
+    counters = quality_rules.counters_for(sum(len(t.encode()) for _, t in texts))
+    place, good, every, own = {}, Counter(), Counter(), []
     for i, t in texts:
         tokens = re.findall(r"[a-z]+", t)
-        found = Counter([*tokens, *zip(tokens, tokens[1:])])
+        found = Counter()
+        for gram in [*((x,) for x in tokens), *zip(tokens, tokens[1:])]:
+            if gram not in place:
+                place[gram] = bucket_of(gram, counters)
+            found[place[gram]] += 1
         own.append(found)
         every.update(found)
         if i is not None and i % 4 != 3:
@@ -69,13 +82,30 @@ def test_every_gram_has_its_own_evidence(spark, monkeypatch, labels):
     whole = sum(part.values())
     value = {g: np.log(part[g] / whole * every.total() / n) for g, n in every.items()}
     want = sorted((str(i), sum(n * value[g] for g, n in f.items()) / f.total()) for (i, _), f in zip(texts, own))
-    assert len(every) > 1 << 14
-    for most in (1, 1 << 10, 1 << 17):  # all n-grams by the join, some of them, none
-        monkeypatch.setattr(quality_rules, "FREQUENT", most)
+    shared = 1 - len(every) / len(place)
+    assert shared <= quality_rules.shared_counters(len(place), counters) and counters > 1 << 14
+    for sent, ids, held in ((1 << 24, 1 << 22, 1 << 20), (1 << 13, 10, 500)):  # at once; in parts and by joins
+        monkeypatch.setattr(quality_rules, "SENT", sent)
+        monkeypatch.setattr(quality_rules, "SENT_IDS", ids)
+        monkeypatch.setattr(quality_rules, "HELD_GRAMS", held)
         rows = quality_rules.judge(documents(spark, texts), labels).collect()
         got = sorted((str(r["doc_id"]), r["score"]) for r in rows)
         assert [k for k, _ in got] == [k for k, _ in want]
-        assert np.allclose([v for _, v in got], [v for _, v in want], atol=1e-9)
+        assert np.allclose([v for _, v in got], [v for _, v in want], atol=1e-6)
+
+
+def test_counters_grow_with_the_corpus():
+    sizes = [quality_rules.counters_for(n) for n in (0, 10 ** 8, 4 * 10 ** 8, 10 ** 14)]
+    assert sizes == sorted(sizes) and sizes[2] == 2 * sizes[1]
+    assert quality_rules.shared_counters(1000, 1 << 20) < 1e-3
+
+
+def test_rules_with_clashing_columns(spark, labels, awkward):
+    names = ["_gram_row", "_gram_text", "_rules_kept", "_rules_score", "n_words", "trusted", "part"]
+    docs = awkward.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == quality_rules.keep_good(awkward, labels).count() > 0
+    assert kept.select(*names).distinct().collect() == [tuple(range(len(names)))]
 
 
 def test_rules_awkward_rows(awkward, awkward_rows, nothing, labels):
