@@ -9,16 +9,19 @@ logistic layer turns the responses into a score. The first coordinate of an embe
 starts as the word's log odds between toxic and other training texts; everything is then
 trained by gradient steps through the positions that won the pooling.
 
-The fit reads at most ``SAMPLE`` labelled rows outside the held-out part, and of those
-only texts of at most ``FIT_WORDS`` words. Scoring reads every whole text. Labels,
-language, source and id are no inputs of a score. A threshold per language (``flagged``) is
-calibrated on Spark by the scores of all labelled rows outside the held-out part: on those that
-the fit did not read, if enough of them are toxic, else on all. ``predicted`` uses one
-threshold for all.
+The fit reads at most ``SAMPLE`` labelled ids outside the held-out part, one text each, whole
+texts of any length: its words are counted on Spark, and the driver holds the sample's words as
+four-byte rows of the embedding, with at most three successive words of no embedding, since more
+change no response. Every text is scored once and whole. Labels, language, source and id
+are no inputs of a score. A threshold per language (``flagged``) is calibrated on Spark by the
+scores of all labelled rows outside the held-out part: on those that the fit did not read,
+if enough of them are toxic, else on all. Only scores are joined with labels, never texts.
+``predicted`` uses one threshold for all.
 
 Null and empty texts have no words and are scored by the bias terms alone. Without
 labels of both kinds, every score is the share of label 1 (0.5 / 1 if there are none).
-Repeated rows get equal scores; other columns are neither read nor returned.
+Repeated rows get equal scores; of several texts of one id the fit reads the one of least hash.
+Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 
 from racecard.llm.samples import held_out, labelled_sample
 from racecard.llm.textscan import FOLDED_VALUES, IS_WORDLIKE, buffer_of, chunks, mix, runs, span_hashes
+from racecard.session import cut_lineage
 
 SAMPLE = 6_000
-FIT_WORDS = 20_000
 FEWEST_TEXTS = 8
 BEGINNINGS = (7, 6, 5, 4)
 DIMENSIONS = 8
@@ -69,7 +72,7 @@ class ConvolutionModel:
     """Embeddings by word hash, filters, and the logistic layer on their largest responses."""
 
     def __init__(self, share: float = 0.0):
-        self.share, self.keys, self.slots = share, None, None
+        self.share, self.keys, self.seen = share, None, None
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """Embedding row of each word: its own, else its longest known beginning's, else none."""
@@ -77,33 +80,24 @@ class ConvolutionModel:
         todo = np.arange(len(hashes))
         for unit in range(hashes.shape[1]):
             wanted = hashes[todo, unit]
-            found = np.full(len(todo), -1, np.int32)
-            for shift, slots in enumerate(self._slots()):
-                at = slots[self._slot(wanted, shift)]
-                found = np.where(self.keys[at] == wanted, at, found)
-            row[todo[found >= 0]] = found[found >= 0]
-            todo = todo[found < 0]
+            likely = np.flatnonzero(self._seen()[wanted >> np.uint32(32 - SLOT_BITS)])
+            at = np.minimum(np.searchsorted(self.keys, wanted[likely]), len(self.keys) - 1)
+            exact = self.keys[at] == wanted[likely]
+            row[todo[likely[exact]]] = at[exact]
+            left = np.ones(len(todo), bool)
+            left[likely[exact]] = False
+            todo = todo[left]
         return row
 
-    @staticmethod
-    def _slot(keys: np.ndarray, shift: int) -> np.ndarray:
-        return (keys >> np.uint32(shift * (32 - SLOT_BITS))) & np.uint32((1 << SLOT_BITS) - 1)
-
-    def _slots(self) -> list[np.ndarray]:
-        """Two tables of row numbers by different bits of the hash; of keys in one slot, one stays.
-
-        A key displaced from both is as if too rare. Built once in each process.
-        """
-        if self.slots is None:
-            self.slots = []
-            for shift in range(2):
-                table = np.zeros(1 << SLOT_BITS, np.int32)
-                table[self._slot(self.keys, shift)] = np.arange(len(self.keys))
-                self.slots.append(table)
-        return self.slots
+    def _seen(self) -> np.ndarray:
+        """Whether any key begins with these bits; spares most unknown words the search."""
+        if self.seen is None:
+            self.seen = np.zeros(1 << SLOT_BITS, bool)
+            self.seen[self.keys >> np.uint32(32 - SLOT_BITS)] = True
+        return self.seen
 
     def __getstate__(self):
-        return {**self.__dict__, "slots": None}
+        return {**self.__dict__, "seen": None}
 
     def padded(self, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(embedding row per place, first place of each text); every text ends in ``PAD`` blanks."""
@@ -128,27 +122,22 @@ class ConvolutionModel:
         return 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias, -30, 30)))
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, seed: int = 5) -> ConvolutionModel:
-        self.share = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
-        if not len(y) or y.min() == y.max() or not self._start(texts, y, seed):
-            return self
-        texts = [self.rows(t) for t in texts]
-        rng = np.random.default_rng(seed)
-        square = {name: np.zeros_like(v) for name, v in self._weights().items()}
-        for epoch in range(EPOCHS):
-            rate = 0.05 / (1 + epoch)
-            for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-                self._step([texts[i] for i in batch], y[batch], rate, square)
-        return self
-
-    def _start(self, texts: list[np.ndarray], y: np.ndarray, seed: int) -> bool:
-        """Embeddings for the words of enough texts, and weights that begin near the log odds."""
+        """Learn from texts given as word hashes."""
         distinct = [np.unique(t) for t in texts]
-        hashes = np.concatenate(distinct)
+        keys, back = np.unique(np.concatenate(distinct) if distinct else np.zeros(0, np.uint32), return_inverse=True)
         toxic = np.repeat(y, [len(d) for d in distinct])
-        keys, back = np.unique(hashes, return_inverse=True)
-        many, bad = np.bincount(back), np.bincount(back, toxic)
+        if self.start(keys, np.bincount(back, minlength=len(keys)), np.bincount(back, toxic, len(keys)), y, seed):
+            self.train([self.rows(t) for t in texts], y, seed)
+        return self
+
+    def start(self, keys: np.ndarray, many: np.ndarray, bad: np.ndarray, y: np.ndarray, seed: int = 5) -> bool:
+        """Embeddings for the words of enough texts, and weights that begin near the log odds.
+
+        ``keys`` are sorted; ``many`` and ``bad`` say in how many texts and toxic texts each is.
+        """
+        self.share = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
         keep = (many >= FEWEST_TEXTS) & (keys != 0)
-        if not keep.any():
+        if not len(y) or y.min() == y.max() or not keep.any():
             return False
         self.keys, many, bad = keys[keep], many[keep], bad[keep]
         prior = y.mean()
@@ -165,6 +154,25 @@ class ConvolutionModel:
         self.bias = np.array([np.log(prior / (1 - prior)) - 1], np.float32)
         return True
 
+    def train(self, texts: list[np.ndarray], y: np.ndarray, seed: int = 5) -> None:
+        """Gradient steps over texts given as embedding rows."""
+        rng = np.random.default_rng(seed)
+        square = {name: np.zeros_like(v) for name, v in self._weights().items()}
+        for epoch in range(EPOCHS):
+            rate = 0.05 / (1 + epoch)
+            for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+                self._step([texts[i] for i in batch], y[batch], rate, square)
+
+    def shortened(self, rows: np.ndarray) -> np.ndarray:
+        """The same text with at most ``max(WIDTHS)`` successive words of no embedding.
+
+        Windows of unknown words alone give the same response wherever they stand.
+        """
+        known = rows < len(self.keys)
+        order = np.arange(len(rows))
+        last = np.maximum.accumulate(np.where(known, order, -1))
+        return rows[known | (order - last <= max(WIDTHS))]
+
     def _weights(self) -> dict:
         return {"out": self.out, "bias": self.bias, "embedding": self.embedding,
                 **{("f", w): self.filters[w] for w in WIDTHS}, **{("o", w): self.offsets[w] for w in WIDTHS}}
@@ -208,37 +216,26 @@ class ConvolutionModel:
         self.embedding[-1] = 0
 
 
-def language_thresholds(docs: DataFrame, labels: DataFrame, model: ConvolutionModel, text: str = "text",
-                        key: str = "doc_id", lang: str = "lang", most: int = SAMPLE,
-                        fewest: int = FEWEST_TOXIC) -> dict[str, float]:
-    """The threshold of best F1 of each language with enough toxic texts, over all labelled rows.
+def language_thresholds(scored: DataFrame, labels: DataFrame, key: str = "key", lang: str = "lang", most: int = SAMPLE,
+                        fewest: int = FEWEST_TOXIC, label_key: str = "doc_id") -> dict[str, float]:
+    """The threshold of best F1 of each language with enough toxic texts, over all labelled rows of ``scored``.
 
-    The scores of each language and label are counted by bins of 1 / ``SCORE_BINS``.
+    The scores of each language and label are counted by bins of 1 / ``SCORE_BINS``, copies before
+    the join with the labels.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    every = (labels.select(F.col(key).alias("sample_id"), F.col("toxic").cast("int").alias("label"))
+    every = (labels.select(F.col(label_key).alias("sample_id"), F.col("toxic").cast("int").alias("label"))
              .dropna().where(~held_out("sample_id", FOLDS, FOLD))
              .groupBy("sample_id").agg(F.max("label").alias("label")))
-    read = labelled_sample(labels, "toxic", most, FOLDS, FOLD).select("sample_id", F.lit(True).alias("read"))
+    read = labelled_sample(labels, "toxic", most, FOLDS, FOLD, label_key).select("sample_id", F.lit(True).alias("read"))
     marked = every.join(F.broadcast(read), "sample_id", "left")  # ``most`` ids
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                value = sent.value.score(*word_hashes(*buffer_of(part.column("text"))))
-                place = np.minimum((value.astype(float) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), part.column("label"), part.column("read"), pa.array(place)],
-                    names=["lang", "label", "read", "bin"])
-
-    counts = (docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("text"),
-                          F.col(lang).cast("string").alias("lang")).where("lang is not null")
-              .join(marked, "sample_id").select("text", "lang", "label", F.coalesce("read", F.lit(False)).alias("read"))
-              .mapInArrow(binned, "lang string, label int, read boolean, bin bigint")
-              .groupBy("lang", "bin").agg(
-                  *[F.sum(F.when(rows, F.lit(1)).otherwise(F.lit(0))).alias(name) for name, rows in (
-                      ("n", F.lit(True)), ("toxic", F.col("label") == 1), ("n_unread", ~F.col("read")),
-                      ("toxic_unread", ~F.col("read") & (F.col("label") == 1)))]))
+    place = F.least(F.floor(F.col("score") * SCORE_BINS), F.lit(SCORE_BINS - 1))
+    alike = (scored.select(F.col(key).alias("sample_id"), F.col(lang).alias("lang"), place.alias("bin"))
+             .dropna().groupBy("sample_id", "lang", "bin").agg(F.count("*").alias("copies")))
+    unread = F.col("read").isNull()
+    counts = alike.join(marked, "sample_id").groupBy("lang", "bin").agg(
+        *[F.sum(F.when(rows, F.col("copies")).otherwise(F.lit(0))).alias(name) for name, rows in (
+            ("n", F.lit(True)), ("toxic", F.col("label") == 1), ("n_unread", unread),
+            ("toxic_unread", unread & (F.col("label") == 1)))])
 
     def best(group: pa.Table) -> pa.Table:
         group = group.sort_by([("bin", "descending")])
@@ -255,57 +252,82 @@ def language_thresholds(docs: DataFrame, labels: DataFrame, model: ConvolutionMo
     return {r["lang"]: r["threshold"] for r in rows}
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang",
-        most: int = SAMPLE, words: int = FIT_WORDS) -> tuple[ConvolutionModel, dict[str, float]]:
-    """The model, learnt from a bounded sample, and a threshold per language, from all labelled rows."""
-    sample = labelled_sample(labels, "toxic", most, FOLDS, FOLD)
-    chosen = (docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("text"))
-              .join(F.broadcast(sample), "sample_id"))  # ``most`` ids
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+        most: int = SAMPLE, label_key: str = "doc_id") -> ConvolutionModel:
+    """The model, learnt from the texts of at most ``most`` labelled ids."""
+    sample = labelled_sample(labels, "toxic", most, FOLDS, FOLD, label_key)
+    texts = docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("text"))
+    hashed = texts.select("*", F.xxhash64("text").alias("own"))
+    # One text of each id, whatever the tasks: the one of least hash.
+    least = (hashed.join(F.broadcast(sample), "sample_id").groupBy("sample_id", "label")
+             .agg(F.min("own").alias("own")))
+    least = cut_lineage(least)
+    chosen = (hashed.join(F.broadcast(least), ["sample_id", "own"])  # ``most`` ids
+              .dropDuplicates(["sample_id"]).select("sample_id", "text", "label"))
+    chosen = cut_lineage(chosen)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 hashes, first = word_hashes(*buffer_of(part.column("text")))
-                keep = np.diff(first) <= words
-                rows = [hashes[a:b].tobytes() for a, b, k in zip(first[:-1], first[1:], keep) if k]
-                kept = part.filter(pa.array(keep))
+                distinct = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
+                toxic = np.repeat(part.column("label").to_numpy(zero_copy_only=False), [len(d) for d in distinct])
+                keys, back = np.unique(np.concatenate(distinct), return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("sample_id"), kept.column("label"), pa.array(rows, pa.binary())],
-                    names=["sample_id", "label", "words"])
+                    [pa.array(keys.astype(np.int64)), pa.array(np.bincount(back, minlength=len(keys))),
+                     pa.array(np.bincount(back, toxic, len(keys)).astype(np.int64))], names=["word", "many", "bad"])
+
+    words = (chosen.mapInArrow(count, "word bigint, many bigint, bad bigint").groupBy("word")
+             .agg(F.sum("many").alias("many"), F.sum("bad").alias("bad"))
+             .where(F.col("many") >= FEWEST_TEXTS).orderBy("word").toArrow())
+    y = chosen.select("sample_id", "label").toArrow()
+    order = np.argsort([str(i) for i in y.column("sample_id").to_pylist()], kind="stable")
+    known = y.column("label").to_numpy().astype(np.float32)[order]
+    model = ConvolutionModel()
+    keys, many, bad = (words.column(c).to_numpy() for c in ("word", "many", "bad"))
+    if not model.start(keys.astype(np.uint32), many, bad, known):
+        return model
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                hashes, first = word_hashes(*buffer_of(part.column("text")))
+                rows = sent.value.rows(hashes)
+                rows = [sent.value.shortened(rows[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("sample_id"), pa.array(rows, pa.binary())],
+                                                 names=["sample_id", "rows"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = (chosen.select("sample_id", "text", "label")
-             .mapInArrow(hashed, f"sample_id {kind}, label int, words binary")
-             .limit(2 * most).collect())
-    found.sort(key=lambda r: (str(r["sample_id"]), bytes(r["words"])))
-    texts = [np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(BEGINNINGS)) for r in found]
-    y = np.array([r["label"] for r in found], np.float32)
-    del found
-    model = ConvolutionModel().fit(texts, y)
-    if not texts:
-        return model, {}
-    del texts
-    return model, language_thresholds(docs, labels, model, text, key, lang, most)
+    found = chosen.mapInArrow(placed, f"sample_id {kind}, rows binary").toArrow()
+    order = np.argsort([str(i) for i in found.column("sample_id").to_pylist()], kind="stable")
+    rows = found.column("rows").to_pylist()
+    model.train([np.frombuffer(rows[i], np.int32) for i in order], known)
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
                     lang: str = "lang", threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """``key, held_out, score, predicted`` of every row, and ``flagged`` by its language's threshold."""
-    model, by_language = fit(docs, labels, text, key, lang, most)
+    model = fit(docs, labels, text, key, most)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 value = sent.value.score(*word_hashes(*buffer_of(part.column("text"))))
-                limits = np.array([by_language.get(x, threshold) for x in part.column("lang").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(value.astype(float)), pa.array(value >= limits)],
-                    names=["key", "score", "flagged"])
+                    [part.column("key"), part.column("lang"), pa.array(value.astype(float))], names=["key", "lang", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return (docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"),
-                        F.col(lang).cast("string").alias("lang"))
-            .mapInArrow(score, f"key {kind}, score double, flagged boolean")
-            .select(F.col("key").alias(key), held_out("key", FOLDS, FOLD).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted"), "flagged"))
+    scored = cut_lineage(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"),
+                                     F.col(lang).cast("string").alias("lang"))
+                         .mapInArrow(score, f"key {kind}, lang string, score double"))
+    limit = F.lit(threshold)
+    if model.keys is not None:
+        by_language = language_thresholds(scored, labels, most=most)
+        pairs = [F.lit(x) for pair in sorted(by_language.items()) for x in pair]
+        if pairs:
+            limit = F.coalesce(F.element_at(F.create_map(*pairs), F.col("lang")), limit)
+    return scored.select(F.col("key").alias(key), held_out("key", FOLDS, FOLD).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= limit).alias("flagged"))
