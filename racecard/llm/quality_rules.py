@@ -223,17 +223,29 @@ class Ratios:
 
     def slices(self) -> Iterator[tuple[int, np.ndarray]]:
         """(first counter, values) of at most ``SENT`` successive counters each; nothing without trusted texts."""
+        if not self.trusted:
+            return
         width, most = 1 << RANGE_BITS, max(SENT >> RANGE_BITS, 1)
-        for first in range(0, self.counters >> RANGE_BITS if self.trusted else 0, most):
+        share, whole = self.share, self.whole
+
+        def ratios(trusted: np.ndarray, every: np.ndarray) -> np.ndarray:
+            return np.log((trusted + PRIOR * share) / ((every + PRIOR) * share * whole)).astype(np.float32)
+
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = ratios(*(batch.column(c).flatten().to_numpy() for c in ("trusted", "every")))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("part"), pa.ListArray.from_arrays(batch.column("every").offsets, pa.array(found))],
+                    names=["part", "values"])
+
+        for first in range(0, self.counters >> RANGE_BITS, most):
             last = min(first + most, self.counters >> RANGE_BITS)
-            trusted, every = np.zeros((2, (last - first) * width))
-            rows = self.counts.where(F.col("part").between(first, last - 1)).toArrow()
-            for part, a, b in zip(*(rows.column(c).to_pylist() if c == "part" else rows.column(c)
-                                    for c in ("part", "trusted", "every"))):
-                at = slice((part - first) * width, (part - first + 1) * width)
-                trusted[at], every[at] = a.values.to_numpy(), b.values.to_numpy()
-            value = np.log((trusted + PRIOR * self.share) / ((every + PRIOR) * self.share * self.whole))
-            yield first * width, value.astype(np.float32)
+            held = np.repeat(ratios(np.zeros(1), np.zeros(1)), (last - first) * width)
+            rows = (self.counts.where(F.col("part").between(first, last - 1))
+                    .mapInArrow(values, "part bigint, values array<float>").toArrow())
+            for part, own in zip(rows.column("part").to_pylist(), rows.column("values")):
+                held[(part - first) * width: (part - first + 1) * width] = own.values.to_numpy()
+            yield first * width, held
 
 
 def text_sums(column: pa.Array, counters: int, first: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
