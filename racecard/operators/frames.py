@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from racecard.functions import clean
@@ -111,19 +111,18 @@ def new_races(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.distinct()
 
 
-RUNNER = ["race_id", "horse_no", "horse_id", "horse_name"]
+def fingerprint(columns: list[str]) -> Column:
+    """128 bits that tell whole rows apart, null from blank included; equal rows have equal ones."""
+    said = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("null"))
+            for c in columns]
+    return F.md5(F.concat_ws("|", *said))
 
 
-def new_runners(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Like ``new_races`` by runner: for streams that split a race over batches.
+def new_rows(batch: DataFrame, stored: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """Like ``new_races`` by whole row: for streams that split a race over batches.
 
-    A runner is known by race, number, horse and name, any of which may be null. Of
-    several rows of one runner the first in column order stays, so reruns keep the same.
+    Both sides carry the rows' ``fingerprint``; of the stored table nothing else is read. Rows that
+    differ in any column are different rows, so a corrected row stays beside the older one.
     """
-    held = stored.select(*[F.col(c).alias(f"_{c}") for c in RUNNER])
-    same = reduce(lambda a, b: a & b, [batch[c].eqNullSafe(held[f"_{c}"]) for c in RUNNER])
-    rest = [c for c in batch.columns if c not in RUNNER]
-    first = F.min(F.struct(*rest)).alias("_first")
-    return batch.join(held, same, "left_anti").groupBy(*RUNNER).agg(first).select(
-        *[F.col(c) if c in RUNNER else F.col("_first")[c].alias(c) for c in batch.columns]
-    )
+    held = stored.select(F.col(key).alias("_known"))
+    return batch.join(held, F.col(key) == F.col("_known"), "left_anti").dropDuplicates([key])

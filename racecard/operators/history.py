@@ -139,6 +139,7 @@ def past_features(
     order: str = "time",
     class_mode: str = "contains",
     hot: list | None = None,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """``targets`` with the four features of each runner as of its race.
 
@@ -146,9 +147,12 @@ def past_features(
     history. A run never counts towards its own race, nor a race towards itself.
     Runners without a horse id share no history with one another. ``hot`` names the
     horses too large for one task; without it one pass over the id column finds them.
+    ``state`` (a table of ``horse_state``) holds what came before all the rows given.
     """
     if order not in ("time", "race_id"):
         raise ValueError(f"unknown order {order!r}")
+    if state is not None and order != "time":
+        raise ValueError("a state holds what came before by date")
     kept = [c for c in targets.columns if c not in OUTPUTS]
     targets = targets.select(*kept)
     if history is None:
@@ -178,17 +182,24 @@ def past_features(
         rows = rows.withColumn("_piece", whole)
     scanned = _scan(rows, ["horse_id", "_piece"], steps).where("_target")
 
-    runs, wins, last = F.col("_n"), F.col("_won"), F.col("_last")
-    mean = _mean_of([F.col(c) for c in _TIMES])
+    # What came before: in the same piece, in the horse's earlier pieces, and in the state.
+    parts = [""]
     if hot:
         scanned = scanned.join(_carried(rows.where(is_hot)), ["horse_id", "_piece"], "left")
-        runs = runs + F.coalesce("_before_n", F.lit(0))
-        wins = wins + F.coalesce("_before_won", F.lit(0))
-        last = F.greatest(last, F.col("_before_last"))
-        times = F.array(*_TIMES, *["_before" + c for c in _TIMES])
-        newest = F.sort_array(F.array_compact(times), asc=False)
+        parts.append("_before")
+    if state is not None:
+        held = [F.col(c).alias("_state" + t) for c, t in zip(("n", "won", "last"), _SCAN)]
+        ups = [F.get("ups", F.lit(i)).alias("_state" + t) for i, t in enumerate(_TIMES)]
+        scanned = scanned.join(state.select("horse_id", *held, *ups), "horse_id", "left")
+        parts.append("_state")
+    runs, wins = (sum((F.coalesce(part + c, F.lit(0)) for part in parts), F.lit(0)) for c in ("_n", "_won"))
+    last, mean = F.col("_last"), _mean_of([F.col(c) for c in _TIMES])
+    if len(parts) > 1:
+        last = F.greatest(*[part + "_last" for part in parts])
+        newest = F.sort_array(F.array_compact(F.array(*[part + c for part in parts for c in _TIMES])), asc=False)
         merged = _mean_of([F.get(newest, F.lit(i)) for i in range(3)])
-        mean = F.when(F.col("_before_up1").isNull(), mean).otherwise(merged)
+        alone = F.coalesce(*[part + "_up1" for part in parts[1:]]).isNull()
+        mean = F.when(alone, mean).otherwise(merged)
     known_horse = F.col("horse_id").isNotNull()
     return scanned.select(
         *kept,
@@ -199,6 +210,55 @@ def past_features(
     )
 
 
+STATE = ["horse_id", "n", "won", "last", "ups", "upto"]
+
+
+def horse_state(results: DataFrame, class_mode: str = "contains") -> DataFrame:
+    """What a horse's later races need to know of its races so far, one row per horse.
+
+    Counts of its runs and wins, its latest race, its three latest times (newest first), and
+    how far the state reaches. States of different races of a horse add up (``merge_states``),
+    so a state is kept up to date without its races.
+    """
+    rows = _contributions(results.where(F.col("horse_id").isNotNull()), class_mode)
+    own = rows.select(
+        "horse_id", F.col("_c_n").alias("n"), F.col("_c_won").alias("won"), F.col("_c_last").alias("last"), "_c_up",
+        F.struct(F.col("race_date").alias("d"), F.col("race_id").alias("r")).alias("upto"),
+    )
+    totals = _added_up(own)
+    newest = Window.partitionBy("horse_id").orderBy(F.col("_c_up").desc())
+    # The group limit works before the shuffle too, so a horse with very many races costs three rows a task.
+    times = own.where(F.col("_c_up").isNotNull()).select(
+        "horse_id", "_c_up", F.row_number().over(newest).alias("_i")).where("_i <= 3")
+    ups = times.groupBy("horse_id").agg(F.sort_array(F.collect_list("_c_up"), asc=False).alias("ups"))
+    return totals.join(ups, "horse_id", "left").select(STATE)
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("horse_id").agg(
+        F.sum("n").cast("bigint").alias("n"), F.sum("won").cast("bigint").alias("won"),
+        F.max("last").alias("last"), F.max("upto").alias("upto"),
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One row per horse out of several (a union of states), each of different races."""
+    ups = F.sort_array(F.flatten(F.collect_list(F.coalesce("ups", F.array()))), asc=False)
+    merged = states.groupBy("horse_id").agg(
+        F.sum("n").cast("bigint").alias("n"), F.sum("won").cast("bigint").alias("won"), F.max("last").alias("last"),
+        F.max("upto").alias("upto"), F.slice(ups, 1, 3).alias("ups"),
+    )
+    return merged.withColumn("ups", F.when(F.size("ups") > 0, F.col("ups"))).select(STATE)
+
+
+def out_of_order(targets: DataFrame, state: DataFrame) -> DataFrame:
+    """Ids of the horses that have a dated target no later than what their state reaches."""
+    reached = state.select("horse_id", F.col("upto").alias("_upto"))
+    at = F.struct(F.col("race_date").alias("d"), F.col("race_id").alias("r"))
+    early = targets.select("horse_id", at.alias("_at")).where("_at.d is not null").join(reached, "horse_id")
+    return early.where("_at <= _upto").select("horse_id").distinct()
+
+
 def with_past(df: DataFrame, past: DataFrame) -> DataFrame:
     """Runners joined with features kept in a table of their own, one row per (race, horse)."""
     return df.drop(*OUTPUTS).join(

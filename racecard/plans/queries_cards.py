@@ -179,13 +179,14 @@ def odds_latest(spark, sf):
 
 @query(_LATEST)
 def odds_latest_stream(spark, sf):
-    """The same table from a stream over the events, run until it has caught up."""
+    """The same table from a stream over the events, run until it has caught up, its folders then merged."""
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     base = work_path(spark, "odds")
     streams.latest_odds_stream(
         feed.parse_live_odds(as_feed(events)), f"{base}/latest", f"{base}/checkpoint", once=True
     ).awaitTermination()
+    streams.merge_latest_odds(spark, f"{base}/latest")
     latest = streams.read_latest_odds(spark, f"{base}/latest")
     return latest.select(*KEY, "odds", "popularity", F.unix_micros("as_of").alias("at"))
 

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from racecard.functions import clean
 from racecard.operators import frames
+from racecard.operators.history import horse_state, merge_states
 from racecard.operators.rates import career_rates, with_rates
 from racecard.plans import derived_pages as pages_of
-from racecard.plans.queries_features import CAREER
-from racecard.plans.registry import query, rounded, work_path
+from racecard.plans.queries_features import CAREER, PAST_COLUMNS
+from racecard.plans.registry import query, r6, rounded, work_path
 from racecard.plans.runs import hot_horses, runs, stored_runs
-from racecard.plans.runs_sql import FINISH, RUNS
+from racecard.plans.runs_sql import FINISH, PAST, RUNS
 from racecard.schema import RESULTS
 from racecard.sources import pages, tables
+from racecard.sources.horse_states import ingest_with_features, load_horse_states, save_horse_states
 from racecard.streaming import streams
 
 KEY = ["race_id", "horse_no"]
@@ -83,6 +85,38 @@ def append_results(spark, sf):
     return rounded(tables.stored_results(spark, path).select(*RAW, "race_date"))
 
 
+@query(PAST + f"SELECT race_id, horse_no, horse_id, {r6(*PAST_COLUMNS)} FROM with_past")
+def past_features_ingested(spark, sf):
+    """Features of every run as it is ingested, in batches by date, from the states of the horses alone."""
+    results, states = work_path(spark, "kept"), work_path(spark, "states")
+    all_runs = stored_runs(spark, sf)
+    bounds = ["0001-01-01", "1994-01-01", "1996-06-01", "9999-12-31"]
+    found = [
+        ingest_with_features(all_runs.where(F.col("race_date").between(first, F.date_sub(F.lit(last).cast("date"), 1))), results, states)
+        for first, last in zip(bounds, bounds[1:])
+    ]
+    return rounded(frames.union_batches(found).select(*KEY, "horse_id", *PAST_COLUMNS))
+
+
+@query(PAST.rstrip() + f""", latest_first AS (
+      SELECT *, row_number() OVER (PARTITION BY horse_id ORDER BY race_date DESC, race_id DESC) AS nth FROM typed WHERE dom)
+    SELECT horse_id, CAST(count(fin) AS BIGINT) AS n, CAST(count(CASE WHEN fin = 1 THEN 1 END) AS BIGINT) AS won,
+      max(CASE WHEN nth = 1 THEN fin END) AS last_finish, max(CASE WHEN nth = 1 THEN cls END) AS last_class,
+      round(list_avg((list(up ORDER BY race_date DESC, race_id DESC) FILTER (up IS NOT NULL))[1:3]), 6) AS mean_up
+    FROM latest_first GROUP BY horse_id""")
+def horse_states(spark, sf):
+    """The state of every horse with domestic runs, merged from two batches and stored."""
+    path = work_path(spark, "states")
+    all_runs = stored_runs(spark, sf)
+    parts = [horse_state(all_runs.where(F.col("race_date") < STORED_UNTIL)), horse_state(all_runs.where(F.col("race_date") >= STORED_UNTIL))]
+    save_horse_states(merge_states(frames.union_batches(parts)), path)
+    ups = F.transform("ups", lambda u: u["up"])
+    mean = F.try_divide(F.aggregate(ups, F.lit(0.0), lambda a, b: a + b), F.size(ups))
+    return rounded(load_horse_states(spark, path).where("last is not null").select(
+        "horse_id", "n", "won", F.col("last.finish").alias("last_finish"), F.col("last.cls").alias("last_class"),
+        mean.alias("mean_up")))
+
+
 _BLANKED = f"""CASE WHEN horse_no IN ('2', '3') THEN '' WHEN horse_no = '4' THEN NULL ELSE horse_no END"""
 
 
@@ -165,6 +199,23 @@ def ingest_stream(spark, sf):
     return rounded(tables.stored_results(spark, f"{base}/table").select(*RAW, "race_date"))
 
 
+@query(RUNS + f"""SELECT {', '.join(c for c in RAW if c != 'finish')}, finish FROM runs
+    UNION ALL SELECT {', '.join(c for c in RAW if c != 'finish')}, '失' AS finish FROM runs WHERE horse_no = '1'""")
+def ingest_corrected(spark, sf):
+    """Runs, then the first gate of every race again with another finish: both rows stay, replays add none."""
+    base = work_path(spark, "corrected")
+    all_runs = stored_runs(spark, sf).select(*RESULTS.names)
+    all_runs.write.parquet(f"{base}/landing")
+    corrected = all_runs.where("horse_no = '1'").withColumn("finish", F.lit("失"))
+    corrected.write.mode("append").parquet(f"{base}/landing")
+    for replay in ("a", "b"):
+        landing = spark.readStream.schema(RESULTS).option("maxFilesPerTrigger", 8)
+        streams.ingest_stream(
+            landing.parquet(f"{base}/landing"), f"{base}/table", f"{base}/checkpoint-{replay}", once=True
+        ).awaitTermination()
+    return tables.stored_results(spark, f"{base}/table").select(*RAW)
+
+
 @query(
     RUNS + f"SELECT {', '.join(c for c in RAW if c != 'up_3f')}, coalesce(up_3f, '') AS up_3f FROM runs"
 )

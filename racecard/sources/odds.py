@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from racecard.functions import clean
@@ -13,34 +13,48 @@ WIN_MARKET = "1"
 ODDS_AT, POPULARITY_AT, HORSE_AT, LEAST = 0, 2, 3, 4
 
 
+# Only the win market is read; its entries stay as they are, whatever their shape.
+_BODY = f"status string, data struct<odds: struct<`{WIN_MARKET}`: map<string, variant>>>"
+
+
 def parse_live_odds(feed: DataFrame) -> DataFrame:
     """One row per runner and snapshot from ``race_id, as_of, body``.
 
-    Works on a stream as on a table. ``pos`` is the entry's place in the feed.
+    Works on a stream as on a table. ``pos`` is the entry's place in the feed. The body is parsed
+    once, its entries as variants: another market, or an entry of another shape, takes no other
+    runner away (``odd_entries`` lists the latter).
     """
-    # Only the win market is read, and each entry on its own: another market, or an entry
-    # of another shape, takes no other runner away.
-    text = F.get_json_object("body", f"$.data.odds.{WIN_MARKET}")
-    market = F.map_entries(F.from_json(text, "map<string,string>"))
-    entries = (
-        feed.select("race_id", "as_of", F.get_json_object("body", "$.status").alias("status"), market.alias("m"))
-        .where(F.col("status").isin(USABLE_STATUS))
-        .select("race_id", "as_of", "status", F.posexplode("m").alias("pos", "entry"))
-        .withColumn("v", F.from_json("entry.value", "array<string>"))
+    entries = _entries(feed).where(F.size("v") >= LEAST)
+    value = {at: F.get("v", F.lit(at)).cast("string") for at in (HORSE_AT, ODDS_AT, POPULARITY_AT)}
+    texts = F.struct(
+        clean.horse_no_key(value[HORSE_AT]).alias("horse_no"),
+        clean.strip(value[ODDS_AT]).alias("odds"),
+        clean.strip(value[POPULARITY_AT]).alias("popularity"),
+    )
+    runners = entries.select("race_id", "status", "as_of", "pos", _once(texts).alias("t"))
+    return runners.select("race_id", "t.*", "status", "as_of", "pos").where(
+        F.col("odds").rlike("[0-9]") & F.col("popularity").rlike("[0-9]")
     )
-    return (
-        entries.where(F.size("v") >= LEAST)
-        .select(
-            "race_id",
-            clean.horse_no_key(F.get("v", F.lit(HORSE_AT))).alias("horse_no"),
-            clean.strip(F.get("v", F.lit(ODDS_AT))).alias("odds"),
-            clean.strip(F.get("v", F.lit(POPULARITY_AT))).alias("popularity"),
-            "status",
-            "as_of",
-            "pos",
-        )
-        .where(F.col("odds").rlike("[0-9]") & F.col("popularity").rlike("[0-9]"))
+
+
+def _once(value: Column) -> Column:
+    """The same value, worked out once: conditions on it are not pushed down and computed anew."""
+    return F.explode(F.array(value))
+
+
+def odd_entries(feed: DataFrame) -> DataFrame:
+    """Entries of usable snapshots that are no list of enough items, with their JSON text."""
+    odd = _entries(feed).where(F.coalesce(F.size("v"), F.lit(0)) < LEAST)
+    return odd.select("race_id", "as_of", "pos", "name", F.to_json("entry").alias("entry"))
+
+
+def _entries(feed: DataFrame) -> DataFrame:
+    """Every entry of the win market: its name and place, its variant, and that as a list if it is one."""
+    parsed = feed.select("race_id", "as_of", _once(F.from_json("body", _BODY)).alias("b"))
+    entries = parsed.where(F.col("b.status").isin(USABLE_STATUS)).select(
+        "race_id", "as_of", "b.status", F.posexplode(F.col("b.data.odds")[WIN_MARKET]).alias("pos", "name", "entry")
     )
+    return entries.select("*", _once(F.try_variant_get("entry", "$", "array<variant>")).alias("v"))
 
 
 def latest_odds(snapshots: DataFrame, with_pos: bool = False) -> DataFrame:

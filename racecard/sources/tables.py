@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from racecard.operators.frames import canonical, new_races
+from racecard.operators.frames import canonical, fingerprint, new_races
 from racecard.operators.rates import latest_rates, missing_ids
 from racecard.schema import ENTITY_RATES, RESULTS
 from racecard.session import cut_lineage
 
 
+#: What the index of race ids has behind the path of its table.
+INDEX = "-races"
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns in its order; absent ones are null, blank ids are null."""
     columns = []
@@ -58,45 +63,95 @@ def _with_season(df: DataFrame) -> DataFrame:
     return df.withColumn("season", F.substring("race_id", 1, 4))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """Append runners, laid out by season.
+STORED = T.StructType([*RESULTS.fields, T.StructField("fingerprint", T.StringType()),
+                       T.StructField("season", T.StringType()), T.StructField("batch", T.StringType())])
+KEYS = T.StructType([T.StructField("race_id", T.StringType()), T.StructField("season", T.StringType()),
+                     T.StructField("batch", T.StringType())])
+
+
+def _write_batch(df: DataFrame, path: str, batch: str) -> None:
+    """One batch's folders, each season's own; a repeated batch replaces them.
 
     Rebalancing splits a large season over several files and merges small ones, where
     a plain repartition by season would leave one task per season.
     """
     (
         _with_season(df)
+        .withColumn("batch", F.lit(batch))
         .hint("rebalance", "season")
-        .write.mode("append")
-        .partitionBy("season")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        # Readers that look for a race skip the files and row groups that lack it.
+        .option("parquet.bloom.filter.enabled#race_id", "true")
+        .partitionBy("season", "batch")
         .parquet(path)
     )
 
 
+def write_results(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add runners to a stored table, laid out by season and ``batch`` (a new one by default).
+
+    Writing the same batch again replaces what it wrote before. The race ids go to an index
+    beside the table first: an index that names too much would hide a race, so a reader of
+    the index (``stored_races``) ignores batches that the table does not have.
+    """
+    batch = batch or uuid.uuid4().hex
+    rows = conform(df, RESULTS).withColumn("fingerprint", fingerprint(RESULTS.names))
+    _write_batch(rows.select("race_id").distinct(), f"{path}{INDEX}", batch)
+    _write_batch(rows, path, batch)
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table with the fingerprint and the batch of each row."""
+    return read_or_empty(spark, path, STORED)
+
+
 def stored_results(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*RESULTS.fields, T.StructField("season", T.StringType())])
-    return read_or_empty(spark, path, schema)
+    return stored_rows(spark, path).select(*RESULTS.names, "season")
 
 
-def stored_like(batch: DataFrame, path: str) -> DataFrame:
-    """The stored runners of the batch's own seasons, the season of a null id included.
+def in_seasons_of(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """What is stored of the batch's own seasons, the season of a null id included.
 
     Spark prunes the other seasons' folders by the batch's list while the join runs.
     """
-    stored = stored_results(batch.sparkSession, path)
     named = _with_season(batch).select("season").distinct()
     dated = stored.join(named.dropna(), "season", "left_semi")
     undated = stored.where("season is null").select(*dated.columns)
     return dated.unionByName(undated)
 
 
+def stored_races(batch: DataFrame, path: str) -> DataFrame:
+    """The race ids stored in the batch's seasons, from the index: one row per race and batch, no runner.
+
+    A season of a batch whose index was written but whose rows were not has no folder in the table;
+    the folders are listed, no file is read.
+    """
+    spark = batch.sparkSession
+    half = sorted(_folders(spark, f"{path}{INDEX}") - _folders(spark, path))
+    index = read_or_empty(spark, f"{path}{INDEX}", KEYS)
+    folder = F.concat_ws("/", F.coalesce("season", F.lit("")), "batch")
+    kept = index.where(~folder.isin(half)) if half else index
+    return in_seasons_of(batch, kept).select("race_id")
+
+
+def _folders(spark: SparkSession, path: str) -> set[str]:
+    """``season/batch`` of every folder of a table, by their names; a null season's is empty."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(f"{path}/season=*/batch=*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    names = [str(f.getPath()).rsplit("/season=", 1)[1].split("/batch=") for f in found]
+    return {f"{'' if season == '__HIVE_DEFAULT_PARTITION__' else season}/{batch}" for season, batch in names}
+
+
 def append_results(batch: DataFrame, path: str) -> None:
     """Append the races of a batch that are not stored yet; create the table if absent.
 
-    The batch is staged first, as it is read twice and may come straight from pages.
+    The batch is staged first, as it is read twice and may come straight from pages. Which races
+    are stored is asked of the index of race ids; no stored runner is read.
     """
     batch = cut_lineage(conform(batch, RESULTS))
-    write_results(new_races(batch, stored_like(batch, path)), path)
+    write_results(new_races(batch, stored_races(batch, path)), path)
 
 
 def save_enriched(df: DataFrame, base: str) -> str:
@@ -120,13 +175,25 @@ def load_enriched(spark: SparkSession, base: str) -> DataFrame:
 
 
 def load_rate_map(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """Rates kept as one JSON object per file: id to its win and place rate."""
+    """Rates kept as one JSON object per file: id to an object of its win and place rate.
+
+    The file is read as records that end where an entry's object does, so that Spark splits
+    a file of any size by byte ranges and no task holds an object whole. An entry that is not
+    of this shape is left out; a rate that is missing or null is 0.
+    """
     names = [f"{entity}_win_rate", f"{entity}_place_rate"]
-    files = spark.read.text(path, wholetext=True).withColumn(
+    records = spark.read.option("lineSep", "}").text(path).withColumn(
         "as_of", F.col("_metadata.file_modification_time")
     )
-    by_id = F.from_json("value", "map<string,map<string,double>>")
-    return files.select("as_of", F.explode(by_id).alias("id", "rates")).select(
+    entry = r'"((?:[^"\\]|\\.)*)"\s*:\s*(\{[^{]*)$'
+    # The id is JSON text too, so its escapes are read as the rates are.
+    found = records.select(
+        "as_of",
+        F.get_json_object(F.concat(F.lit('{"id":"'), F.regexp_extract("value", entry, 1), F.lit('"}')), "$.id").alias("id"),
+        F.regexp_extract("value", entry, 2).alias("rates"),
+    ).where("rates != ''")
+    values = F.from_json(F.concat("rates", F.lit("}")), "map<string,double>")
+    return found.withColumn("rates", values).select(
         F.lit(entity).alias("entity_type"),
         "id",
         F.coalesce(F.col("rates")[names[0]], F.lit(0.0)).alias("win_rate"),
