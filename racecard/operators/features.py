@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from racecard.functions import clean
 from racecard.operators.frames import align, drop_leaks, finalize
+from racecard.operators.medians import exact_median, median_by
 from racecard.schema import FEATURES
 from racecard.session import cut_lineage
 
@@ -59,16 +60,29 @@ def parse_features(df: DataFrame) -> DataFrame:
 def impute_stats(parsed: DataFrame, by: str | None = None) -> DataFrame:
     """The fill value of every feature present, over the table or per value of ``by``.
 
-    One aggregation with map-side partials. Ages take few distinct values, so their
-    exact median holds a small map per group.
+    Means are one aggregation with map-side partials. Medians are found by counting, whatever the
+    number of distinct values: over the table by passes of their own, so a table that is
+    costly to compute should be stored first; per ``by`` as a join.
     """
-    fills = []
+    fills, medians = [], []
     for name, kind, constant in IMPUTATION:
         if name not in parsed.columns:
             continue
-        fill = {"median": F.median, "mean": F.avg}.get(kind, lambda c: F.lit(None))(name)
+        if kind == "median":
+            medians.append((name, constant))
+            fill = F.lit(None if by else exact_median(parsed, name)).cast("double")
+        else:
+            fill = F.avg(name) if kind == "mean" else F.lit(None).cast("double")
         fills.append(F.coalesce(fill, F.lit(constant)).alias(name))
-    return parsed.groupBy(by).agg(*fills) if by else parsed.agg(*fills)
+    if not by:
+        return parsed.agg(*fills)
+    stats = parsed.groupBy(by).agg(*fills)
+    for name, constant in medians:
+        own = median_by(parsed, by, name).select(F.col(by).alias("_by"), "median")
+        filled = F.coalesce("median", F.lit(constant)).alias(name)
+        stats = stats.join(own, F.col(by).eqNullSafe(F.col("_by")), "left").select(
+            *[filled if c == name else F.col(c) for c in stats.columns])
+    return stats
 
 
 def impute(parsed: DataFrame, stats: DataFrame, by: str | None = None) -> DataFrame:

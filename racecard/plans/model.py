@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -101,20 +102,59 @@ def score(features: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
-def save_model(model: WinModel, path: str) -> None:
-    """Pipeline, its trees as a table of nodes, and the fill values."""
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    model.trees.write().overwrite().save(f"{path}/trees")
-    model.stats.write.mode("overwrite").parquet(f"{path}/stats")
+VERSIONS = "version long, path string, features array<string>"
+
+
+def save_model(model: WinModel, path: str) -> str:
+    """Store a new version of the model and return its path.
+
+    A version holds the pipeline, its trees as a table of nodes, and the fill values of its
+    training table. It is listed, with its feature order, once all of it is written: a save that
+    fails half-way leaves the model before it in place, and a reader never meets a pipeline
+    with another one's fill values.
+    """
+    spark = model.stats.sparkSession
+    version = time.time_ns()
+    folder = f"{path}/data/version={version}"
+    model.pipeline.write().save(f"{folder}/pipeline")
+    model.trees.write().save(f"{folder}/trees")
+    model.stats.write.mode("errorifexists").parquet(f"{folder}/stats")
+    listed = spark.createDataFrame([(version, folder, model.features)], VERSIONS)
+    listed.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return folder
+
+
+def newest_model(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """Path and features of the newest complete version."""
+    listed = spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+    return listed.agg(F.max_by(F.struct("path", "features"), "version").alias("v")).select("v.*").first()
 
 
 def load_model(spark: SparkSession, path: str) -> WinModel:
-    return WinModel(PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/stats"))
+    """The newest complete version."""
+    folder, features = newest_model(spark, path)
+    model = WinModel(PipelineModel.load(f"{folder}/pipeline"), spark.read.parquet(f"{folder}/stats"))
+    if model.features != features:
+        raise ValueError(f"{folder} holds another model than the one listed")
+    return model
+
+
+def drop_old_models(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete all but the newest ``keep`` versions' folders, unlisted ones older than these too."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(f"{path}/data/version=*")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [r["version"] for r in spark.read.schema(VERSIONS).parquet(f"{path}/versions").collect()]  # a row a save
+    oldest = min(sorted(listed, reverse=True)[:keep])
+    old = [f.getPath() for f in files.globStatus(where) or [] if int(f.getPath().getName().split("=")[1]) < oldest]
+    for folder in old:
+        files.delete(folder, True)
+    return len(old)
 
 
 def tree_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """The stored nodes of a saved model's trees."""
-    return spark.read.parquet(f"{path}/trees/data")
+    """The stored nodes of a saved model's trees, of the newest version."""
+    return spark.read.parquet(f"{newest_model(spark, path)[0]}/trees/data")
 
 
 @dataclass
@@ -126,6 +166,7 @@ class Training:
     accuracy: float
     auc: float
     importance: DataFrame
+    path: str
 
 
 def train(
@@ -171,6 +212,7 @@ def train(
         evaluate.accuracy(scored).first()[0],
         evaluate.roc_auc(scored).first()[0],
         evaluate.importance(model.trees, model.features, spark, tree_nodes(spark, path)),
+        path,
     )
 
 

@@ -9,6 +9,7 @@ from racecard.operators import features as fe
 from racecard.operators import frames
 from racecard.operators.history import past_features, with_past
 from racecard.operators.history import past_only as before
+from racecard.operators.medians import exact_median, median_by
 from racecard.operators.rates import career_rates, missing_ids as ids_without_rates
 from racecard.operators.rates import rates_asof, with_rates
 from racecard.operators.split import stratified_split
@@ -20,6 +21,7 @@ from racecard.plans.runs_sql import (
 )
 from racecard.plans.runs_sql import rates_asof as rates_asof_sql
 from racecard.schema import FEATURES
+from racecard.session import cut_lineage
 
 KEY = ["race_id", "horse_no"]
 # What enriching and parsing read of a run.
@@ -159,7 +161,20 @@ def enriched(spark, sf):
 
 @query(PARSED + f"SELECT {r6(*IMPUTED)} FROM (SELECT {fills()} FROM parsed)")
 def impute_stats(spark, sf):
-    return rounded(fe.impute_stats(fe.parse_features(enrich(runs(spark, sf).select(*ENRICHED_FROM), hot=hot_horses(spark, sf)))))
+    parsed = fe.parse_features(enrich(runs(spark, sf).select(*ENRICHED_FROM), hot=hot_horses(spark, sf)))
+    return rounded(fe.impute_stats(cut_lineage(parsed.select(*IMPUTED))))
+
+
+@query(RUNS.rstrip() + f""", numbers AS (
+      SELECT race_id, {num("odds")} + (CAST(horse_id AS BIGINT) * 64 + CAST(horse_no AS BIGINT)) / 1048576.0::DOUBLE AS x FROM runs)
+    SELECT 'all' AS scope, round(median(x), 6) AS median FROM numbers
+    UNION ALL SELECT race_id, round(median(x), 6) FROM numbers GROUP BY race_id HAVING count(x) > 0""")
+def exact_medians(spark, sf):
+    """Median of nearly as many distinct numbers as there are runs: of the table, and of every race."""
+    spread = (F.col("horse_id").cast("bigint") * 64 + F.col("horse_no").cast("bigint")) / 1048576.0
+    numbers = cut_lineage(runs(spark, sf).select("race_id", (clean.to_num("odds") + spread).alias("x")))
+    whole = spark.createDataFrame([("all", exact_median(numbers, "x"))], "scope string, median double")
+    return rounded(whole.unionByName(median_by(numbers, "race_id", "x").withColumnRenamed("race_id", "scope")))
 
 
 @query(
@@ -261,7 +276,8 @@ _LABEL_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in clean.FEATURE_LABEL
 )
 def feature_labels(spark, sf):
     """Fill value of every feature of the whole table, with its display label."""
-    stats = fe.impute_stats(fe.parse_features(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf))))
+    parsed = fe.parse_features(enrich(stored_runs(spark, sf, *ENRICHED_FROM), hot=hot_horses(spark, sf)))
+    stats = fe.impute_stats(cut_lineage(parsed.select(*IMPUTED)))
     long = stats.unpivot([], IMPUTED, "feature", "value")
     return rounded(long.select("feature", clean.feature_label("feature").alias("label"), "value"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+import re
+from collections import Counter
+
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from racecard.operators import card, evaluate
+from racecard.operators import card
 from racecard.operators.features import assemble, feature_table
-from racecard.plans.model import enrich, load_model, predict, train
+from racecard.plans.model import enrich, load_model, predict, train, tree_nodes
 from racecard.plans.queries_features import ALL_FEATURES, ENRICHED_FROM
 from racecard.plans.registry import query, rounded, work_path
 from racecard.plans.runs import hot_horses, runs, stored_runs
@@ -55,12 +59,19 @@ def train_split(spark, sf):
     return labels.groupBy("is_win").agg(F.count("*").alias("in_all")).join(held, "is_win")
 
 
-@query("SELECT true AS auc_is_that_of_the_ranks")
+@query("SELECT true AS auc_agrees, true AS accuracy_agrees, true AS rows_agree")
 def train_auc(spark, sf):
-    """The stored AUC against the rank-sum formula on the stored scores."""
+    """The stored AUC and accuracy against Spark ML's own evaluators on the stored scores."""
     done, _ = trained(spark, sf)
-    again = evaluate.roc_auc(done.test).select(F.abs(F.col("auc") - F.lit(done.auc)) < 1e-9)
-    return again.toDF("auc_is_that_of_the_ranks")
+    judged = done.test.select(F.col("is_win").cast("double").alias("label"), array_to_vector(F.array(1 - F.col("score"), "score")).alias("raw"),
+                              (F.col("score") > 0.5).cast("double").alias("prediction"))
+    auc = BinaryClassificationEvaluator(rawPredictionCol="raw", numBins=0).evaluate(judged)
+    accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(judged)
+    return done.test.agg(
+        F.lit(abs(auc - done.auc) < 1e-9).alias("auc_agrees"),
+        F.lit(abs(accuracy - done.accuracy) < 1e-9).alias("accuracy_agrees"),
+        (F.count("*") == F.count("score")).alias("rows_agree"),
+    )
 
 
 @query()
@@ -74,7 +85,27 @@ def importance_features(spark, sf):
     """Every feature of the model once, and the sum of all gains."""
     done, _ = trained(spark, sf)
     total = done.importance.agg(F.round(F.sum("gain"), 6).alias("gains"))
-    return done.importance.select("feature").crossJoin(F.broadcast(total))  # one row
+    return done.importance.select("feature", total.scalar().alias("gains"))
+
+
+@query("SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, true AS splits_agree, true AS gain_agrees")
+def importance_splits(spark, sf):
+    """Splits per feature against those that the trees print, and gains against the stored nodes' own."""
+    done, _ = trained(spark, sf)
+    model = load_model(spark, done.path)
+    # One line a split; the text is bounded by rounds and depth.
+    printed = Counter(re.findall(r"If \(feature (\d+) ", model.trees.toDebugString))
+    # A feature's gain is that of its splits, each times the rows it saw, as a share of all.
+    nodes = tree_nodes(spark, done.path).select("nodeData.gain", "nodeData.rawCount", F.col("nodeData.split.featureIndex").alias("i"))
+    total = nodes.where("i >= 0").groupBy("i").agg(F.sum(F.col("gain") * F.col("rawCount")).alias("g"))
+    by_feature = {r["i"]: r["g"] for r in total.collect()}  # one row per feature
+    whole = sum(by_feature.values()) or 1.0
+    expected = spark.createDataFrame(
+        [(name, printed[str(i)], by_feature.get(i, 0.0) / whole) for i, name in enumerate(model.features)],
+        "feature string, printed int, expected double")
+    return done.importance.join(expected, "feature").select(
+        "feature", (F.col("splits") == F.col("printed")).alias("splits_agree"),
+        (F.abs(F.col("gain") - F.col("expected")) < 1e-6).alias("gain_agrees"))
 
 
 @query()

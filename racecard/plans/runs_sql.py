@@ -91,7 +91,7 @@ PAST = RUNS.rstrip() + f""", typed AS (
   FROM typed
   WINDOW w AS (PARTITION BY horse_id ORDER BY race_date, race_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), with_past AS (
+), with_past AS MATERIALIZED (
   SELECT * EXCLUDE (fin, up, cls, dom, last_run, ups, wins, valid),
     last_run.fin AS prev_rank, list_avg(ups[-3:]) AS avg_up_3f_3runs,
     CASE WHEN valid > 0 THEN wins / valid ELSE 0.0 END AS win_rate, last_run.cls AS prev_class
@@ -125,7 +125,7 @@ ENRICHED = (
 )
 
 # Raw text parsed to label and numbers, with gaps left empty.
-PARSED = ENRICHED.rstrip() + f""", parsed AS (
+PARSED = ENRICHED.rstrip() + f""", parsed AS MATERIALIZED (
   SELECT race_id, horse_no, race_date,
     CASE WHEN trim(finish) IN ('1', '01') THEN 1 ELSE 0 END AS is_win,
     substr(sex_age, 1, 1) AS sex, {num("substr(sex_age, 2)")} AS age,

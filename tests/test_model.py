@@ -3,7 +3,7 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from racecard.operators import card
-from racecard.plans.model import load_model, predict, train
+from racecard.plans.model import drop_old_models, load_model, newest_model, predict, save_model, train
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,39 @@ def test_shuffled_labels_teach_nothing(spark, planted, tmp_path):
     assert 0.3 < train(noise, str(tmp_path / "m"), rounds=2, unit="race").auc < 0.7
 
 
+def test_a_save_that_fails_leaves_the_old_model(spark, planted, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    first = train(planted, path, rounds=1).model
+    before = load_model(spark, path)
+    fills = before.stats.collect()
+
+    class Lost(Exception):
+        pass
+
+    class Broken:
+        """A model whose fill values can't be written, after pipeline and trees were."""
+
+        pipeline, trees, features = first.pipeline, first.trees, first.features
+
+        class stats:
+            sparkSession = spark
+
+            class write:
+                @staticmethod
+                def mode(_):
+                    raise Lost
+
+    with pytest.raises(Lost):
+        save_model(Broken, path)
+    after = load_model(spark, path)
+    assert after.pipeline.stages[-1].uid == before.pipeline.stages[-1].uid and after.features == before.features
+    assert after.stats.collect() == fills
+    for _ in range(3):
+        newest = save_model(first, path)
+    assert drop_old_models(spark, path) == 3 and newest_model(spark, path)[0] == newest
+    assert load_model(spark, path).stats.collect() == fills
+
+
 def test_predict_without_model(spark, planted):
     out = predict(planted.drop("finish"), planted)
     assert out.where("rank_in_race = 1 and odds <> '1.0'").count() == 0
