@@ -4,8 +4,10 @@ A pattern says how many pieces of each length share one sequence. The configurat
 linear program asks for pattern multiplicities that cover the histogram with the fewest
 sequences. It is solved by multiplicative weights: every length has a weight, an integer
 knapsack (dynamic programming over the capacity) finds the pattern of most weight, and
-the lengths that this pattern covers lose weight. The multiplicities are rounded down,
-and the few pieces of each length that this leaves are packed best-fit, longest first.
+the lengths that this pattern covers lose weight. The multiplicities are rounded down, and
+the program is solved again for the histogram of what this leaves, until few pieces are left
+or rounding leaves most of them; those, at most about the number of patterns times their
+pieces whatever the corpus, are packed best-fit, longest first.
 
 The histogram has one row per length, ``capacity`` rows at most, so planning takes the
 same memory on the driver whatever the corpus. The plan goes back as one row per
@@ -13,13 +15,15 @@ same memory on the driver whatever the corpus. The plan goes back as one row per
 rank among the pieces of its length. Ranks come from counts per (task, length), so that
 no length is ever gathered in one place.
 
-Null and empty texts still end in ``end_id`` and make one piece of one token. Repeated
-rows are packed as often as they occur. No documents: no pieces.
+The strings of the tokenizer file's added tokens are those tokens wherever they stand in a
+text, as in the library's ``encode``. Null and empty texts still end in ``end_id`` and make one
+piece of one token. Repeated rows are packed as often as they occur. No documents: no pieces.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -40,6 +44,7 @@ ROUNDS = 400
 STEP = 0.1
 RATE = 8.0
 PATTERNS = 256
+FEW_LEFT = 20_000
 
 
 def priced(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,17 +133,25 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
 
 
 def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int,
-            fractional: list[tuple[Pattern, float]]) -> list[tuple[Pattern, int]]:
+            fractional: list[tuple[Pattern, float]], rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
     """Whole multiplicities that cover every piece exactly once.
 
-    Every multiplicity is rounded down first. What that leaves is few pieces of each
-    length; it is completed in three ways, of which the one with fewest sequences stays.
+    Every multiplicity is rounded down first, and the program solved again for what that leaves
+    as long as this places half of it. The rest is completed in three ways, of which the
+    one with fewest sequences stays.
     """
     left = counts.copy()
     plan: list[tuple[Pattern, int]] = []
-    full = sorted(fractional, key=lambda x: (-size_of(x[0], lengths), -x[1], x[0][0].tobytes(), x[0][1].tobytes()))
-    for pattern, times in full:
-        _use(plan, left, pattern, int(np.floor(times)))
+    while True:
+        before = left.sum()
+        full = sorted(fractional, key=lambda x: (-size_of(x[0], lengths), -x[1], x[0][0].tobytes(), x[0][1].tobytes()))
+        for pattern, times in full:
+            _use(plan, left, pattern, int(np.floor(times)))
+        if left.sum() <= FEW_LEFT or left.sum() > before / 2:
+            break
+        held = np.flatnonzero(left)
+        again = solve(lengths[held], left[held], capacity, rounds)
+        fractional = [((held[at].astype(np.int32), many), times) for (at, many), times in again]
     completions = []
     for first in ([p for p, _ in full if size_of(p, lengths) == capacity], []):
         rest, more = left.copy(), []
@@ -237,19 +250,20 @@ def slots(lengths: np.ndarray, plan: list[tuple[Pattern, int]]) -> list[tuple]:
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id",
-                 capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
+                 capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False, added: bool = True) -> DataFrame:
     """``key, piece, start, length, ids_crc32`` of every piece, and ``task, place`` for its rank.
 
     A text's ids and ``end_id`` are one piece if they fit in ``capacity``; longer ones are
     cut into pieces of ``capacity``, the first of which may be shorter. ``place`` numbers
-    the pieces of one length within the task that made them. With ``ids``, the ids too.
+    the pieces of one length within the task that made them. With ``ids``, the ids too. With
+    ``added`` false the strings of added tokens are ordinary text.
     """
     spark = docs.sparkSession
     with open(tokenizer_file, "rb") as file:
         sent = spark.sparkContext.broadcast(file.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value)
+        encoder = _encoder(sent.value, added)
         task = TaskContext.get().partitionId()
         place = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -292,8 +306,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     histogram = (firsts.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect())
     lengths = np.array([r["length"] for r in histogram], np.int64)
     demand = np.array([r["n"] for r in histogram], np.int64)
-    plan = rounded(lengths, demand, capacity, solve(lengths, demand, capacity, rounds)) if len(lengths) else []
-    # At most one row per (pattern, length): bounded by the rounds and the capacity.
+    plan = rounded(lengths, demand, capacity, solve(lengths, demand, capacity, rounds), rounds) if len(lengths) else []
+    # At most one row per (pattern, length): bounded by the rounds and the capacity, not by the pieces.
     table = pieces.sparkSession.createDataFrame(
         slots(lengths, plan), "slot_length bigint, from_rank bigint, to_rank bigint, each bigint, "
                               "slot_offset bigint, first_sequence bigint")
@@ -321,19 +335,45 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
-_encoders: dict[int, PieceEncoder] = {}
+class TokenEncoder:
+    """Ids of texts in which the strings of added tokens stand for those tokens."""
 
+    def __init__(self, pieces: PieceEncoder, added: dict[str, int]):
+        self.pieces, self.added = pieces, added
+        longest_first = sorted(added, key=lambda x: (-len(x), x))
+        self.found = re.compile("|".join(map(re.escape, longest_first))) if added else None
 
-def _encoder(tokenizer_json: bytes) -> PieceEncoder:
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        if self.found is None:
+            return self.pieces.texts(texts)
+        parts, plan = [], []
+        for text in texts:
+            first, own = 0, []
+            for match in self.found.finditer(text) if any(x in text for x in self.added) else ():
+                own.append((len(parts), self.added[match.group()]))
+                parts.append(text[first: match.start()])
+                first = match.end()
+            plan.append((own, len(parts)))
+            parts.append(text[first:])
+        ids = self.pieces.texts(parts)
+        return [np.concatenate([x for at, token in own for x in (ids[at], [token])] + [ids[last]]).astype(np.int32)
+                if own else ids[last] for own, last in plan]
+
+
+_encoders: dict[tuple[int, bool], TokenEncoder] = {}
+
+
+def _encoder(tokenizer_json: bytes, added: bool) -> TokenEncoder:
     """One encoder per worker process."""
-    key = zlib.crc32(tokenizer_json)
+    key = zlib.crc32(tokenizer_json), added
     if key not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
         from tokenizers import Tokenizer
 
         # Pieces are split already, so the tokenizer's model is asked for each piece alone.
-        # Special tokens' strings in a text are thereby ordinary text.
-        model = Tokenizer.from_str(tokenizer_json.decode()).model
+        whole = Tokenizer.from_str(tokenizer_json.decode())
+        model = whole.model
+        tokens = {token.content: i for i, token in whole.get_added_tokens_decoder().items()} if added else {}
         shown = byte_letters()
 
         def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -341,5 +381,5 @@ def _encoder(tokenizer_json: bytes) -> PieceEncoder:
             return (np.fromiter(chain.from_iterable(found), np.int32),
                     np.fromiter(map(len, found), np.int64, len(found)))
 
-        _encoders[key] = PieceEncoder(encode)
+        _encoders[key] = TokenEncoder(PieceEncoder(encode), tokens)
     return _encoders[key]

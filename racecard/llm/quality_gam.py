@@ -248,10 +248,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sample = labelled_sample(labels, "quality", most, FOLDS, FOLD)
     chosen = docs.select(F.col(key).alias("sample_id"), F.col(text).cast("string").alias("body")).join(
         F.broadcast(sample), "sample_id")  # ``most`` ids
-    found = (feature_rows(chosen.select(F.struct("sample_id", "label").alias("row"), "body"), "body", "row")
-             .limit(2 * most).collect())
+    named = chosen.select(F.struct("sample_id", "label", F.xxhash64("body").alias("own")).alias("row"), "body")
+    # One text of each id, whatever the tasks: the one of least hash.
+    rows = feature_rows(named, "body", "row")
+    found = (rows.groupBy(F.col("row.sample_id").alias("sample_id"))
+             .agg(F.min(F.struct(F.col("row.own").alias("own"), F.col("row.label").alias("label"), "features")).alias("v"))
+             .select("v.label", "v.features").collect())
     x = np.array([r["features"] for r in found], np.float32).reshape(-1, len(FEATURES))
-    y = np.array([r["row"]["label"] for r in found], float)
+    y = np.array([r["label"] for r in found], float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows came in
     return AdditiveModel().fit(x[order], y[order])
 

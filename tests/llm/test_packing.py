@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -27,7 +28,6 @@ def test_plan_covers_each_piece_once(seed, low, high, n):
 
 def check(rows, texts):
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     whole = defaultdict(list)
     for r in rows:
         whole[r["doc_id"]].append(r)
@@ -57,7 +57,38 @@ def test_awkward_rows(awkward, awkward_rows, nothing):
     assert packing.pack(packing.token_pieces(nothing, FILE)).count() == 0
 
 
-def test_special_strings_are_text(spark):
-    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    row = packing.token_pieces(docs, FILE, ids=True).first()
-    assert 50256 not in row["ids"] and row["ids"][-1] == 2
+TEXTS = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "end <|endoftext|> next", " <|endoftext|>\n <|endoftext",
+         "it's<|endoftext|>'s", "plain", ""]
+
+
+@pytest.mark.parametrize("added", [True, False])
+def test_added_tokens(spark, added):
+    """Their strings are those tokens, as ``encode`` reads them; or ordinary text where that is asked for."""
+    tokenizer = Tokenizer.from_file(FILE)
+    tokenizer.encode_special_tokens = not added
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["ids"] for r in packing.token_pieces(docs, FILE, ids=True, added=added).collect()}
+    for i, text in enumerate(TEXTS):
+        assert rows[i] == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert any(50256 in ids for ids in rows.values()) == added
+
+
+def test_planning_takes_no_longer_for_more_pieces():
+    """Few pieces are left to be placed one by one, whatever the number, and no more sequences a piece are used."""
+    share = np.random.default_rng(7).gamma(2.0, 1.0, 1024)
+    lengths = np.arange(1, 1025)
+    each, seconds = [], []
+    for n in (10 ** 6, 10 ** 9):
+        counts = np.maximum((share / share.sum() * n).astype(np.int64), 1)
+        start = time.perf_counter()
+        plan = packing.rounded(lengths, counts, 1024, packing.solve(lengths, counts, 1024))
+        seconds.append(time.perf_counter() - start)
+        used = np.zeros(len(lengths), np.int64)
+        for (at, many), times in plan:
+            np.add.at(used, at, many * times)
+        assert (used == counts).all() and len(plan) < 200_000
+        each.append(sum(t for _, t in plan) / (lengths * counts).sum() * 1024)
+    assert each[1] <= each[0] * 1.001 and seconds[1] < 10 * seconds[0] + 60
+    counts = np.maximum((share / share.sum() * 10 ** 5).astype(np.int64), 1)
+    best_fit = sum(t for _, t in packing._best_fit(lengths, counts, 1024))
+    assert sum(t for _, t in packing.rounded(lengths, counts, 1024, packing.solve(lengths, counts, 1024))) <= best_fit * 1.002

@@ -136,6 +136,13 @@ def test_classifier_held_out(spark, labels):
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 != 3) for r in held]) > 0.95
 
 
+def test_classifier_repeated_id_gives_one_text(spark, labels):
+    docs = corpus(spark).unionByName(documents(spark, [(10, prose(900 + i, 90)) for i in range(150)]))
+    found = [sorted((r["doc_id"], r["score"]) for r in quality_gam.quality_scores(x, labels, most=40).collect())
+             for x in (docs.repartition(2), docs.repartition(7))]
+    assert found[0] == found[1]
+
+
 def test_classifier_awkward_rows(awkward, awkward_rows, nothing, labels):
     rows = quality_gam.quality_scores(awkward, labels).collect()
     assert len(rows) == len(awkward_rows) and all(0 <= r["score"] <= 1 for r in rows)
