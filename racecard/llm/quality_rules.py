@@ -292,13 +292,15 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     here = _unused("_gram_", docs)
     told = [f"{here}{c}" for c in ("row", "n", "sum")]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    # A text that is returned is not sent to the tasks twice.
+    read = text if text in own and fields[text] == "string" else f"{here}text"
     schema = ", ".join([f"`{c}` {fields[c]}" for c in own] + [f"`{prefix}{c.split()[0]}` {c.split()[1]}" for c in kinds]
                        + [f"`{told[0]}` bigint, `{told[1]}` bigint, `{told[2]}` double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, f"{here}text"):
-                body = part.column(f"{here}text")
+            for part in chunks(batch, read):
+                body = part.column(read)
                 counts = base_counts(*buffer_of(body))
                 n, total = text_sums(body, counters, *((sums[0][0], sums[0][1].value) if sums else (0, np.zeros(0))))
                 failed = ((counts["n_words"] < FEWEST_WORDS)
@@ -307,12 +309,13 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                     [*(part.column(c) for c in own), *(pa.array(v.astype(np.int64)) for v in counts.values()),
                      pa.array(failed), part.column(f"{here}row"), pa.array(n), pa.array(total)], names=[*own, *found, *told])
 
-    texts = docs.select(*(f"`{c}`" for c in own), F.col(text).cast("string").alias(f"{here}text"),
-                        F.xxhash64(F.col(text).cast("string")).alias(f"{here}row"))
+    body = F.col(text).cast("string")
+    texts = docs.select(*(f"`{c}`" for c in own), *([] if read == text else [body.alias(read)]),
+                        F.xxhash64(body).alias(f"{here}row"))
     judged = texts.mapInArrow(score, schema)
     total = F.col(f"`{told[2]}`")
     if len(sums) > 1:
-        judged = judged.join(_further_sums(texts, here, counters, sums[1:]), told[0])
+        judged = judged.join(_further_sums(texts, read, here, counters, sums[1:]), told[0])
         total = total + F.col(f"`{here}more`")
     value = F.round(total / F.greatest(F.col(f"`{told[1]}`"), F.lit(1)), DIGITS)
     return judged.withColumn(f"{prefix}score", value).select(
@@ -320,14 +323,14 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
         (~F.col(f"`{prefix}base_failed`") & (F.col(f"`{prefix}score`") >= threshold)).alias(f"{prefix}kept"))
 
 
-def _further_sums(texts: DataFrame, here: str, counters: int, sums: list) -> DataFrame:
+def _further_sums(texts: DataFrame, read: str, here: str, counters: int, sums: list) -> DataFrame:
     """Per hash of a text, the sum of its values in further parts of the counters, one pass over the texts each."""
 
     def passed(first, sent):
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in chunks(batch, f"{here}text"):
-                    _, total = text_sums(part.column(f"{here}text"), counters, first, sent.value)
+                for part in chunks(batch, read):
+                    _, total = text_sums(part.column(read), counters, first, sent.value)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(f"{here}row"), pa.array(np.full(len(total), first)), pa.array(total)],
                         names=[f"{here}row", "first", "total"])
@@ -335,7 +338,7 @@ def _further_sums(texts: DataFrame, here: str, counters: int, sums: list) -> Dat
         return add
 
     rows = reduce(DataFrame.unionByName, [
-        texts.select(f"{here}text", f"{here}row").mapInArrow(passed(*s), f"`{here}row` bigint, first bigint, total double")
+        texts.select(f"`{read}`", f"{here}row").mapInArrow(passed(*s), f"`{here}row` bigint, first bigint, total double")
         for s in sums])
     # Copies of a text have equal sums; one of them counts.
     return (rows.groupBy(f"{here}row", "first").agg(F.max("total").alias("total"))
