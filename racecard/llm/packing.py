@@ -268,20 +268,23 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", key:
         place = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
-                rows, row_of = [], []
+                rows, row_of, held = [], [], []
                 for i, tokens in enumerate(encoder.texts(part.column("text").fill_null("").to_pylist())):
                     tokens = np.append(tokens, end_id).astype("<u4")
                     stops = range((len(tokens) - 1) % capacity + 1, len(tokens) + 1, capacity)
                     start = 0
                     for number, stop in enumerate(stops):
                         own = tokens[start:stop]
-                        rows.append((number, start, stop - start, zlib.crc32(own.tobytes()), task,
-                                     int(place[stop - start]), *([own.tolist()] if ids else [])))
+                        rows.append((number, start, stop - start, zlib.crc32(own), task, int(place[stop - start])))
                         row_of.append(i)
                         place[stop - start] += 1
                         start = stop
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                    held.append(tokens)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+                if ids:  # the pieces of a chunk, one behind the other, are its texts' ids
+                    stops = np.cumsum([0, *(row[2] for row in rows)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(held).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").take(pa.array(row_of)), *columns],
                     names=["key", "piece", "start", "length", "ids_crc32", "task", "place", "ids"][: len(columns) + 1])
@@ -289,7 +292,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", key:
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
             .mapInArrow(cut, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, "
-                             "task int, place bigint" + (", ids array<bigint>" if ids else ""))
+                             "task int, place bigint" + (", ids array<int>" if ids else ""))
             .withColumnRenamed("key", key))
 
 
