@@ -102,6 +102,16 @@ def test_odd_entries_and_markets_take_no_runner_away(spark):
     assert {r["race_id"]: r["count"] for r in found} == {"a": 2, "b": 2}
 
 
+def test_odd_entries_are_listed_and_the_feeds_order_counts(spark):
+    feed = spark.createDataFrame([("a", 1, body({"z": ["3.5", 0, 4, "01"], "b": "scratched", "a": ["1.5", "0", "2", "1"], "c": ["1"]}))],
+                                 "race_id string, as_of long, body string")
+    rows = odds.parse_live_odds(feed).orderBy("pos").collect()
+    assert [(r["horse_no"], r["odds"], r["popularity"], r["pos"]) for r in rows] == [("1", "3.5", "4", 0), ("1", "1.5", "2", 2)]
+    assert odds.latest_odds(odds.parse_live_odds(feed)).first()["odds"] == "1.5"
+    odd = odds.odd_entries(feed).orderBy("pos").collect()
+    assert [(r["name"], r["entry"]) for r in odd] == [("b", '"scratched"'), ("c", '["1"]')]
+
+
 def test_stream_breaks_ties_as_the_table_does(spark, tmp_path):
     schema = "race_id string, horse_no string, odds string, popularity string, as_of timestamp, pos int"
     snapshots = spark.createDataFrame(
