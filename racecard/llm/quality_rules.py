@@ -93,12 +93,6 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([doc, doc[1:][pair]]), np.concatenate([hashes, pairs])
 
 
-def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every single token and every pair of neighbours."""
-    doc, hashes = grams(data, offsets)
-    return doc, (hashes % np.uint64(buckets)).astype(np.int64)
-
-
 def counters_for(size: int) -> int:
     """How many counters a corpus of ``size`` bytes of text has."""
     return max(1 << RANGE_BITS, 1 << math.ceil(math.log2(SPREAD * math.sqrt(max(size, 1)))))
