@@ -9,7 +9,8 @@ is a widely copied example; one below both, of varied characters and without a
 placeholder's words, is live-looking.
 
 Positions are code points. Between them, ``split`` and ``regexp_extract_all`` give a
-text's gaps and matches in turn, and positions are their running lengths.
+text's gaps and matches in turn, and positions are their running lengths. These, and which
+runs touch a base span, come from scans by doubled steps: a text with m matches costs m log m.
 
 Null and empty texts have no spans. Repeated rows are counted once per repository and
 returned as often as they occur. A null owner or id counts as one more owner or
@@ -36,6 +37,17 @@ LEAST_DISTINCT_CHARACTERS = 8
 KINDS = ("assign", "access", "hex", "live")
 
 
+def running(items: Column, step) -> Column:
+    """``items`` after steps of 1, 2, 4, ... places: ``step(item, before, after)`` merges an item's
+    running values with those of the items that many places before and after it (null past an end)."""
+
+    def widen(done: Column, reach: Column) -> Column:
+        return F.when(reach < F.size(done), F.transform(
+            done, lambda x, i: step(x, F.get(done, i - reach), F.get(done, i + reach)))).otherwise(done)
+
+    return F.aggregate(F.array(*[F.lit(1 << power) for power in range(30)]), items, widen)
+
+
 def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """Array of ``start, kind, end, value`` of the pattern's matches, empty without any."""
     found = F.transform(
@@ -43,20 +55,38 @@ def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0) -> Col
             F.split(text, pattern, -1).alias("gap"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value")),
-        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("size"), x["value"].alias("value")))
-    span = "struct<start:int,kind:int,end:int,value:string>"
+        lambda x: F.struct((F.length(x["gap"]) + F.length(x["whole"])).alias("end"),
+                           F.length(x["whole"]).alias("size"), x["value"].alias("value")))
+    # The text behind the last match is a gap alone and has no size.
+    ended = running(F.filter(found, lambda x: x["size"].isNotNull()), lambda x, before, _: F.struct(
+        (x["end"] + F.coalesce(before["end"], F.lit(0))).alias("end"), x["size"].alias("size"), x["value"].alias("value")))
+    spans = F.transform(ended, lambda x: F.struct(
+        (x["end"] - x["size"]).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+
+
+def untouched(runs: Column, base: Column) -> Column:
+    """Those ``runs`` that share no character with a span of ``base``.
+
+    In order of starts, a run is touched if a base span before it ends, or the next one starts,
+    inside it. Of spans with one start, base spans come first.
+    """
+    def is_base(x: Column) -> Column:
+        return x["kind"] < len(KINDS) - 1
 
-    def add(done: Column, item: Column) -> Column:
-        start = done["at"] + item["gap"]
-        return F.struct(
-            (start + F.coalesce(item["size"], F.lit(0))).alias("at"),
-            F.when(item["size"].isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(F.struct(
-                start.alias("start"), F.lit(kind).alias("kind"), (start + item["size"]).alias("end"),
-                item["value"].alias("value"))))).alias("spans"))
+    def carried(x: Column, ended: Column, starts: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"),
+                        ended.alias("ended"), starts.alias("starts"))
 
-    nothing = F.array().cast(f"array<{span}>")
-    walked = F.aggregate(found, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), add, lambda done: done["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(nothing)
+    every = F.transform(F.sort_array(F.concat(base, runs)),
+                        lambda x: carried(x, F.when(is_base(x), x["end"]), F.when(is_base(x), x["start"])))
+    known = running(every, lambda x, before, after: carried(
+        x, F.greatest(x["ended"], before["ended"]), F.least(x["starts"], after["starts"])))
+    free = F.filter(known, lambda x: ~is_base(x) & (F.coalesce(x["ended"], F.lit(0)) <= x["start"])
+                    & (F.coalesce(x["starts"], x["end"]) >= x["end"]))
+    left = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"),
+                                                x["value"].alias("value")))
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(left)
 
 
 def joined(spans: Column) -> Column:
@@ -83,10 +113,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str =
         F.filter(spans_of(F.col("body"), RUN, 3),
                  lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")).alias("runs"))
     base = F.concat("assigned", "accessed", "hexed")
-    outside = F.filter("runs", lambda r: ~F.exists(
-        base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return slim.select("key", "owner", "repository", "row_hash", "assigned", "accessed", "hexed",
-                       F.sort_array(base).alias("base"), outside.alias("runs"))
+                       F.sort_array(base).alias("base"), untouched(F.col("runs"), base).alias("runs"))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import time
+from collections import defaultdict
 
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
@@ -41,6 +44,49 @@ def test_ownership_separates_copies_from_credentials(spark):
     assert all(rows[i]["spans"] == "" and rows[i]["n_example"] == 1 for i in range(30))
 
 
+def in_full(rows):
+    """All spans of every (id, text) by plain loops over all values, their repositories and owners."""
+    found, owners, repositories = {}, defaultdict(set), defaultdict(set)
+    for i, text in rows:
+        base = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        base += [(m.start(), k, m.end(), m[0]) for k, p in ((1, secrets.ACCESS), (2, secrets.HEX)) for m in re.finditer(p, text)]
+        free = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(secrets.RUN, text)
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+                and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+        found[i] = base, free
+        for *_, value in base + free:
+            owners[value].add(i % 3)
+            repositories[value].add(i)
+    out = {}
+    for i, (base, free) in found.items():
+        wide = {v for *_, v in base + free if len(owners[v]) > 2 or len(repositories[v]) > 20}
+        live = [s for s in base + free if s[3] not in wide and not re.search(secrets.PLACEHOLDER, s[3]) and len(set(s[3])) > 8]
+        spans = sorted(base + [s for s in live if s[1] == 3])
+        out[i] = (",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in spans), len(live), sum(s[3] in wide for s in base + free))
+    return out
+
+
+def test_all_spans_and_ownership_against_plain_loops(spark):
+    draw = random.Random(3)
+    values = ["".join(draw.choice("abcdefABCDEF0123456789+/_-xyz") for _ in range(draw.randint(18, 32))) for _ in range(30)]
+    values += ["AKIA" + "Q7W8E9R0T1Y2U3I4", "deadbeef01" * 3, "your_" + "k3y" * 8, "ab1" * 9]
+    glue = [" ", " ", "\n", "token=", "secret: '", "é ", "\U0001f642 ", "-", "password="]
+    rows = [(i, "".join(draw.choice(glue) + draw.choice(values[i % 7:: 1 + i % 5]) for _ in range(draw.randint(0, 9)))) for i in range(80)]
+    want = in_full(rows)
+    assert sum("live" in w[0] for w in want.values()) > 10 and sum(w[2] > 0 for w in want.values()) > 10
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    assert got == want
+
+
+def test_text_of_very_many_matches(spark):
+    text = "\n".join(f"{i:06d}deadbeefdeadbeefdead token=abc{i:06d} Zk39xQp_71LmWvT4bRyC{i:06d}" for i in range(55_000))
+    began = time.monotonic()
+    row = secrets.find_secrets(documents(spark, [(0, text), (1, "é")])).where("doc_id = 0").first()
+    assert time.monotonic() - began < 60
+    assert (row["n_assign"], row["n_access"], row["n_hex"], row["base_sha256"]) == brute(text)[:4]
+    assert row["spans"].count("live:") == 55_000 and row["n_hex"] == 55_000
+
+
 def test_awkward_rows(awkward, awkward_rows, nothing):
     rows = secrets.find_secrets(awkward).collect()
     assert len(rows) == len(awkward_rows)
