@@ -14,7 +14,7 @@ from racecard.plans.registry import query, r6, rounded, work_path
 from racecard.plans.runs import hot_horses, runs, stored_runs
 from racecard.plans.runs_sql import FINISH, PAST, RUNS
 from racecard.schema import RESULTS
-from racecard.sources import pages, tables
+from racecard.sources import page_sql, pages, tables
 from racecard.sources.horse_states import ingest_with_features, load_horse_states, save_horse_states
 from racecard.streaming import streams
 
@@ -223,15 +223,37 @@ def extract_results(spark, sf):
     return pages.extract_results(pages_of.result_pages(runs(spark, sf)))
 
 
-@query(
-    RUNS + """SELECT race_id, horse_no, horse_name, horse_id, sex_age, carried, jockey, jockey_id,
+_DECLARED = RUNS + """SELECT race_id, horse_no, horse_name, horse_id, sex_age, carried, jockey, jockey_id,
     trainer, trainer_id, CASE WHEN body_weight = '計不' THEN '470(0)' ELSE body_weight END AS body_weight,
     CASE WHEN odds = '---' THEN '999.0' ELSE odds END AS odds, popularity FROM runs"""
-)
+
+
+@query(_DECLARED)
 def extract_entries(spark, sf):
     return pages.extract_entries(pages_of.entry_pages(runs(spark, sf)))
 
 
+@query(_DECLARED)
+def entries_by_sql(spark, sf):
+    """The rows of entry pages by SQL alone, over the table function that lists a page's rows."""
+    page_sql.register_pages(spark, pages_of.entry_pages(runs(spark, sf)), "entry_pages")
+    return spark.sql(r"""
+      WITH listed AS (
+        SELECT p.key, r.row_class, filter(r.cells, c -> NOT c.th) AS cells
+        FROM entry_pages p, LATERAL page_rows(p.kind, p.raw) r WHERE contains(r.table_class, 'shutuba_table')),
+      texts AS (
+        SELECT key, transform(cells, c -> nullif(regexp_replace(c.text, r'^\s+|\s+$', ''), '')) AS t,
+          transform(cells, c -> coalesce(c.href, '')) AS h
+        FROM listed WHERE contains(row_class, 'HorseList') AND size(cells) >= 8)
+      SELECT key AS race_id, t[1] AS horse_no, t[3] AS horse_name, t[4] AS sex_age, t[5] AS carried, t[6] AS jockey,
+        t[7] AS trainer, regexp_extract(h[3], r'/horse/([0-9]{10})', 1) AS horse_id,
+        regexp_extract(h[6], r'/jockey/([0-9]{5})', 1) AS jockey_id,
+        regexp_extract(h[7], r'/trainer/([0-9]{5})', 1) AS trainer_id, coalesce(get(t, 8), '470(0)') AS body_weight,
+        CASE WHEN get(t, 9) RLIKE '[0-9]' THEN t[9] ELSE '999.0' END AS odds,
+        CASE WHEN get(t, 10) RLIKE '[0-9]' THEN t[10] ELSE '99' END AS popularity
+      FROM texts""")
+
+
 @query(
     RUNS + """SELECT horse_id, CASE WHEN race_id[1] <> 'X' THEN race_id END AS race_id, race_name, finish,
     coalesce(up_3f, '') AS up_3f, CAST(race_date AS VARCHAR) AS race_date,
@@ -264,3 +286,14 @@ def extract_rates(spark, sf):
     stored = frames.union_batches([pages_of.career_pages(all_runs, e) for e in ("jockey", "trainer")])
     found = pages.extract_entity_rates(stored)
     return rounded(found.select("entity_type", "id", "extract_status", "win_rate", "place_rate"))
+
+
+@query(RUNS + _PRINTED)
+def page_files(spark, sf):
+    """Career pages kept as loose files, one per page, and read back by their paths."""
+    base, all_runs = work_path(spark, "files"), runs(spark, sf)
+    made = frames.union_batches([pages_of.career_pages(all_runs, e) for e in ("jockey", "trainer")])
+    # As text the bytes of a page are written as they are, with a line end behind them.
+    made.select("kind", "key", F.col("raw").cast("string").alias("value")).write.partitionBy("kind", "key").text(base)
+    found = pages.extract_entity_rates(pages.load_page_files(spark, base))
+    return rounded(found.select("entity_type", "id", "extract_status", "win_rate", "place_rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from racecard.functions import clean
 from racecard.plans.runs import runs
 from racecard.schema import PAGES, RESULTS
-from racecard.sources import odds, pages, tables
+from racecard.sources import odds, page_sql, pages, tables
 from racecard.streaming import streams
 
 HEADERS = ["着 順", "枠番", "馬番", "馬名", "性齢", "斤量", "騎手", "タイム", "着差", "上り", "単勝", "人気", "馬体重", "調教師"]
@@ -169,3 +169,48 @@ def test_links(spark):
 
 def test_percent_column(one):
     assert one("勝率 19.5%", clean.percent) == 0.195
+
+
+def test_loose_page_files(spark, tmp_path):
+    entity = "<table><tr><td>累計</td>" + "<td>1</td>" * 8 + "<td>19.5％</td><td></td><td>50.1</td></tr></table>"
+    made = {"history/jockey/01096.html": entity.encode("euc-jp"), "kind=trainer/key=01167/part-0.txt": entity.encode("euc-jp"),
+            "result/202301010101": result_html().encode("euc-jp"), "result/x.y.html": b"x", "entry/1.html": b"", "other/1.html": b"<p>", "notes.txt": b"x"}
+    for name, raw in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    found = pages.load_page_files(spark, str(tmp_path))
+    assert found.schema.simpleString() == PAGES.simpleString()
+    rows = {(r.kind, r.key): bytes(r.raw) for r in found.collect()}
+    assert rows == {("jockey", "01096"): made["history/jockey/01096.html"], ("result", "x.y"): b"x",
+                    ("trainer", "01167"): made["kind=trainer/key=01167/part-0.txt"],
+                    ("result", "202301010101"): made["result/202301010101"]}
+    assert {(r.id, r.win_rate) for r in pages.extract_entity_rates(found).collect()} == {("01096", 0.195), ("01167", 0.195)}
+    assert pages.extract_results(found).count() == 2
+
+
+def test_stream_of_page_files(spark, tmp_path):
+    def take():
+        followed = pages.load_page_files(spark, str(tmp_path / "in"), stream=True)
+        (followed.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
+        return sorted(r.key for r in pages.load_pages(spark, str(tmp_path / "out")).collect())
+
+    (tmp_path / "in" / "result").mkdir(parents=True)
+    (tmp_path / "in" / "result" / "1.html").write_bytes(b"a")
+    assert take() == ["1"]
+    (tmp_path / "in" / "result" / "2.html").write_bytes(b"b")
+    assert take() == ["1", "2"]
+
+
+def test_pages_in_sql(spark):
+    stored = page(spark, "result", "202301010101", result_html()).union(page(spark, "result", "r", "<p>none</p>"))
+    stored = stored.union(spark.createDataFrame([("result", "n", NOW, None), ("unknown", "u", NOW, bytearray(b"<table><tr><td>1"))], PAGES))
+    page_sql.register_pages(spark, stored, "told")
+    rows = spark.sql("SELECT t.key, r.* FROM told t, LATERAL page_rows(t.kind, t.raw) r ORDER BY table_no, row_no").collect()
+    assert [(r.key, r.table_no, r.row_no, len(r.cells)) for r in rows] == [
+        ("202301010101", 0, 0, 1), ("202301010101", 1, 0, 14), ("202301010101", 1, 1, 14), ("202301010101", 1, 2, 2),
+        ("202301010101", 1, 3, 14)]
+    horse = rows[2].cells[3]
+    assert (horse.th, horse.href, horse.link.strip()) == (False, "/horse/2019105219/", "ウマ A") and rows[1].cells[0].th
+    assert spark.table("told_results").collect() == pages.extract_results(stored).collect()
+    assert spark.table("told_rates").count() == 0 == spark.table("told_history").count()
