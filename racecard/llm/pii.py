@@ -5,8 +5,9 @@ plain words and keep the label of nothing. Neighbouring tokens share a chain pot
 Tokens that repeat, or are equal but for case and punctuation, share a skip potential with
 the last such token however far away, so a text's mentions of one thing agree. Node
 weights (hashed shape features of a token and its neighbours) and both potentials are
-learnt by pseudo-likelihood from at most ``SAMPLE`` texts, in which the base patterns say
-the labels. Labels come from loopy message passing over all tokens of a batch at once; a
+learnt by pseudo-likelihood from at most ``SAMPLE`` passages, in which the base patterns say
+the labels; texts of any length are cut to passages of at most ``PASSAGE`` characters, mostly
+one a text, and those of smallest hash are taken, equal rows once. Labels come from loopy message passing over all tokens of a batch at once; a
 token outside base spans that is an entity with a chance of at least ``SURE`` adds a span.
 
 Base spans never change. Positions are code points. Null and empty texts have no spans.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from racecard.llm.textscan import chunks
+from racecard.llm.textscan import BASE, chunks, mix
 
 KINDS = ("email", "ip", "card", "phone")
 #: fixed values: the base patterns
@@ -43,7 +44,7 @@ EDGES = "\"'()[]{}<>.,;:!?*#$%&|="
 LABELS = 1 + len(KINDS)
 BUCKETS = 1 << 12
 SAMPLE = 2_000
-SAMPLE_CHARACTERS = 100_000
+PASSAGE = 100_000
 EPOCHS = 60
 PASSES = 12
 DAMPING = 0.3
@@ -237,14 +238,52 @@ def labels_of(graph: Graph, base: list[list[tuple[int, int, int]]]) -> np.ndarra
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> SkipChainField:
-    """A field learnt from at most ``most`` texts with a digit or an at sign, of smallest id hash."""
-    held = (docs.select(F.xxhash64(key).alias("rank"), F.col(text).cast("string").alias("text"))
-            .where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARACTERS)))
-    ranks = [r["rank"] for r in held.select("rank").orderBy("rank").limit(most).collect()]
+def passages(text: str) -> Iterator[str]:
+    """``text`` in pieces of at most ``PASSAGE`` characters, cut behind a blank if one is in reach."""
+    first = 0
+    while len(text) - first > PASSAGE:
+        last = 1 + max(text.rfind(blank, first, first + PASSAGE) for blank in BLANKS)
+        last = last if last > first else first + PASSAGE
+        yield text[first:last]
+        first = last
+    yield text[first:]
+
+
+def sampled_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> list[str]:
+    """At most ``most`` passages with a digit or an at sign, those of smallest hash of row and place."""
+    body = F.col(text).cast("string")
+    rows = docs.select(F.xxhash64(F.col(key), body).alias("rank"), body.alias("text")).where(F.col("text").rlike("[0-9@]"))
+
+    def cut(greatest: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    held: dict[str, list] = {"rank": [], "text": []}
+                    for rank, whole in zip(part.column("rank").to_numpy(), part.column("text")):
+                        for number, piece in enumerate(passages(whole.as_py())):
+                            place = np.array([rank]).astype(np.uint64) + np.uint64(number) * BASE
+                            own = int(mix(place).astype(np.int64)[0])
+                            if (greatest is None or own <= greatest) and SIGN.search(piece):
+                                held["rank"].append(own)
+                                held["text"].append(None if greatest is None else piece)
+                    yield pa.RecordBatch.from_arrays([pa.array(held["rank"], pa.int64()), pa.array(held["text"], pa.string())],
+                                                     names=["rank", "text"])
+
+        return rows.mapInArrow(run, "rank bigint, text string")
+
+    # The ranks alone come first, so that no more than the chosen passages are moved.
+    ranks = [r["rank"] for r in cut(None).select("rank").distinct().orderBy("rank").limit(most).collect()]
     if not ranks:
+        return []
+    chosen = cut(ranks[-1]).groupBy("rank").agg(F.min("text").alias("text"))
+    return sorted(r["text"] for r in chosen.collect())
+
+
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> SkipChainField:
+    """A field learnt from the sampled passages; none is fitted without any."""
+    texts = sampled_passages(docs, text, key, most)
+    if not texts:
         return SkipChainField()
-    texts = sorted(r["text"] for r in held.where(F.col("rank") <= ranks[-1]).limit(2 * most).collect())
     graph = Graph(texts, [tokens(t) for t in texts])
     return SkipChainField().fit(graph, labels_of(graph, [base_spans(t) for t in texts]))
 

@@ -1,6 +1,9 @@
+import itertools
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,3 +76,41 @@ def test_masking(spark):
 
 def test_long_runs_are_fast():
     assert pii.base_spans("1" * 50_000 + " " + "a" * 50_000 + "@" + "+1" + " (" * 20_000) == []
+
+
+def test_sample_reaches_into_long_texts(spark):
+    far = prose(4, 30_000)
+    long = far + " " + " ".join(text for _, text in corpus(60)) + " " + far
+    assert len(far) > pii.PASSAGE and not pii.SIGN.search(far)
+    cut = list(pii.passages(long))
+    assert "".join(cut) == long and len(cut) > 3 and max(map(len, cut)) <= pii.PASSAGE
+    assert all(piece[-1].isspace() for piece in cut[:-1])
+    assert "".join(pii.passages("7" * 250_000)) == "7" * 250_000
+    found = pii.sampled_passages(documents(spark, [(1, long), (2, None), (3, "")]))
+    assert found == sorted(piece for piece in cut if pii.SIGN.search(piece))
+    assert pii.fit(documents(spark, [(1, long)])).fitted
+
+
+def test_repeated_rows_are_sampled_once(spark):
+    rows = corpus(40)
+    once = pii.sampled_passages(documents(spark, rows), most=15)
+    assert len(set(once)) == 15
+    assert pii.sampled_passages(documents(spark, rows + rows[:1] * 200).repartition(7), most=15) == once
+    same_id = [(1, text) for _, text in rows]
+    assert len(pii.sampled_passages(documents(spark, same_id))) == 40
+
+
+@pytest.mark.parametrize("text, links", [("12a3, 45b6 78c9; 10d11", [0, 0, 0]), ("mail ab12 at once, then AB-12 again, and 77 88", [1, 0])])
+def test_chances_are_the_marginals_where_links_form_no_circle(text, links):
+    draw = np.random.default_rng(8)
+    field = pii.SkipChainField()
+    field.weights, field.links = draw.normal(0, 0.4, field.weights.shape), draw.normal(0, 0.7, field.links.shape)
+    graph = pii.Graph([text], [pii.tokens(text)])
+    assert sorted(graph.kinds) == sorted(links) and len(graph.span) == 4
+    node = field.weights[graph.features].sum(axis=1)
+    want = np.zeros_like(node)
+    for labels in itertools.product(range(pii.LABELS), repeat=4):
+        score = sum(node[i, k] for i, k in enumerate(labels))
+        score += sum(field.links[kind, labels[a], labels[b]] for (a, b), kind in zip(graph.pairs, graph.kinds))
+        want[range(4), labels] += np.exp(score)
+    assert np.allclose(field.chances(graph), want / want.sum(axis=1, keepdims=True), atol=2e-3)
