@@ -31,9 +31,10 @@ HEAVIEST = 6
 RADIUS = 6
 BLOCKS = 8
 QUERY_MODULUS = 100
-ROWS_PER_CELL = 1000
-MOST_CELLS = 100_000
-COARSE_CELLS = 128
+CELL_BYTES = 4 << 20
+ROW_BYTES = 256  # counted for a row besides its text
+MOST_CELLS = 1 << 18
+MOST_RANGES = 1 << 10
 LANES = 0x0000000100000001
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -72,39 +73,63 @@ def shown(high: Column, low: Column) -> Column:
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, cell, place, text, next_text, copy``, where next is by descending id, around the end.
 
-    Ids are cut into cells of about ``ROWS_PER_CELL`` rows, ``MOST_CELLS`` at most: first by
-    quantiles, then evenly within these. The order is made within each cell, and the first
-    rows of the following cell are put after a cell's last one, marked ``copy``; so no task
+    Rows are ordered by id and hash of the text, and cut into successive cells of about
+    ``CELL_BYTES`` of text, more beyond ``MOST_CELLS`` cells. Only ids, hashes and sizes are
+    sorted to find the cuts, so neither uneven ids nor many rows of one id or without id make a
+    cell large; equal rows alone stay together, and a longer text is in a cell of its own. The
+    first row of the following cell is put after a cell's last one, marked ``copy``; so no task
     sees more than a cell, and texts are shuffled once.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    shares = [i / COARSE_CELLS for i in range(COARSE_CELLS + 1)]
-    stats = rows.agg(F.count("*").alias("n"), F.percentile_approx("key", shares, 1000).alias("cuts")).first()
-    cuts = sorted(set(stats["cuts"] or [0]))
-    fine = max(1, min(MOST_CELLS, stats["n"] // ROWS_PER_CELL) // COARSE_CELLS)
-    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-    coarse = F.greatest(F.lit(1), F.size(F.filter(bounds, lambda c: c <= F.col("key"))))
-    low, high = F.element_at(bounds, coarse), F.element_at(bounds, F.least(coarse + 1, F.lit(len(cuts))))
-    within = F.floor((F.col("key") - low).cast("double") / F.greatest(high - low, F.lit(1)) * fine)
-    within = F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1))
-    cell = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(coarse * fine + within).cast("bigint")
-    celled = rows.withColumn("cell", cell)
-    # At most MOST_CELLS rows, so the list of cells goes through the driver.
-    heads = sorted(((r["cell"], r["head"]) for r in celled.groupBy("cell").agg(F.max("key").alias("head")).collect()),
-                   reverse=True)
-    spark = docs.sparkSession
-    before = spark.createDataFrame(
-        [(cell, heads[i - 1][0]) for i, (cell, _) in enumerate(heads)], "cell bigint, before bigint")
-    head_rows = (spark.createDataFrame(heads, "cell bigint, head bigint")
-                 .join(before, "cell").withColumnRenamed("cell", "head_cell"))
-    copies = (celled.join(F.broadcast(head_rows), (F.col("cell") == F.col("head_cell")) & F.col("key").eqNullSafe(F.col("head")))
-              .select("key", "text", F.col("before").alias("cell"), F.lit(True).alias("copy")))
-    every = celled.withColumn("copy", F.lit(False)).unionByName(copies)
-    order = Window.partitionBy("cell").orderBy("copy", F.desc_nulls_last("key"), F.xxhash64("text"), "text")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    number = F.col(key).cast("bigint")
+    rows = docs.select(number.alias("key"), body.alias("text"), F.struct(
+        number.isNull().cast("int").alias("unnamed"), F.coalesce(F.bitwise_not(number), F.lit(0)).alias("id"),
+        F.xxhash64(body).alias("hash")).alias("at"))
+    celled = _in_cells(rows)
+    heads = (celled.where("at = first").groupBy("cell").agg(F.first("key").alias("key"), F.first("at").alias("at"),
+                                                            F.min("text").alias("text"), F.first("cells").alias("cells"))
+             .select("key", "at", "text", F.pmod(F.col("cell") - 1, F.col("cells")).alias("cell"), F.lit(True).alias("copy")))
+    every = celled.select("key", "at", "text", "cell", F.lit(False).alias("copy")).unionByName(heads)
+    order = Window.partitionBy("cell").orderBy("copy", "at", "text")
     return every.select("key", "cell", F.row_number().over(order).alias("place"), "text",
                         F.lead("text").over(order).alias("next_text"), "copy")
 
 
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """``rows`` (``at, text``) with their ``cell``, its ``first`` value of ``at``, and the number of ``cells``."""
+    spark = rows.sparkSession
+    ranges = min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    weighed = rows.select("at", (F.octet_length("text").cast("bigint") + ROW_BYTES).alias("size"))
+    slim = cut_lineage(weighed.repartitionByRange(ranges, "at").withColumn("part", F.spark_partition_id()))
+    share = max(CELL_BYTES, (slim.agg(F.sum("size")).first()[0] or 0) // MOST_CELLS + 1)
+    so_far = F.sum("size").over(Window.partitionBy("part").orderBy("at")) - F.col("size")
+    firsts = (slim.select("part", "at", F.floor(so_far / share).alias("number"))
+              .groupBy("part", "number").agg(F.min("at").alias("at"))
+              .groupBy("part").agg(F.sort_array(F.collect_set("at")).alias("firsts")))
+    firsts = cut_lineage(firsts)  # a row per range, MOST_CELLS + MOST_RANGES values in all
+    parts = sorted(firsts.select("part", F.get("firsts", F.lit(0)).alias("at"), F.size("firsts").alias("n")).collect(),
+                   key=lambda r: r["at"])
+    before = [sum(r["n"] for r in parts[:i]) for i in range(len(parts) + 1)]
+
+    def values(kind: str, items: list) -> Column:
+        return F.array(*[F.lit(x) for x in items]).cast(f"array<{kind}>")
+
+    lowest = F.arrays_zip(*[values(kind, [r["at"][name] for r in parts]).alias(name)
+                            for name, kind in (("unnamed", "int"), ("id", "bigint"), ("hash", "bigint"))])
+    index = _last_at_most(lowest, F.col("at"), MOST_RANGES)
+    placed = rows.withColumn("index", index).withColumn("part", F.get(values("int", [r["part"] for r in parts]), "index"))
+    place = _last_at_most(F.col("firsts"), F.col("at"), MOST_CELLS)
+    return (placed.join(F.broadcast(firsts), "part").withColumn("place", place)
+            .select("key", "text", "at", (F.get(values("bigint", before), "index") + F.col("place")).alias("cell"),
+                    F.get("firsts", "place").alias("first"), F.lit(before[-1]).cast("bigint").alias("cells")))
+
+
+def _last_at_most(values: Column, sought: Column, most: int) -> Column:
+    """Index of the last of the sorted ``values`` (``most`` at most) that is not above ``sought``, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step) <= sought, at + step).otherwise(at))
+
+
 def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
