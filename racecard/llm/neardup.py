@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from racecard.llm.graph import components, first_labels
+from racecard.llm.samples import unused_prefix
 from racecard.llm.textscan import BASE, Words, _splitmix, buffer_of, chunks, mix, windows
 from racecard.session import cut_lineage
 
@@ -49,6 +50,7 @@ STEP = 32
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 19
 SMALL_BUCKET = 24
+HOT_PARTS = 4
 BITMAP_BITS = 1 << 23
 FACTORS = (_splitmix(HASHES, 41) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -308,14 +310,33 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     shingles stay, once per id and text.
     """
     found = cut_lineage(grouped(docs, text, key, words, percent).select("key", "row", "root", "n_shingles"))
+    prefix = unused_prefix("_near_", docs)
+    row, kept_key, kept_row = (prefix + name for name in ("row", "kept_key", "kept_row"))
     linked = (found.where("n_shingles > 0").groupBy("root")
               .agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("least")))
     kept = (linked.select("least.key", "least.row")
             .unionByName(found.where("n_shingles = 0").select("key", "row")).distinct()
-            .select(F.col("key").alias("_kept_key"), F.col("row").alias("_kept_row")))
-    rows = docs.withColumn("_row", F.xxhash64(F.col(text).cast("string")))
-    return (rows.join(kept, rows[key].eqNullSafe(F.col("_kept_key")) & (rows["_row"] == F.col("_kept_row")), "left_semi")
-            .dropDuplicates([key, "_row"]).drop("_row"))
+            .select(F.col("key").alias(kept_key), F.col("row").alias(kept_row)))
+    return (docs.withColumn(row, F.xxhash64(F.col(text).cast("string")))
+            .join(kept, F.col(key).eqNullSafe(F.col(kept_key)) & (F.col(row) == F.col(kept_row)), "left_semi")
+            .dropDuplicates([key, row]).drop(row))
+
+
+def _hot_buckets(shared: DataFrame) -> DataFrame:
+    """``bucket`` of those that hold more than one part in ``HOT_PARTS`` per shuffle partition of all members.
+
+    So they are at most ``HOT_PARTS`` per shuffle partition, and any other bucket fits a task.
+    """
+    parts = HOT_PARTS * int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = shared.agg(F.sum("n")).first()[0] or 0
+    return shared.where(F.col("n") * parts > members).select("bucket")
+
+
+def _with_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``buckets``; those of hot buckets stay in their tasks, whatever their number."""
+    cold = rows.join(F.broadcast(hot), "bucket", "left_anti").join(buckets, "bucket")
+    few = buckets.join(F.broadcast(hot), "bucket", "left_semi")
+    return cold.unionByName(rows.join(F.broadcast(few), "bucket"))
 
 
 def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
@@ -332,8 +353,9 @@ def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
     nodes = cut_lineage(signed.join(classes, ["node", "key", "row"]).dropDuplicates(["node"])
                         .select("node", "key", "row", "n_shingles", "signature", "bands"))
     banded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = (banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    members = cut_lineage(banded.join(shared, "bucket"))
+    shared = cut_lineage(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    hot = _hot_buckets(shared)
+    members = cut_lineage(_with_bucket(banded, shared, hot))
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -350,10 +372,10 @@ def grouped(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
     # A bucket of two is done; so is one whose members are all known to be linked.
     rooted = (members.where("n > 2").join(roots, "node", "left")
               .select("bucket", "node", "n_shingles", "n", F.coalesce("root", "node").alias("root")))
-    several = (rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                            F.sum("n_shingles").alias("size"))
-               .where("lo <> hi").select("bucket", "size"))
-    open_members = cut_lineage(rooted.join(several, "bucket"))
+    several = cut_lineage(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                                       F.sum("n_shingles").alias("size"))
+                          .where("lo <> hi").select("bucket", "size"))
+    open_members = cut_lineage(_with_bucket(rooted, several, hot))
     small = open_members.where(F.col("n") <= SMALL_BUCKET)
     alive = possible(
         small.alias("l").join(small.alias("r"), "bucket").where("l.node < r.node and l.root <> r.root")

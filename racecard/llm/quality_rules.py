@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from racecard.llm.samples import unused_prefix
 from racecard.llm.textscan import (
     BASE, IS_SPACE, IS_WORDLIKE, Words, any_of, buffer_of, chunks, counts_of, lines, mix, repeated,
     runs, span_hashes, windows, within_text,
@@ -258,17 +259,10 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    prefix = _unused("_rules_", docs)
+    prefix = unused_prefix("_rules_", docs)
     return verdicts(docs, labels, text, key, prefix=prefix).where(f"`{prefix}kept`").select(*(f"`{c}`" for c in docs.columns))
 
 
-def _unused(prefix: str, docs: DataFrame) -> str:
-    """``prefix`` made longer until no column of ``docs`` begins with it."""
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    return prefix
-
-
 def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
              threshold: float = THRESHOLD, prefix: str = "", kept: list[str] | None = None) -> DataFrame:
     """The columns ``kept`` of ``docs`` (all by default), then the verdict's, their names after ``prefix``.
@@ -283,7 +277,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     counters = counters_for(size)
     ratios = Ratios(cut_lineage(gram_counts(docs, labels, counters, text, key)), counters)
     sums = [(first, context.broadcast(values)) for first, values in ratios.slices()]
-    here = _unused("_gram_", docs)
+    here = unused_prefix("_gram_", docs)
     told = [f"{here}{c}" for c in ("row", "n", "sum")]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     # A text that is returned is not sent to the tasks twice.

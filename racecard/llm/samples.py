@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, for fitting on the driver."""
+"""Bounded samples of labelled rows, for fitting on the driver, and names that no column has."""
 
 from __future__ import annotations
 
@@ -22,3 +22,10 @@ def labelled_sample(labels: DataFrame, label: str, most: int, parts: int, part:
             .dropna().where(~held_out("sample_id", parts, part))
             .groupBy("sample_id").agg(F.max("label").alias("label"))
             .orderBy(F.xxhash64("sample_id"), "sample_id").limit(most))
+
+
+def unused_prefix(prefix: str, docs: DataFrame) -> str:
+    """``prefix`` made longer until no column of ``docs`` begins with it."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix

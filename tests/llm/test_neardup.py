@@ -101,6 +101,30 @@ def test_different_texts_without_id_all_stay(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
 
 
+def test_hot_buckets(spark, monkeypatch):
+    """One group holds most members of all buckets; hot or not, the same links."""
+    base = prose(1, 120)
+    rows = [(i, edited(base, i, i % 7)) for i in range(150)] + [(500 + i, edited(prose(90 + i // 2, 60), i, 1)) for i in range(40)]
+    docs = documents(spark, rows)
+    shared = spark.createDataFrame([(1, 90), (2, 2), (3, 3), (4, 0)], "bucket long, n long")
+    assert {r["bucket"] for r in neardup._hot_buckets(shared).collect()} >= {1}
+    for parts in (0, 4, 10**6):  # no bucket hot, some, every one
+        monkeypatch.setattr(neardup, "HOT_PARTS", parts)
+        found = neardup.near_duplicates(docs, words=3, percent=85).collect()
+        assert sorted(map(tuple, found), key=repr) == brute(rows, 3, 85)
+
+
+def test_columns_named_like_its_own(spark):
+    rows = [(1, prose(5, 60)), (2, prose(5, 60)), (3, prose(6, 60))]
+    docs = documents(spark, rows)
+    for name in ("_row", "_kept_key", "_kept_row", "_near_row", "_near_kept_key", "__near_row"):
+        docs = docs.selectExpr("*", f"doc_id * 10 AS {name}")
+    kept = neardup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert all(r[name] == 10 * r["doc_id"] for r in kept.collect() for name in docs.columns[-6:])
+
+
 def test_awkward_rows(awkward, awkward_rows, nothing):
     for size, percent in ((3, 85), (5, 80)):
         found = neardup.near_duplicates(awkward, words=size, percent=percent).collect()
