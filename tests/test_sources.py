@@ -214,3 +214,31 @@ def test_pages_in_sql(spark):
     assert (horse.th, horse.href, horse.link.strip()) == (False, "/horse/2019105219/", "ウマ A") and rows[1].cells[0].th
     assert spark.table("told_results").collect() == pages.extract_results(stored).collect()
     assert spark.table("told_rates").count() == 0 == spark.table("told_history").count()
+
+
+def test_tables_leave_in_small_batches():
+    """Whatever the number of pages in a batch, tables of few pages are held at a time; none is lost."""
+    html = ("<table class=o><tr><th>h</th></tr>" + "<tr class=r><td><a href='/horse/1'>a&amp;b</a> c</td><td></td></tr>" * 400 + "</table>").encode()
+    raws = [html, None, b""] * 200
+    batch = pa.RecordBatch.from_pydict({
+        "kind": ["entry"] * len(raws), "key": [str(i) for i in range(len(raws))],
+        "fetched_at": pa.array([None] * len(raws), pa.timestamp("us")), "raw": pa.array(raws, pa.binary())})
+    parts = list(pages._list_tables(iter([batch])))
+    assert len(parts) > 5
+    found = pa.Table.from_batches(parts).to_pylist()
+    assert [r["key"] for r in found] == [str(i) for i in range(len(raws))]
+    assert [r["tables"] for r in found] == [pages.page_tables(raw, "utf-8") for raw in raws]
+
+
+def test_batches_of_pages_are_bounded_in_any_session(spark):
+    name, most = session.ARROW_BYTES
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        pages.extract_entries(page(spark, "entry", "1", ""))
+        assert spark.conf.get(name) in (most, str(8 << 20))
+        spark.conf.set(name, "1m")
+        pages.extract_entries(page(spark, "entry", "1", ""))
+        assert spark.conf.get(name) in ("1m", str(1 << 20))
+    finally:
+        spark.conf.set(name, before)
