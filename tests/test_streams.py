@@ -123,6 +123,19 @@ def test_index_knows_the_races_and_spares_the_runners(spark, tmp_path):
     assert got.exceptAll(every).count() == 0 and every.exceptAll(got).count() == 0
 
 
+def test_only_batches_with_a_race_of_the_new_rows_are_asked(spark, tmp_path):
+    path, schema = str(tmp_path / "results"), "race_id string, horse_no string"
+    held = {"a": [("202301010101", "1")], "b": [("202301010102", "1"), (None, "1")], "c": [("202401010101", "1")]}
+    for name, rows in held.items():
+        tables.write_results(spark.createDataFrame(rows, schema), path, name)
+
+    def asked(*races):
+        return tables.batches_with_races_of(spark.createDataFrame([(r, "2") for r in races], schema), path)
+
+    assert asked("202301010101") == ["a"] and asked(None, "202401010101") == ["b", "c"]
+    assert asked("202301010199") == [] and tables.batches_with_races_of(spark.createDataFrame([("x", "1")], schema), f"{path}-none") == []
+
+
 def test_an_index_without_rows_hides_no_race(spark, tmp_path):
     path = str(tmp_path / "results")
     every = runs(spark, SF).select(*RESULTS.names)
