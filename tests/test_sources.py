@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pyarrow as pa
 from conftest import SF, day
 from pyspark.sql import functions as F
 
+from racecard import session
 from racecard.functions import clean
 from racecard.plans.runs import runs
 from racecard.schema import PAGES, RESULTS
