@@ -29,7 +29,7 @@ Other columns, whatever their names, are kept by ``keep_good`` and left out by `
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,7 +48,8 @@ SPREAD = 64
 SENT = 1 << 24
 SENT_IDS = 1 << 22
 RANGE_BITS = 13
-HELD_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 19
+SCANNED_BYTES = 1 << 19  # of text at a time: as n-grams a text takes many times its bytes
 DIGITS = 9
 THRESHOLD = -0.03
 PRIOR = 50  # pseudo-counts per counter
@@ -124,21 +125,44 @@ def _marked(docs: DataFrame, labels: DataFrame, text: str, key: str, label_key:
     return named.unionByName(texts.where("key is null").withColumn("trusted", F.lit(False))), None
 
 
+def _packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Counts as one row per range of counters."""
+    width = 1 << RANGE_BITS
+    bucket, trusted, every = _summed(*map(np.concatenate, zip(*held)))
+    part, first = np.unique(bucket >> RANGE_BITS, return_index=True)
+    stops = pa.array(np.append(first, len(bucket)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part), *(pa.ListArray.from_arrays(stops, pa.array(x)) for x in (
+            (bucket & (width - 1)).astype(np.int16), trusted.astype(np.int32), every.astype(np.int32)))],
+        names=["part", "at", "trusted", "every"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], trusts: Callable, counters: int) -> Iterator[pa.RecordBatch]:
+    """Packed counts of the texts of a task; ``trusts`` tells which rows of a batch are trusted."""
+    held, size = [], 0
+    for batch in batches:
+        for part in chunks(batch, "text", SCANNED_BYTES):
+            doc, hashes = grams(*buffer_of(part.column("text")))
+            if not len(doc):
+                continue
+            held.append(_summed(_bucket(hashes, counters), trusts(part)[doc].astype(np.int64), np.ones(len(doc), np.int64)))
+            size += len(held[-1][0])
+            if size >= HELD_GRAMS:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                if len(held[0][0]) >= HELD_GRAMS // 2:
+                    yield _packed(held)
+                    held = []
+                size = sum(len(x[0]) for x in held)
+    if held:
+        yield _packed(held)
+
+
 def gram_counts(docs: DataFrame, labels: DataFrame, counters: int, text: str = "text", key: str = "doc_id",
                 label_key: str = "doc_id") -> DataFrame:
     """``part, trusted, every``: per range of counters, the counts in the trusted texts and in all texts."""
     texts, sent = _marked(docs, labels, text, key, label_key)
     width = 1 << RANGE_BITS
 
-    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        bucket, trusted, every = _summed(*map(np.concatenate, zip(*held)))
-        part, first = np.unique(bucket >> RANGE_BITS, return_index=True)
-        stops = pa.array(np.append(first, len(bucket)).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part), *(pa.ListArray.from_arrays(stops, pa.array(x)) for x in (
-                (bucket & (width - 1)).astype(np.int16), trusted.astype(np.int32), every.astype(np.int32)))],
-            names=["part", "at", "trusted", "every"])
-
     def trusts(part: pa.RecordBatch) -> np.ndarray:
         if sent is None:
             return part.column("trusted").to_numpy(zero_copy_only=False)
@@ -149,22 +173,7 @@ def gram_counts(docs: DataFrame, labels: DataFrame, counters: int, text: str = "
         return known & (place < len(sent.value)) & keys.is_valid().to_numpy(zero_copy_only=False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                doc, hashes = grams(*buffer_of(part.column("text")))
-                if not len(doc):
-                    continue
-                held.append(_summed(_bucket(hashes, counters), trusts(part)[doc].astype(np.int64), np.ones(len(doc), np.int64)))
-                size += len(held[-1][0])
-                if size >= HELD_GRAMS:
-                    held = [_summed(*map(np.concatenate, zip(*held)))]
-                    if len(held[0][0]) >= HELD_GRAMS // 2:
-                        yield packed(held)
-                        held = []
-                    size = sum(len(x[0]) for x in held)
-        if held:
-            yield packed(held)
+        return _counted(batches, trusts, counters)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -287,7 +296,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, read):
+            for part in chunks(batch, read, SCANNED_BYTES):
                 body = part.column(read)
                 counts = base_counts(*buffer_of(body))
                 n, total = text_sums(body, counters, *((sums[0][0], sums[0][1].value) if sums else (0, np.zeros(0))))
@@ -317,7 +326,7 @@ def _further_sums(texts: DataFrame, read: str, here: str, counters: int, sums: l
     def passed(first, sent):
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in chunks(batch, read):
+                for part in chunks(batch, read, SCANNED_BYTES):
                     _, total = text_sums(part.column(read), counters, first, sent.value)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(f"{here}row"), pa.array(np.full(len(total), first)), pa.array(total)],

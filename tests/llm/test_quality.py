@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -150,3 +151,12 @@ def test_classifier_awkward_rows(awkward, awkward_rows, nothing, labels):
     assert {r["score"] for r in quality_gam.quality_scores(awkward, labels.limit(0)).collect()} == {0.5}
     assert quality_gam.quality_scores(nothing, labels).count() == 0
     assert quality_gam.keep_good(awkward, labels).columns == awkward.columns
+
+
+def test_counting_holds_little_beside_its_batch():
+    batch = pa.RecordBatch.from_pydict({"key": list(range(80)), "text": [prose(i, 15_000) for i in range(80)]})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in quality_rules._counted(iter([batch]), lambda part: np.zeros(part.num_rows, bool), 1 << 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and batch.nbytes > 5 << 20 and peak < 80 << 20, peak >> 20
