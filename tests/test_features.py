@@ -1,9 +1,15 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from racecard.operators import features as fe
 from racecard.operators import frames
-from racecard.operators.rates import missing_ids, with_rates
+from racecard.functions import clean
+from racecard.operators.history import past_features
+from racecard.operators.rates import missing_ids, rate_totals, with_rates
+from racecard.plans import queries_features  # noqa: F401  (importing a module registers its queries)
+from racecard.plans.registry import QUERIES
 from racecard.schema import FEATURES
 
 RAW = "race_id string, horse_no string, finish string, sex_age string, body_weight string, " \
@@ -88,3 +94,29 @@ def test_canonical_union_preview(spark):
     assert frames.preview(both).columns == ["race_id", "horse_no", "odds"]
     assert frames.drop_leaks(both).columns == ["race_id", "odds"]
     assert frames.drop_if_present(both, ["odds", "absent"]).columns == ["race_id", "horse_no"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_raw_text_is_parsed_once(spark):
+    df = spark.createDataFrame([("202301010101", "1", dt.date(2023, 1, 1), "G1", "1", "2019000001", "00001", "34.5")],
+                               "race_id string, horse_no string, race_date date, race_name string, finish string, "
+                               "horse_id string, jockey_id string, up_3f string")
+    plan = plan_of(past_features(df, hot=[]))
+    assert plan.count("translate(finish") <= 2 and plan.count("^[0-9]{12}$") == 1
+    plan = plan_of(rate_totals(df, "jockey"))
+    assert plan.count("translate(finish") <= 2
+
+
+def test_weight_and_change_come_from_one_pattern(spark):
+    df = spark.createDataFrame([("\u30004(-1)",), (" 470\u2029",), ("4 7",)], "w string")
+    both = df.select(clean.body_weight("w").alias("a"), clean.weight_change("w").alias("b"))
+    assert [tuple(r) for r in both.collect()] == [(4.0, -1.0), (470.0, 0.0), (None, None)]
+    assert "trim(" not in plan_of(both.sparkSession.range(1).select(F.lit("1").alias("w")).unionByName(df).select(clean.body_weight("w")))
+
+
+def test_enriched_runs_are_computed_once_for_fills_by_race(spark):
+    plan = plan_of(QUERIES["impute_by_race"](spark, "/root/testdata/sf0.001"))
+    assert "l_orderkey" not in plan and "race_date" not in plan
