@@ -291,7 +291,7 @@ def extract_rates(spark, sf):
 @query(RUNS + _PRINTED)
 def page_files(spark, sf):
     """Career pages kept as loose files, one per page, and read back by their paths."""
-    base, all_runs = work_path(spark, "files"), runs(spark, sf)
+    base, all_runs = work_path(spark, "files"), stored_runs(spark, sf, "jockey_id", "trainer_id", "finish")
     made = frames.union_batches([pages_of.career_pages(all_runs, e) for e in ("jockey", "trainer")])
     # As text the bytes of a page are written as they are, with a line end behind them.
     made.select("kind", "key", F.col("raw").cast("string").alias("value")).write.partitionBy("kind", "key").text(base)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from racecard import session
 from racecard.functions import clean
+from racecard.plans import queries_tables
 from racecard.plans.runs import runs
 from racecard.schema import PAGES, RESULTS
 from racecard.sources import odds, page_sql, pages, tables
@@ -244,3 +245,8 @@ def test_batches_of_pages_are_bounded_in_any_session(spark):
         assert spark.conf.get(name) in ("1m", str(1 << 20))
     finally:
         spark.conf.set(name, before)
+
+
+def test_page_files_computes_the_runs_once(spark, monkeypatch):
+    monkeypatch.setattr(queries_tables, "runs", None)  # lazy runs would be computed per kind of page
+    assert queries_tables.page_files(spark, SF).count() == 60
