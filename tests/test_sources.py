@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from racecard import session
 from racecard.functions import clean
-from racecard.plans import queries_tables
+from racecard.plans import derived_pages, queries_tables
+from racecard.plans import runs as plans_runs
 from racecard.plans.runs import runs
 from racecard.schema import PAGES, RESULTS
 from racecard.sources import odds, page_sql, pages, tables
@@ -102,6 +103,36 @@ def test_comments_scripts_and_nesting(spark):
     assert [(t["cls"], [[c["text"] for c in r["cells"]] for r in t["rows"]]) for t in found] == [("o", [["abc", "d"]]), ("i", [["b"]])]
 
 
+def test_plain_pages_take_the_short_way():
+    """Tables of plain cells are listed by one pattern a cell, all others tag by tag, with the same outcome."""
+    row = "<tr class='r x'><th b=\"c\">h</th> t <td>\n a <a href='/z' id=q>l</a> r\n</td><td></td></tr><td>late</td>"
+    plain = f"<!DOCTYPE html><p>x</p><a href='y'>z</a><table class=\"c\">{row}<tr>{row}</table> a < b"
+    assert pages._scan_plain(plain[:-6]) == pages._scan_any(plain[:-6]) and len(pages._scan_any(plain)[0][1]) == 3
+    for other in ("<table><tr><td><table><tr><td>1</td></tr></table></td></tr></table>", "<table><tr><td>1</table>",
+                  "<table><tr><td>a<br>b</td></tr></table>", "<TABLE><tr><td>1</td></tr></TABLE>",
+                  "<table><tr><td title='<td>'>1</td></tr></table>", "<table><td>1</td></table>",
+                  "<!-- <table><tr><td>1</td></tr></table> -->", "<table><tr></a><td>1</td></tr></table>",
+                  "<script><table></script><table><tr><td>1</td></tr></table>"):
+        assert pages._scan_plain(other) is None, other
+    assert pages._scan("<table><tr><td>a &amp; b</td></tr></table>") == [("", [("", [[False, "a & b", None, None]])])]
+
+
+def test_texts_of_tables_are_stripped(spark):
+    html = "<table><tr><td>\u3000\n a b <a href='/x'>\u00a0l </a></td></tr></table>"
+    cell = pages._with_tables(page(spark, "entry", "1", html, "utf-8"), "entry").first().tables[0].rows[0].cells[0]
+    assert (cell.text, cell.link) == ("a b \u00a0l", "l")
+
+
+def test_page_tasks_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(plans_runs, "LINES_PER_PAGE_TASK", 300)
+    parts = plans_runs.page_parts(spark, SF)
+    assert parts == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300) > 4
+    made = derived_pages.entry_pages(runs(spark, SF), parts)
+    assert made.rdd.getNumPartitions() == parts
+    one, many = (sorted(map(str, m.collect())) for m in (derived_pages.entry_pages(runs(spark, SF)), made))
+    assert one == many
+
+
 def test_odds_feed(spark):
     body = '{"status":"%s","data":{"odds":{"1":{"1":["3.5","0","1","05"],"2":["---","0","2","06"],"3":["4.0","0","3"],"4":["9.9","0","4","A1"]},"2":{}}}}'
     feed = spark.createDataFrame([("r", NOW, body % "middle"), ("q", NOW, body % "none"), ("p", NOW, "broken")], "race_id string, as_of timestamp, body string")
