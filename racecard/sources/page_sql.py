@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racecard.sources.pages import (
-    CHARSETS, extract_entity_rates, extract_entries, extract_history, extract_results, page_tables,
+    CHARSETS, extract_entity_rates, extract_entries, extract_history, extract_results, scan_page,
 )
 
 # Workers get this module's functions with the job, whether or not the package is installed there.
@@ -39,9 +39,9 @@ class PageRows:
     def eval(self, kind: str, raw: bytes) -> Iterator[tuple]:
         if kind not in CHARSETS:
             return
-        for table_no, table in enumerate(page_tables(raw, CHARSETS[kind])):
-            for row_no, row in enumerate(table["rows"]):
-                yield table_no, table["cls"], row_no, row["cls"], row["cells"]
+        for table_no, (table_class, rows) in enumerate(scan_page(raw, CHARSETS[kind])):
+            for row_no, (row_class, cells) in enumerate(rows):
+                yield table_no, table_class, row_no, row_class, cells
 
 
 def register_pages(spark: SparkSession, pages: DataFrame, name: str = "pages") -> None:

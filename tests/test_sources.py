@@ -133,6 +133,11 @@ def test_page_tasks_grow_with_the_lines(spark, monkeypatch):
     assert one == many
 
 
+def test_rows_of_a_page_reach_sql_as_plain_values():
+    raw = b"<table class=c><tr class=r><td> a<a href='/x'>b</a></td></tr></table>"
+    assert list(page_sql.PageRows.func().eval("entry", raw)) == [(0, "c", 0, "r", [[False, " ab", "/x", "b"]])]
+
+
 def test_odds_feed(spark):
     body = '{"status":"%s","data":{"odds":{"1":{"1":["3.5","0","1","05"],"2":["---","0","2","06"],"3":["4.0","0","3"],"4":["9.9","0","4","A1"]},"2":{}}}}'
     feed = spark.createDataFrame([("r", NOW, body % "middle"), ("q", NOW, body % "none"), ("p", NOW, "broken")], "race_id string, as_of timestamp, body string")
