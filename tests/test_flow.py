@@ -11,8 +11,8 @@ from racecard import (
     append_results, extract_entries, extract_history, extract_results, load_model, load_pages, past_features, predict,
     race_card, train, with_race_facts,
 )
-from racecard.operators import frames, skew
-from racecard.plans import derived_pages
+from racecard.operators import card, frames, skew
+from racecard.plans import derived_pages, queries_flow
 from racecard.plans.runs import runs
 from racecard.schema import RESULTS
 from racecard.session import shared_folder
@@ -129,3 +129,12 @@ def test_work_lies_below_the_named_folder(spark):
     folder = shared_folder(spark)
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert spark.sparkContext.applicationId in folder
+
+
+def test_card_of_pages_parses_them_once(spark, monkeypatch):
+    """Races are counted on the order lines; runs are computed once for all kinds of pages."""
+    calls = []
+    monkeypatch.setattr(card, "hot_values", lambda *_: calls.append("pages"))
+    monkeypatch.setattr(queries_flow, "runs", lambda *_: runs(spark, SF).where("false"))  # lazy, for a count of hot races
+    assert queries_flow.pages_to_card(spark, SF).count() > 5000
+    assert calls == []
