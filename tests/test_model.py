@@ -1,9 +1,12 @@
+from functools import partial
+
 import pytest
 from conftest import day
 from pyspark.sql import functions as F
 
 from racecard.operators import card
-from racecard.plans.model import drop_old_models, load_model, newest_model, predict, save_model, train
+from racecard.plans import queries_model
+from racecard.plans.model import drop_old_models, load_model, newest_model, predict, save_model, train, tree_nodes
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +91,20 @@ def test_predict_without_model(spark, planted):
     out = predict(planted.drop("finish"), planted)
     assert out.where("rank_in_race = 1 and odds <> '1.0'").count() == 0
     assert day(0) is not None
+
+
+def test_registered_model_is_fitted_on_every_training_row(spark, tmp_path, monkeypatch):
+    lines = spark.range(7500).select(
+        F.expr("id div 3").alias("l_orderkey"), (F.col("id") * 7 % 250).alias("l_partkey"), (F.col("id") * 5 % 40).alias("l_suppkey"),
+        (F.col("id") % 3 + 1).cast("int").alias("l_linenumber"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity"),
+        (F.col("id") * 37 % 1000).cast("double").alias("l_extendedprice"), F.lit("N").alias("l_returnflag"))
+    orders = spark.range(2500).select(
+        F.col("id").alias("o_orderkey"), F.expr("cast(date_add(date'1995-01-01', int(id % 900)) as timestamp)").alias("o_orderdate"),
+        F.lit("4-NOT SPECIFIED").alias("o_orderpriority"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(queries_model, "train", partial(train, rounds=2))
+    done, cards, stored = queries_model.trained(spark, str(tmp_path))
+    seen = tree_nodes(spark, done.path).where("nodeData.id = 0").select("nodeData.rawCount").collect()
+    in_train = stored.count() - done.test.count()
+    assert in_train > 4000 and [r.rawCount for r in seen] == [in_train] * 2 and cards.count() == stored.count()
