@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from racecard.operators.frames import new_races
+from racecard.plans.queries_flow import entries_to_features, pages_to_features
+from racecard.plans.queries_model import feature_vectors
 from racecard.schema import RESULTS
 from racecard.session import shared_folder, staged
 from racecard.sources.horse_states import ingest_with_features
@@ -93,3 +95,31 @@ def test_stored_fingerprints_are_of_the_rows(spark, offered, tmp_path):
     path = str(tmp_path / "results")
     write_results(offered, path)
     assert spark.read.parquet(path).select("fingerprint").distinct().count() == 300
+
+
+@pytest.fixture
+def race_tables(spark, tmp_path):
+    """A folder of orders and lines that make 40 races of three runners."""
+    spark.range(120).select(
+        F.expr("id div 3").alias("l_orderkey"), (F.col("id") * 7 % 25).alias("l_partkey"), (F.col("id") * 5 % 9).alias("l_suppkey"),
+        (F.col("id") % 3 + 1).cast("int").alias("l_linenumber"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity"),
+        (F.col("id") * 37 % 1000).cast("double").alias("l_extendedprice"), F.lit("N").alias("l_returnflag"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).select(
+        F.col("id").alias("o_orderkey"), F.expr("cast(date_add(date'1995-01-01', int(id)) as timestamp)").alias("o_orderdate"),
+        F.lit("4-NOT SPECIFIED").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("query", [pages_to_features, entries_to_features])
+def test_pages_are_parsed_before_their_rows_are_joined(spark, race_tables, query):
+    out = query(spark, race_tables)
+    # What parses a page stands in no plan that reads its rows several times.
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    # The order 0 is a race abroad, without a page.
+    assert out.count() == out.select("race_id", "horse_no").distinct().count() == 117
+
+
+def test_feature_vectors_build_the_runs_once(spark, race_tables):
+    out = feature_vectors(spark, race_tables)
+    assert "lineitem" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 120 * 18
